@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .embed_dedup import near_duplicate_vectors
 from .ngram_join import ngram_jaccard_join
 from .shared import read
+from .topk import exact_top_k
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return exact_top_k(vectors, vectors.where("id % 100 = 0"), k=10, scale=1024).withColumnRenamed("id", "vec_id")
+
+
+OP3_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id
+), r as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return near_duplicate_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": OP3_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
