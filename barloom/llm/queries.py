@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat import calls_of_turns, link_calls
 from .embed_dedup import near_duplicate_vectors
 from .ngram_join import ngram_jaccard_join
+from .ring import ring_shards
 from .shared import read
 from .topk import exact_top_k
 
@@ -14,6 +16,41 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
 
 
+SCHEMAS = [
+    ("reply", "length", "number", False), ("reply", "start", "string", True), ("reply", "turn", "number", True),
+    ("summarise", "focus", "string", True), ("summarise", "start", "string", True), ("summarise", "turn", "number", True),
+]
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean")
+    done = link_calls(calls_of_turns(read(spark, sf_dir, "conversations")), schemas)
+    return done.select("conv_id", "turn", "position", "link", F.array_join("errors", "; ").alias("errors"), "line")
+
+
+# Every call in this table is a user turn's and every result the next turn's, so turns are in topological order already.
+OP2_SQL = """
+with m as (
+  select conv_id, turn, role, text, case role when 'user' then turn when 'assistant' then turn - 1 end as num,
+         case when role = 'user' then case when turn % 3 = 0 then 'summarise' else 'reply' end end as tool from conversations
+), k as (
+  select *, 'c' || conv_id || '-' || num as call_id,
+         '{"length":' || length(text) || ',"start":' || to_json(substr(text, 1, 40)) || ',"turn":' || turn || '}' as args from m
+), l as (
+  select *, exists (select 1 from k c where c.conv_id = k.conv_id and c.call_id = k.call_id and c.tool is not null) as has_call,
+         exists (select 1 from k c where c.conv_id = k.conv_id and c.call_id = k.call_id and c.tool is null) as has_result from k
+)
+select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as position,
+       case when tool is not null then case when has_result then 'answered' else 'open' end
+            when call_id is not null then case when has_call then 'linked' else 'orphan' end end as link,
+       case tool when 'summarise' then 'missing focus; unknown length' else '' end as errors,
+       '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || to_json(role) ||
+       case when tool is not null then ',"tool_call":{"arguments":' || args || ',"id":"' || call_id || '","name":"' || tool || '"}'
+            when call_id is not null then ',"tool_call_id":"' || call_id || '"' else '' end || '}' as line
+from l
+"""
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return exact_top_k(vectors, vectors.where("id % 100 = 0"), k=10, scale=1024).withColumnRenamed("id", "vec_id")
@@ -38,11 +75,21 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ring_shards(docs, shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_format": op2_chat_format,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op9_ring_shards": op9_ring_shards,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
     "op3_exact_top_k": OP3_SQL,
 }
