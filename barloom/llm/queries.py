@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import calls_of_turns, link_calls
 from .embed_dedup import near_duplicate_vectors
+from .mixing import mix, oracle as mixing_sql
 from .ngram_join import ngram_jaccard_join
 from .ring import ring_shards
 from .shared import read
@@ -75,6 +76,22 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
 
 
+DOMAIN = "pmod(cast(substr(source, 4) as int), 4)"
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = docs.withColumn("domain", F.concat(F.lit("d"), F.expr(DOMAIN).cast("string")))
+    return mix(docs, ["domain", "lang", "source"], part=0.7, epochs=2).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
+OP7_SQL = mixing_sql(
+    ["domain", "lang", "source"],
+    "(select *, 'd' || (cast(substr(source, 4) as int) % 4) as domain from documents)",
+    0.7, 2, "7", "select doc_id, domain, lang, source, tokens, epoch from s",
+)
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ring_shards(docs, shards=40).select(
@@ -87,9 +104,11 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_mixing": op7_mixing,
     "op9_ring_shards": op9_ring_shards,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op3_exact_top_k": OP3_SQL,
+    "op7_mixing": OP7_SQL,
 }
