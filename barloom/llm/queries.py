@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import bpe
 from .chat import calls_of_turns, link_calls
 from .embed_dedup import near_duplicate_vectors
 from .mixing import mix, oracle as mixing_sql
@@ -71,6 +72,13 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return near_duplicate_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
@@ -103,6 +111,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_format": op2_chat_format,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_mixing": op7_mixing,
     "op9_ring_shards": op9_ring_shards,
