@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe
 from .chat import calls_of_turns, link_calls
 from .embed_dedup import near_duplicate_vectors
+from .huffman import read_ids, write_ids
 from .mixing import mix, oracle as mixing_sql
 from .ngram_join import ngram_jaccard_join
 from .ring import ring_shards
-from .shared import read
+from .shared import read, shared_dir
 from .topk import exact_top_k
 
 
@@ -107,6 +110,14 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_ids(read(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return read_ids(spark, out)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_format": op2_chat_format,
@@ -115,6 +126,7 @@ QUERIES = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_mixing": op7_mixing,
     "op9_ring_shards": op9_ring_shards,
+    "op10_token_output": op10_token_output,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
