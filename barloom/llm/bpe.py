@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcodes as tc
+from .shared import frequent, written
 
 HEAD = 1 << 19
 SLICE = 4096
@@ -38,12 +39,12 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table
 
 
-def slices(batch: pa.RecordBatch, texts: int):
+def slices(batch: pa.RecordBatch, texts: int, most: int = 1 << 24):
     """The batch in parts of a bounded number of rows and, but for single long texts, bytes."""
     offsets, _ = tc.texts(batch.column(texts))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, min(at + SLICE, int(np.searchsorted(offsets, offsets[at] + (1 << 24), "right")) - 1))
+        end = max(at + 1, min(at + SLICE, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield batch.slice(at, end - at)
         at = end
 
@@ -137,8 +138,8 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, texts: bool = False) -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    frequent = word_counts(docs).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n")
-    head = encode_words(frequent, path, pattern, "word string, n long").orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
+    head = encode_words(frequent(written(word_counts(docs), "word-counts"), "n", HEAD), path, pattern, "word string, n long").toArrow()
+    head = head.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as out:
         out.write_table(head)

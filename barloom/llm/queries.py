@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe
 from .chat import calls_of_turns, link_calls
+from .ctw import score
 from .embed_dedup import near_duplicate_vectors
 from .huffman import read_ids, write_ids
 from .mixing import mix, oracle as mixing_sql
@@ -87,6 +88,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op6_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read(spark, sf_dir, "documents"))
+
+
 DOMAIN = "pmod(cast(substr(source, 4) as int), 4)"
 
 
@@ -124,6 +129,7 @@ QUERIES = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_ctw_score": op6_ctw_score,
     "op7_mixing": op7_mixing,
     "op9_ring_shards": op9_ring_shards,
     "op10_token_output": op10_token_output,

@@ -68,3 +68,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, ``most`` at the most: all whose count reaches a threshold.
+
+    The threshold comes from a histogram of sixteenths of octaves (a thousand rows at most), so nothing
+    is sorted and no task gathers the rows.
+    """
+    step = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
+    total, least = 0, None
+    for bucket, n in sorted(df.groupBy(step.alias("b")).count().collect(), reverse=True):
+        if total + n > most:
+            break
+        total, least = total + n, bucket
+    return df.where(F.lit(False) if least is None else step >= least)
