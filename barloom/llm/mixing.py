@@ -70,7 +70,7 @@ def mix(
     "web/en", weight); a node without one has weight 1, one with weight 0 gets nothing.
 
     In each epoch a leaf's documents are ordered by md5(seed:epoch:doc_id), then doc_id; the leaf takes
-    them until the next would exceed its budget (rows with no tokens at the end count as fitting). The
+    them until its budget is reached, so it exceeds that by less than its last document. The
     order key's first digits cut a leaf into slices; sums of slices find the slice where the budget
     ends, and only its rows are ranked, so a leaf that holds most rows needs no large task.
 
@@ -99,13 +99,13 @@ def mix(
     sums = rows.groupBy(*cols, "epoch", "slice").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy(*cols).orderBy("epoch", "slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("t").over(upto))
-    sums = sums.join(plan, same(sums, plan)).where(F.col("upto") - F.col("t") <= F.col("budget")).select(
+    sums = sums.join(plan, same(sums, plan)).where(F.col("upto") - F.col("t") < F.col("budget")).select(
         *(F.col(c).alias(f"s{c}") for c in cols), F.col("epoch").alias("s_epoch"), F.col("slice").alias("s_slice"),
-        (F.col("budget") - F.col("upto") + F.col("t")).alias("room"), (F.col("upto") <= F.col("budget")).alias("whole"),
+        (F.col("budget") - F.col("upto") + F.col("t")).alias("room"), (F.col("upto") < F.col("budget")).alias("whole"),
     )
     rows = rows.join(sums, [*(rows[c].eqNullSafe(sums[f"s{c}"]) for c in cols), rows["epoch"] == sums["s_epoch"], rows["slice"] == sums["s_slice"]])
     inside = Window.partitionBy(*cols, "epoch", "slice").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part_rows = rows.where(~F.col("whole")).withColumn("run", F.sum("tokens").over(inside)).where(F.col("run") <= F.col("room"))
+    part_rows = rows.where(~F.col("whole")).withColumn("run", F.sum("tokens").over(inside)).where(F.col("run") - F.col("tokens") < F.col("room"))
     taken = rows.where("whole").select(*cols, "doc", "epoch").unionByName(part_rows.select(*cols, "doc", "epoch"))
     taken = taken.select(*(F.col(c).alias(f"k{c}") for c in cols), F.col("doc").alias("k_doc"), F.col("epoch").alias(names["epoch"]))
     on = [counted[c].eqNullSafe(taken[f"k{v}"]) for c, v in zip(levels, cols)]
@@ -134,6 +134,6 @@ def oracle(levels: list[str], table: str, part: float, epochs: int, seed: str, o
     steps += [
         f"r as (select t.*, e.epoch, md5('{seed}:' || e.epoch || ':' || t.doc_id) as h from t cross join (select unnest(range({epochs})) as epoch) e)",
         f"c as (select r.*, sum(tokens) over (partition by {keys.replace('t.', '')} order by epoch, h, doc_id rows unbounded preceding) as upto from r)",
-        f"s as (select c.* from c join b{n} b on {' and '.join(f'c.{x} = b.{x}' for x in levels)} where c.upto <= floor(b.budget + 1e-6))",
+        f"s as (select c.* from c join b{n} b on {' and '.join(f'c.{x} = b.{x}' for x in levels)} where c.upto - c.tokens < floor(b.budget + 1e-6))",
     ]
     return "with " + ",\n".join(steps) + f"\n{output}"
