@@ -13,6 +13,7 @@ from .embed_dedup import near_duplicate_vectors
 from .huffman import read_ids, write_ids
 from .mixing import mix, oracle as mixing_sql
 from .ngram_join import ngram_jaccard_join
+from .quality import grade_texts, grades_of_labels
 from .ring import ring_shards
 from .shared import read, shared_dir
 from .topk import exact_top_k
@@ -108,6 +109,12 @@ OP7_SQL = mixing_sql(
 )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = grade_texts(docs, grades_of_labels(read(spark, sf_dir, "labels")))
+    return rated.drop("text")
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ring_shards(docs, shards=40).select(
@@ -131,6 +138,7 @@ QUERIES = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_ctw_score": op6_ctw_score,
     "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_ring_shards": op9_ring_shards,
     "op10_token_output": op10_token_output,
 }
