@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import textcodes as tc
 from .shared import frequent, written
 
-HEAD = 1 << 19
+HEAD = 3 << 19
 SLICE = 4096
+NO_ID = -(1 << 63)  # stands for a null doc_id within a job
 
 
 @lru_cache(2)
@@ -137,8 +139,9 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, texts: bool = False) -> Dat
     each gives a row. A null doc_id is kept. An empty table gives no rows. Other columns of docs aren't returned.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    head = encode_words(frequent(written(word_counts(docs), "word-counts"), "n", HEAD), path, pattern, "word string, n long").toArrow()
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    counts = written(word_counts(docs).where("n > 1"), "word-counts")  # a word met once gains nothing there
+    head = encode_words(frequent(counts, "n", HEAD), path, pattern, "word string, n long").toArrow()
     head = head.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as out:
@@ -150,11 +153,12 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, texts: bool = False) -> Dat
         table = head_of(shared)
         for batch in batches:
             for part in slices(batch, 1):
+                offsets, b = tc.texts(part.column(1))
                 words, first = tc.pieces(part.column(1))
                 number = pc.index_in(words.dictionary.cast(table.words.type), table.words).fill_null(-1).to_numpy().astype(np.int64) + 1
                 indices = words.indices.to_numpy()
                 stream = number[indices]
-                h = np.array([hash_of(part.column(1), i) for i in range(part.num_rows)], np.int64)
+                h = np.array([zlib.crc32(b[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint32).view(np.int32)
                 if not cold:
                     b, at = varints(stream)
                     edge = at[first]
@@ -168,15 +172,15 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, texts: bool = False) -> Dat
                     ["doc_id", "h", "pos", "word"],
                 )
 
-    streams = docs.mapInArrow(lambda b: split(b, False), "doc_id long, h long, stream binary")
-    rare = docs.mapInArrow(lambda b: split(b, True), "doc_id long, h long, pos int, word string")
+    streams = docs.mapInArrow(lambda b: split(b, False), "doc_id long, h int, stream binary")
+    rare = docs.mapInArrow(lambda b: split(b, True), "doc_id long, h int, pos int, word string")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rare = rare.repartition(parts, "word").sortWithinPartitions("word")
-    rare = encode_words(rare, path, pattern, "doc_id long, h long, pos int")
-    rare = rare.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
-    rare = rare.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), F.array_sort("rare").alias("rare"))
-    both = streams.join(rare, streams["doc_id"].eqNullSafe(rare["r_id"]) & (streams["h"] == rare["r_h"]), "left")
-    both = both.select("doc_id", "stream", F.transform("rare", lambda r: r["ids"]).alias("rare"))
+    rare = encode_words(rare, path, pattern, "doc_id long, h int, pos int")
+    rare = rare.repartition(parts, "doc_id", "h").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("rare"))
+    rare = rare.select("doc_id", "h", F.array_sort(F.array_distinct("rare")).alias("rare"))
+    both = streams.join(rare, ["doc_id", "h"], "left")
+    both = both.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "stream", F.transform("rare", lambda r: r["ids"]).alias("rare"))
 
     def assemble(batches):
         table, tokens = head_of(shared), encoder(path, pattern)[1]
@@ -209,9 +213,3 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, texts: bool = False) -> Dat
         kind = kind.append(pa.field("ids", pa.list_(pa.int32()))).append(pa.field("decoded", pa.string()))
         sql += ", ids array<int>, decoded string"
     return both.mapInArrow(assemble, sql)
-
-
-def hash_of(column: pa.Array, i: int) -> int:
-    """64 bits that tell apart texts which share a doc_id."""
-    value = column[i].as_py()
-    return int.from_bytes(hashlib.blake2b((value or "").encode(), digest_size=8).digest(), "little", signed=True)
