@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textcodes as tc
 from .shared import components, fresh, written
@@ -164,18 +164,22 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, items array<long>")
 
 
+def may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Sizes and parity bits of the rows x and y allow a link: each differing shingle flips one bit at most."""
+    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+    odd = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MARKS), F.lit(0))
+    return (a * den >= b * num) & (b * den >= a * num) & (odd * (den + num) <= (a + b) * (den - num))
+
+
 def plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and parity bits allow a link: each differing shingle flips one bit at most."""
     for side in "ab":
         pairs = pairs.join(marks.select(F.col("id").alias(side), F.struct("size", *MARKS).alias(f"m{side}")), side)
-    a, b = F.col("ma.size"), F.col("mb.size")
-    odd = sum((F.bit_count(F.col(f"ma.{m}").bitwiseXOR(F.col(f"mb.{m}"))) for m in MARKS), F.lit(0))
-    fits = (a * den >= b * num) & (b * den >= a * num) & (odd * (den + num) <= (a + b) * (den - num))
-    return pairs.where(fits).select("a", "b").distinct()
+    return pairs.where(may_link("ma", "mb", num, den)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, compared whole."""
+    pairs = written(pairs, "to-verify")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = written(sets_of(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
@@ -239,11 +243,11 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
 
     rows = met.drop("first").join(linked, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
     apart = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = written(rows.join(apart, "key", "left_semi"), "apart")
+    rows = written(rows.join(apart, "key", "left_semi").join(marks, "id"), "apart")
     x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")))
-    pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    pairs = written(plausible(pairs, marks, num, den).join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may_link("x", "y", num, den))
+    pairs = written(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "pairs")
+    pairs = pairs.join(star, ["a", "b"], "left_anti")
     linked = components(links.unionByName(verified(pairs, docs, words, num, den)))
 
     label = (
