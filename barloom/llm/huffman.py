@@ -23,6 +23,7 @@ from .shared import written
 
 LONGEST = 16
 BLOCK, STEP = 1 << 16, 1 << 7
+KNOWN = 1_000_000  # pieces whose ids a worker keeps
 
 
 @lru_cache(1)
@@ -40,10 +41,10 @@ _known: dict[str, np.ndarray] = {}
 
 def encode_texts(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with the end id, and where each text begins (n + 1)."""
-    words, first = tc.pieces(column)
+    words, first = tc.pieces(column, plain=True)
     table = words.dictionary.to_pylist()
     new = [w for w in table if w not in _known]
-    if len(_known) + len(new) > 400_000:  # bounds what a worker keeps
+    if len(_known) + len(new) > KNOWN:  # bounds what a worker keeps
         _known.clear()
         new = table
     for at in range(0, len(new), 20_000):

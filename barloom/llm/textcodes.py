@@ -103,11 +103,30 @@ def segment_edges(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def pieces(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The pieces of all texts of a column, dictionary-encoded, and each text's first piece (n + 1)."""
+#: ASCII signs that no match of a letters-or-signs pattern shares with letters; the apostrophe isn't one.
+SIGN = np.zeros(256, bool)
+SIGN[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+LETTER = np.zeros(256, bool)
+LETTER[97:123] = True
+
+
+def pieces(column: pa.Array, *, plain: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces of all texts of a column, dictionary-encoded, and each text's first piece (n + 1).
+
+    ``plain``: for tokenizers that ignore letter case and white space and split letters from signs; fewer
+    different pieces result.
+    """
     offsets, b = texts(column)
     base, b = offsets[0], b[offsets[0] : offsets[-1]]
     offsets = offsets - base
     edges = segment_edges(b, offsets) if len(b) else np.zeros(1, np.int64)
+    if plain and len(b):
+        b = LOWER[b]
+        b[SPACE[b]] = 32
+        letter, sign = LETTER[b], SIGN[b]
+        cut = np.zeros(len(b) + 1, bool)
+        cut[1:-1] = letter[:-1] & sign[1:] | sign[:-1] & letter[1:]
+        cut[edges] = True
+        edges = np.flatnonzero(cut)
     arr = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(b))
     return arr.dictionary_encode(), np.searchsorted(edges, offsets)
