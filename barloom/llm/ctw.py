@@ -27,8 +27,8 @@ from . import textcodes as tc
 from .bpe import slices
 from .shared import frequent, written
 
-DEPTH = 6
-HEAD = 1 << 22, 1 << 20  # the most grams and words that the broadcast tables hold
+DEPTH = 5
+HEAD = 1 << 20, 1 << 20  # the most grams and words that the broadcast tables hold
 HELD = 3_000_000  # the most distinct codes that a task keeps before it hands them on
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
 HALF = np.log(0.5)
@@ -285,13 +285,13 @@ def score(docs: DataFrame) -> DataFrame:
         logs = Trees(frame["code"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)).probabilities(top.value)
         return pd.DataFrame({"kind": np.zeros(len(logs), np.int32), "code": frame["code"], "n_all": frame["n_all"], "value": logs})
 
-    schema = "kind int, code long, n_all long, value double"
+    schema = "kind int, code long, n_all long, value float"
     values = gram_rows.groupBy(pair).applyInPandas(lambda f: lower(f), schema)
-    values = written(values.unionByName(word_rows.select("kind", "code", "n_all", F.col("n").cast("double").alias("value"))), "code-values")
+    values = written(values.unionByName(word_rows.select("kind", "code", "n_all", F.col("n").cast("float").alias("value"))), "code-values")
     head = []
     for kind in (0, 1):
-        rows = frequent(values.where(F.col("kind") == kind), "n_all", HEAD[kind]).select("code", "value").toPandas()
-        head.append((rows["code"].to_numpy(np.int64).view(np.uint64), rows["value"].to_numpy(float)))
+        rows = frequent(values.where(F.col("kind") == kind), "n_all", HEAD[kind]).select("code", "value").toArrow()
+        head.append((rows["code"].to_numpy().view(np.uint64), rows["value"].to_numpy()))
     shared = spark.sparkContext.broadcast(head)
 
     def look_up(batches):
@@ -322,7 +322,7 @@ def score(docs: DataFrame) -> DataFrame:
     own = "struct<id:long,s:double,b:double,known:long,tokens:long,bytes:long>"
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(look_up, f"key long, kind int, code long, own {own}")
     rows = rows.join(values.select("kind", "code", "value"), ["kind", "code"], "left")
-    found, is_gram, is_word = F.coalesce("value", F.lit(0.0)), F.col("kind") == 0, F.col("kind") == 1
+    found, is_gram, is_word = F.coalesce(F.col("value").cast("double"), F.lit(0.0)), F.col("kind") == 0, F.col("kind") == 1
     rows = rows.groupBy("key").agg(
         F.first("own.id", True).alias("id"), F.count("own").alias("copies"),
         F.sum(F.when(is_gram, found).otherwise(F.col("own.s"))).alias("s"),
