@@ -41,7 +41,7 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table
 
 
-def slices(batch: pa.RecordBatch, texts: int, most: int = 1 << 24):
+def slices(batch: pa.RecordBatch, texts: int, most: int = 1 << 23):
     """The batch in parts of a bounded number of rows and, but for single long texts, bytes."""
     offsets, _ = tc.texts(batch.column(texts))
     at = 0
