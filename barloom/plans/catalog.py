@@ -367,7 +367,7 @@ def sig_breakout(m):
 
 PAIRS = "days as (select trade_date, lag(trade_date) over (order by trade_date) as prev_date, row_number() over (order by trade_date) - 1 as pos from (select distinct trade_date from daily))"
 SURGE = f""", {PAIRS}, surge as (select d.ts_code, coalesce(s.name, '') as name, d.trade_date, cast(d.vol as bigint) as vol_today, cast(p.vol as bigint) as vol_prev, round(d.vol/nullif(p.vol, 0), 6) as vol_ratio,
-round(d.close, 6) as close, round(d.pct_chg, 6) as pct_chg from daily d join days y using (trade_date) join daily p on p.ts_code = d.ts_code and p.trade_date = y.prev_date left join stock_basic s on s.ts_code = d.ts_code where d.vol/nullif(p.vol, 0) >= 2 and d.pct_chg > 0) """
+d.close, round(d.pct_chg, 6) as pct_chg from daily d join days y using (trade_date) join daily p on p.ts_code = d.ts_code and p.trade_date = y.prev_date left join stock_basic s on s.ts_code = d.ts_code where d.vol/nullif(p.vol, 0) >= 2 and d.pct_chg > 0) """
 
 
 @query(SURGE + "select * from surge")
@@ -396,7 +396,7 @@ TECH = ", ".join(wilder_sql(f"{k}{n}", v, n, 2) for n in (6, 14) for k, v in (("
     g as (select *, case when ma20 > ma60 and close > ma20 then 20 else 0 end + case when close between ma20*0.995 and ma20*1.08 then 15 else 0 end + case when low_5 <= ma20*1.025 and close <= high_20*0.98 then 15 else 0 end
       + case when close > open and round(pct_chg, 6) between 0.2 and 5.5 then 15 else 0 end + case when close > ma5 and prev_close <= prev_ma5 then 10 else 0 end + case when vol_ratio_5 between 1.05 and 2.6 then 10 else 0 end
       + case when rsi14 between 45 and 70 and rsi6 > rsi14 then 10 else 0 end + case when macd_hist > coalesce(prev_hist, -999999) and dif >= dea then 5 else 0 end as signal_score from f)
-    select ts_code, name, trade_date, signal_score, round(close, 6) as close, round(pct_chg, 6) as pct_chg, upside_room_pct, ma20_gap_pct, vol_ratio_5, round(volume_ratio, 6) as volume_ratio, round(turnover_rate, 6) as turnover_rate, rsi6, rsi14, macd_hist,
+    select ts_code, name, trade_date, signal_score, close, round(pct_chg, 6) as pct_chg, upside_room_pct, ma20_gap_pct, vol_ratio_5, round(volume_ratio, 6) as volume_ratio, round(turnover_rate, 6) as turnover_rate, rsi6, rsi14, macd_hist,
       concat_ws('/', case when ma20_gap_pct between -0.5 and 8 then '20线' end, case when upside_room_pct >= 2 then '空间' end, case when vol_ratio_5 between 1.05 and 2.6 then '放量' end, case when rsi6 > rsi14 then '动能' end, case when macd_hist > 0 then 'MACD+' end) as signal_reason
     from g where signal_score >= 50 and close > ma20 and ma20 > ma60 and low_5 <= ma20*1.04 and close <= high_20*0.985""",
     recursive=True,

@@ -27,7 +27,7 @@ def volume_surge(daily: DataFrame, stock_basic: DataFrame, threshold: float = 2.
     whole = lambda c: F.bround(c).cast("bigint")
     return df.select(
         "ts_code", F.coalesce("name", F.lit("")).alias("name"), "trade_date", whole("vol").alias("vol_today"), whole("vol_before").alias("vol_prev"),
-        r6("growth").alias("vol_ratio"), r6("close").alias("close"), r6("pct_chg").alias("pct_chg"),
+        r6("growth").alias("vol_ratio"), "close", r6("pct_chg").alias("pct_chg"),
     )
 
 
@@ -75,7 +75,7 @@ def trend_pullback(daily: DataFrame, tech: DataFrame, basics: DataFrame, stock_b
         (c("rsi6") > c("rsi14"), "动能"), (c("macd_hist") > 0, "MACD+"),
     )
     return df.select(
-        "ts_code", "name", "trade_date", "signal_score", r6("close").alias("close"), r6("pct_chg").alias("pct_chg"), "upside_room_pct", "ma20_gap_pct", "vol_ratio_5",
+        "ts_code", "name", "trade_date", "signal_score", "close", r6("pct_chg").alias("pct_chg"), "upside_room_pct", "ma20_gap_pct", "vol_ratio_5",
         r6("volume_ratio").alias("volume_ratio"), r6("turnover_rate").alias("turnover_rate"), "rsi6", "rsi14", "macd_hist", reason.alias("signal_reason"),
     )
 
