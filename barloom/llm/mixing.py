@@ -31,7 +31,7 @@ def shared_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     nodes = nodes.withColumn("t_level", F.when(F.col("weight") > 0, level)).withColumn("t_ratio", ratio)
     # The first sibling whose ratio exceeds its level stops the prefix; its level holds for it and all behind it.
     stop = F.min(F.when(F.col("t_ratio") > F.col("t_level"), F.struct("t_ratio", F.col(name).alias("t_name"), "t_level"))).over(family)["t_level"]
-    share = F.when(F.col("weight") > 0, F.least(F.col("capacity"), F.coalesce(F.greatest(stop, F.lit(0.0)) * F.col("weight"), F.col("capacity")))).otherwise(0.0)
+    share = F.when(F.col("weight") > 0, F.least(F.col("capacity"), F.coalesce(stop * F.col("weight"), F.col("capacity")))).otherwise(0.0)
     return nodes.withColumn("share", share).drop("t_level", "t_ratio")
 
 
@@ -128,7 +128,7 @@ def oracle(levels: list[str], table: str, part: float, epochs: int, seed: str, o
             f"n{i} as (select {', '.join(path)}, cast(sum(tokens) * {epochs} as double) as capacity from t group by all)",
             f"l{i} as (select {keys}, n.capacity, (b.budget - coalesce(sum(n.capacity) over (w rows between unbounded preceding and 1 preceding), 0)) / "
             f"count(*) over (w rows between current row and unbounded following) as level from n{i} n {join} window w as ({by.replace('by ', 'by n.').replace(', ', ', n.')} order by n.capacity, n.{path[-1]}))",
-            f"b{i} as (select {', '.join(path)}, least(capacity, coalesce(greatest(max(level) filter (where capacity > level) over ({by}), 0), capacity)) as budget from l{i})",
+            f"b{i} as (select {', '.join(path)}, least(capacity, coalesce(max(level) filter (where capacity > level) over ({by}), capacity)) as budget from l{i})",
         ]
     n, keys = len(levels), ", ".join(f"t.{c}" for c in levels)
     steps += [
