@@ -29,7 +29,7 @@ from .shared import frequent, written
 
 DEPTH = 5
 HEAD = 1 << 20, 1 << 20  # the most grams and words that the broadcast tables hold
-HELD = 3_000_000  # the most distinct codes that a task keeps before it hands them on
+HELD = 1_000_000  # the most distinct codes that a task keeps before it hands them on
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
 HALF = np.log(0.5)
 NO_ID = -(1 << 63)  # stands for a null doc_id within a job
@@ -110,7 +110,7 @@ def code_counts(docs: DataFrame) -> DataFrame:
                 )
 
         for batch in batches:
-            for part in slices(batch, 1, 1 << 22):
+            for part in slices(batch, 1, 1 << 21):
                 b, offsets = lowered(part.column(1))
                 held = is_held_out(part.column(0).to_pylist())
                 for kind, (codes, begins) in enumerate((grams(b, offsets), words(b, offsets))):
@@ -298,7 +298,7 @@ def score(docs: DataFrame) -> DataFrame:
         """A row of sums for each text (kind -1) and a row for each of its codes that the tables don't have."""
         tables = tables_of(shared)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 22):
+            for part in slices(batch, 1, 1 << 21):
                 b, offsets = lowered(part.column(1))
                 rows = part.num_rows
                 names = [i & (1 << 64) - 1 for i in part.column(0).to_pylist()]
