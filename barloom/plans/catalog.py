@@ -524,8 +524,7 @@ def backtest_trades(m):
 
 @query()
 def backtest_metrics(m):
-    result = backtest(m)
-    return simulate.metrics(simulate.equity_of(result), simulate.trades_of(result), 1_000_000.0)
+    return simulate.metrics_of(backtest(m), 1_000_000.0)
 
 
 @query()

@@ -208,7 +208,7 @@ def ranked_runs(metrics: DataFrame) -> DataFrame:
 def simulated_grid(spark: SparkSession, market: dict[str, DataFrame], runs: list[dict], rebalances: DataFrame, days: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
     """Metrics of many dividend-low-vol runs in one job: factors are computed once for each lookback, weights differ by run."""
     from ..operators import cross
-    from ..operators.simulate import equity_of, metrics, simulate, trades_of
+    from ..operators.simulate import metrics_of, simulate
     from .strategies import adjusted, base_frame
 
     parts = []
@@ -229,4 +229,4 @@ def simulated_grid(spark: SparkSession, market: dict[str, DataFrame], runs: list
     ids = spark.createDataFrame([(r["run_id"],) for r in runs], "run_id string")
     marks = rebalances.select(F.col("trade_date").alias("signal_date")).crossJoin(F.broadcast(ids))  # runs by rebalance dates
     result = simulate(signals, marks, adjusted(market), days, market["suspend_d"], cash)
-    return metrics(equity_of(result), trades_of(result), cash)
+    return metrics_of(result, cash)

@@ -73,6 +73,16 @@ def test_metrics(spark):
     assert math.isclose(got.sharpe, ret.mean() / ret.std() * math.sqrt(252)) and math.isclose(got.turnover, 70 / np.mean(curve)) and got.trade_count == 2
 
 
+def test_metrics_in_one_pass(spark):
+    kind = "what string, " + simulate.TRADES + ", positions_value double, equity double"
+    rows = [("equity", "r", None, d, *[None] * 7, v, 0.0, v) for d, v in zip(DAYS, (100.0, 110.0, 99.0, 120.0))]
+    rows = rows + [("trade", "r", DAYS[0], DAYS[1], "a", "buy", 1.0, 1.0, g, 0.0, 0.0, 0.0, 1.0, None, None) for g in (50.0, -20.0)]
+    rows = [r if len(r) == 15 else (*r[:4], *[None] * 8, *r[-3:]) for r in rows]
+    result = spark.createDataFrame(rows, kind)
+    one, two = simulate.metrics_of(result, 100.0).first(), simulate.metrics(simulate.equity_of(result).withColumn("equity", F.col("equity")), simulate.trades_of(result), 100.0).first()
+    assert all(math.isclose(a, b) for a, b in zip(one[1:], two[1:])) and one.trade_count == 2
+
+
 def test_percentile_rank_and_minmax(spark):
     values = [1.0, 2.0, 2.0, None, 5.0, float("inf")]
     df = spark.createDataFrame([("d", str(i), v) for i, v in enumerate(values)], "trade_date string, ts_code string, v double")
