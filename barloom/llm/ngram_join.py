@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textcodes as tc
+from .bpe import slices
 from .shared import components, fresh, written
 
 PARITY = 4  # longs of parity bits, a lower bound of the symmetric difference
@@ -99,6 +100,12 @@ class Bands:
         return tc.distinct(np.concatenate(out)) if out else np.zeros(0, tc.U)
 
 
+def parts(batches) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of 2 MB of text, but for single longer texts, which bounds what a task holds."""
+    for batch in batches:
+        yield from slices(batch, 1, 1 << 21)
+
+
 def hashed_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     """Each row's set of shingle hashes; the text is column 1."""
     offsets, b = tc.texts(batch.column(1))
@@ -119,7 +126,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set (n_shingles 0: none) and its parity bits."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             n, hashes, bits = [], [], []
             for u in hashed_sets(batch, k):
                 n.append(len(u))
@@ -139,7 +146,7 @@ def index_keys(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     """Rows (key, id): the index of all sets, one row for each key of a set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids, keys = [], []
             for i, u in zip(batch.column(0).to_pylist(), hashed_sets(batch, k)):
                 if len(u) and len(own := bands.keys(u)):
@@ -153,7 +160,7 @@ def index_keys(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             u = list(hashed_sets(batch, k))
             ends = np.cumsum([0, *map(len, u)]).astype(np.int32)
             flat = np.concatenate([*u, np.zeros(0, tc.U)]).view(np.int64)
