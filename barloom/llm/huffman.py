@@ -9,6 +9,7 @@ then id). Decoding looks up 16 bits at a time, all checkpoints of a block side b
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -36,12 +37,23 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def added_tokens(path: str) -> re.Pattern | None:
+    """Matches the tokenizer's added tokens, which the library looks for in raw text before all else, the longest first."""
+    added = tokenizer(path).get_added_tokens_decoder().values()
+    for t in added:  # others could match elsewhere, or arise where letters are lower-cased
+        if t.normalized or t.lstrip or t.rstrip or t.single_word or not re.search(r"[a-z][!-&(-/:-@\[-`{-~]|[!-&(-/:-@\[-`{-~][a-z]", t.content):
+            raise ValueError(f"added token {t.content!r} can't be told from the text around it")
+    contents = sorted((t.content.encode() for t in added), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, contents))) if contents else None
+
+
 _known: dict[str, np.ndarray] = {}
 
 
 def encode_texts(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with the end id, and where each text begins (n + 1)."""
-    words, first = tc.pieces(column, plain=True)
+    words, first = tc.pieces(column, plain=True, keep=added_tokens(path))
     table = words.dictionary.to_pylist()
     new = [w for w in table if w not in _known]
     if len(_known) + len(new) > KNOWN:  # bounds what a worker keeps

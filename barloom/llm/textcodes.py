@@ -6,6 +6,8 @@ hash with a probability of about d*d / 2**65.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -110,23 +112,27 @@ LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 
 
-def pieces(column: pa.Array, *, plain: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
+def pieces(column: pa.Array, *, plain: bool = False, keep: re.Pattern | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The pieces of all texts of a column, dictionary-encoded, and each text's first piece (n + 1).
 
     ``plain``: for tokenizers that ignore letter case and white space and split letters from signs; fewer
-    different pieces result.
+    different pieces result. With it, each match of ``keep`` (over bytes) within a text is a piece as it stands.
     """
     offsets, b = texts(column)
     base, b = offsets[0], b[offsets[0] : offsets[-1]]
     offsets = offsets - base
     edges = segment_edges(b, offsets) if len(b) else np.zeros(1, np.int64)
     if plain and len(b):
-        b = LOWER[b]
+        kept = [m.span() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in keep.finditer(b, i, j)] if keep else []
+        raw, b = b, LOWER[b]
         b[SPACE[b]] = 32
         letter, sign = LETTER[b], SIGN[b]
         cut = np.zeros(len(b) + 1, bool)
         cut[1:-1] = letter[:-1] & sign[1:] | sign[:-1] & letter[1:]
         cut[edges] = True
+        for i, j in kept:
+            b[i:j] = raw[i:j]
+            cut[i + 1 : j], cut[i], cut[j] = False, True, True
         edges = np.flatnonzero(cut)
     arr = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(b))
     return arr.dictionary_encode(), np.searchsorted(edges, offsets)

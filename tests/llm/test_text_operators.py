@@ -130,6 +130,24 @@ def test_token_files(spark, make, odd_texts, monkeypatch):
     assert huffman.read_ids(spark, out).count() == 0
 
 
+def test_token_files_with_added_tokens(spark, make):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    start, end = "<|startoftext|>", "<|endoftext|>"
+    texts = [
+        f"a {end} b", f"A{end}b", f"{start}{end}Don{start}'t", end.upper(), f"x{end.upper()}y {start.title()}", f"<{end}>", f" \t{start} \n", start,
+        f"\u00e9{end}\u0301 {end}'s", "cut <|endof", "text|> short", "<|endof\ntext|>", f"<|{start}|>", "last",
+    ]
+    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    huffman.write_ids(make(texts).coalesce(1), out, path)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in huffman.read_ids(spark, out).collect()}
+    at, want = 0, {}
+    for i, t in enumerate(texts):
+        ids = huffman.tokenizer(path).encode(t, add_special_tokens=False).ids + [1]
+        want[i] = at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    assert got == want
+
+
 def test_code_lengths_are_limited_and_optimal():
     fibonacci = [1, 1]
     while len(fibonacci) < 30:
