@@ -176,6 +176,22 @@ def test_scores(spark, make, odd_texts):
     assert ctw.score(make([])).count() == 0
 
 
+def test_scores_use_six_bytes_of_context(make):
+    """Only the sixth byte before the digit tells which digit it is."""
+    held = ctw.is_held_out(list(range(1000)))
+    train, (right, wrong) = np.flatnonzero(~held)[:80].tolist(), np.flatnonzero(held)[:2].tolist()
+    got = {r.doc_id: r.score for r in ctw.score(make(["a-----1", "b-----2"] * 40 + ["a-----1", "a-----2"], ids=[*train, right, wrong])).collect()}
+    assert got[right] > got[wrong] + 1
+
+
+def test_scores_keep_large_word_counts(make, monkeypatch):
+    real, more = ctw.code_counts, 1 << 24  # a float can't hold the sum
+    monkeypatch.setattr(ctw, "code_counts", lambda docs: real(docs).withColumn("n", F.when(F.col("kind") == 1, F.col("n") + more).otherwise(F.col("n"))))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:1]
+    row = ctw.score(make(["word"], ids=ids)).first()
+    assert math.isclose(row.base_score, math.log10(more + 2) + math.log10(2) - 2 * math.log10(more + 1 + 1 + 2 + 1), rel_tol=1e-12)
+
+
 def test_trees_are_a_probability():
     """Over all 256 bytes, the probabilities in a context sum to one."""
     data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
