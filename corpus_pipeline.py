@@ -12,12 +12,13 @@ from barloom.llm.bpe import bpe
 from barloom.llm.mixing import mix
 from barloom.llm.ngram_join import BROADCAST_IDS, ngram_jaccard_join
 from barloom.llm.quality import grade_texts, grades_of_labels
-from barloom.llm.shared import read, written
+from barloom.llm.shared import fresh, read, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier selects."""
-    return grade_texts(docs, grades_of_labels(read(spark, sf_dir, "labels"))).where("selected").select(*docs.columns)
+    selected = fresh(docs, "selected")
+    return grade_texts(docs, grades_of_labels(read(spark, sf_dir, "labels"))).where(F.col(selected)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on vectors and conversations, and the pipeline."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -74,6 +75,38 @@ def test_chat(spark):
     assert link_calls(table.where("false"), schemas).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    from barloom.llm.bpe import encoder
+    from barloom.llm.quality import grade_texts, grades_of_labels
+
+    from .test_text_operators import brute_components, words
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    quality, near, mixing, encoding = (stage for _, stage in corpus_pipeline.STAGES)
+    graded = grade_texts(docs.select("doc_id", "text"), grades_of_labels(spark.read.parquet(f"{sf}/labels.parquet")))
+    good = quality(spark, docs.withColumn("selected", docs.doc_id.isNotNull()), sf).drop("selected").cache()
+    assert ids(good) == ids(graded.where("selected")) and good.count() < docs.count()
+    texts = {r.doc_id: r.text for r in good.collect()}
+    kept = near(spark, good, sf).cache()
+    assert ids(kept) == [i for i, (_, label) in sorted(brute_components(sorted(texts.items()), 5, 80, 100).items()) if i == label]
+    rows = kept.collect()
+    mixed = mixing(spark, kept, sf).cache()
+    taken, size = set(ids(mixed)), {r.doc_id: len(words(r.text)) for r in rows}
+    groups = {(r.lang, r.source) for r in rows}
+    assert len(ids(mixed)) == len(taken) and sum(size[i] for i in taken) >= int(0.8 * sum(size.values()))
+    for g in groups:  # a leaf takes a prefix of its order
+        own = sorted((hashlib.md5(f"7:0:{r.doc_id}".encode()).hexdigest(), r.doc_id) for r in rows if (r.lang, r.source) == g)
+        flags = [i in taken for _, i in own if size[i]]
+        assert flags == sorted(flags, reverse=True)
+    enc = encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)[0]
+    out = {r.doc_id: r.n_tokens for r in encoding(spark, mixed, sf).collect()}
+    assert out == {i: len(enc.encode_ordinary(texts[i] or "")) for i in taken}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
