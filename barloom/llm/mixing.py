@@ -36,11 +36,19 @@ def shared_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, levels: list[str], total: Column, weights: DataFrame | None) -> DataFrame:
-    """leaves: level columns and capacity -> with the leaf's budget. weights: level, path (name/name/...), weight."""
-    budget = None
+    """leaves: level columns and capacity -> with the leaf's budget. weights: level, path (name/name/...), weight.
+
+    What lies below a node without weight can't be drawn, so it counts in ``all`` but in no capacity.
+    """
+    budget, leaves = None, leaves.withColumn("offered", F.col("capacity"))
+    for depth in range(1, len(levels) + 1 if weights is not None else 1):
+        shut = weights.where((F.col("level") == depth) & (F.col("weight") <= 0)).select(F.col("path").alias("w_path")).distinct()
+        leaves = leaves.withColumn("w", F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("")) for c in levels[:depth])))
+        leaves = leaves.join(shut, F.col("w") == F.col("w_path"), "left")
+        leaves = leaves.withColumn("capacity", F.when(F.col("w_path").isNull(), F.col("capacity")).otherwise(0.0)).drop("w", "w_path")
     for depth in range(1, len(levels) + 1):
         path, parent = levels[:depth], levels[: depth - 1]
-        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"))
+        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.sum("offered").alias("offered"))
         label = F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("")) for c in path))
         if weights is None:
             nodes = nodes.withColumn("weight", F.lit(1.0))
@@ -53,8 +61,8 @@ def budgets(leaves: DataFrame, levels: list[str], total: Column, weights: DataFr
             on = [nodes[c].eqNullSafe(above[f"b_{c}"]) for c in parent]
             nodes = nodes.join(above, on).drop(*(f"b_{c}" for c in parent))
         else:
-            all_of = nodes.agg(F.sum("capacity").alias("all"))
-            nodes = nodes.crossJoin(all_of.select(F.least(total.cast("double"), F.col("all")).alias("budget")))  # one row
+            all_of = nodes.agg(F.sum("offered").alias("all"), F.sum("capacity").alias("most"))
+            nodes = nodes.crossJoin(all_of.select(F.least(total.cast("double"), F.col("most")).alias("budget")))  # one row
         budget = shared_out(nodes, parent, levels[depth - 1]).select(*path, F.col("share").alias("budget"))
     return budget
 

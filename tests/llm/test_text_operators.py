@@ -236,6 +236,16 @@ def test_mixing_redistributes_to_siblings_first(spark, make):
     assert got == {"a1": 2, "a2": 28, "b1": 10}
 
 
+def test_mixing_gives_the_share_of_shut_groups_away(spark, make):
+    rows = [(i, "w " * 10, "a", "a1" if i < 5 else "a2", 0) for i in range(45)] + [(100 + i, "w " * 10, "b", "b1", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    weights = spark.createDataFrame([(2, "a/a2", 0.0)], "level int, path string, weight double")
+    got = collections.Counter(r.source for r in mix(docs, ["lang", "source"], part=300 / 850, epochs=1, weights=weights).collect())
+    assert got == {"a1": 5, "b1": 25}
+    got = collections.Counter(r.source for r in mix(docs, ["lang", "source"], part=1.0, epochs=1, weights=weights).collect())
+    assert got == {"a1": 5, "b1": 40}
+
+
 def test_ring(make, odd_texts):
     docs = make(odd_texts * 30, ids=[None, *range(1, len(odd_texts) * 30)]).withColumn("shard", F.lit("mine"))
     rows = ring_shards(docs, shards=7).collect()
