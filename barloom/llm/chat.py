@@ -60,16 +60,16 @@ def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     m = m.withColumn(names["link"], link)
     late = F.col(names["link"]) == "linked"
     at = F.when(late, F.greatest(turn, F.col("call.turn"))).otherwise(turn)
-    m = m.withColumns({"t_at": at, "t_after": F.when(late & (turn <= F.col("call.turn")), 1).otherwise(0)})
+    m = m.withColumns({"t_at": at, "t_after": F.when(late & (turn.isNull() | (turn <= F.col("call.turn"))), 1).otherwise(0)})
 
     # Positions: rows before a chunk of turns (summed per chunk) plus the place within the chunk.
-    m = m.withColumn("t_chunk", F.floor(F.coalesce("t_at", F.lit(0)) / CHUNK))
+    m = m.withColumn("t_chunk", F.floor(F.col("t_at") / CHUNK))
     before = m.groupBy("conv_id", "t_chunk").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("conv_id").orderBy("t_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select(F.col("conv_id").alias("b_conv"), F.col("t_chunk").alias("b_chunk"), F.coalesce(F.sum("n").over(running), F.lit(0)).alias("b_n")).where("b_n > 0")
     inside = Window.partitionBy("conv_id", "t_chunk").orderBy("t_at", "t_after", "turn", "role", "call_id", "text")
     m = m.withColumn("t_row", F.row_number().over(inside) - 1)
-    m = m.join(before, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("t_chunk") == F.col("b_chunk")), "left")
+    m = m.join(before, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("t_chunk").eqNullSafe(F.col("b_chunk")), "left")
     m = m.withColumn(names["position"], F.coalesce("b_n", F.lit(0)) + F.col("t_row"))
 
     # Arguments against schemas: a tool's parameters are one short array, joined by the tool's name.

@@ -75,6 +75,19 @@ def test_chat(spark):
     assert link_calls(table.where("false"), schemas).count() == 0
 
 
+def test_chat_with_null_turns(spark):
+    rows = [
+        (1, 4, "assistant", None, "k1", "find", "{}"), (1, None, "tool", "for k1", "k1", None, None), (1, -3000, "tool", "for k2", "k2", None, None),
+        (1, None, "user", "calls k2", "k2", "find", "{}"), (2, None, "user", "calls k3", "k3", "find", "{}"), (2, None, "a tool", "for k3", "k3", None, None),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string")
+    schemas = spark.createDataFrame([("find", "q", "string", False)], "tool string, param string, type string, required boolean")
+    got = [(r.conv_id, r.position, r.call_id, r.link) for r in link_calls(table, schemas).orderBy("conv_id", "position").collect()]
+    assert got == [
+        (1, 0, "k2", "answered"), (1, 1, "k2", "linked"), (1, 2, "k1", "answered"), (1, 3, "k1", "linked"), (2, 0, "k3", "answered"), (2, 1, "k3", "linked"),
+    ]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
     import public_tokenizers
