@@ -13,17 +13,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-LARGEST = 1 << 26
-
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """id and integer components floor(scale * x); rows that can't take part are left out."""
-    x = F.transform("vector", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
+    """id and whole components floor(scale * x) as doubles, which hold those beyond a long too; rows that can't take part are left out."""
+    scaled = lambda v: F.lit(float(scale)) * v.cast("double")
+    x = F.transform("vector", lambda v: F.when(F.abs(scaled(v)) < 2.0**53, F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))
     usable = (
         F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)
-        & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < LARGEST / scale))
+        & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     )
-    return vectors.where(usable).select("id", F.transform(x, lambda v: v.cast("int")).alias("x"), F.size("vector").alias("dim"))
+    return vectors.where(usable).select("id", x.alias("x"), F.size("vector").alias("dim"))
+
+
+def products(x: np.ndarray, q: np.ndarray, largest: float) -> np.ndarray:
+    """The exact inner products of rows and a query; as Python integers where a long may be too small."""
+    if largest < 2.0**53:
+        return (x @ q).astype(np.int64)
+    if largest < 2.0**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return whole(x) @ whole(q)
 
 
 def search_blocks(queries: pd.DataFrame, cands: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
@@ -36,22 +45,24 @@ def search_blocks(queries: pd.DataFrame, cands: pd.DataFrame, k: int, block: int
         stops = np.r_[starts[1:], len(ids)]
         high, low = np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts)
         q = np.stack(queries["x"].to_numpy()).astype(np.float64)
-        exact = np.abs(q).max() * np.abs(x).max() * x.shape[1] < 2.0**53
-        if not exact:
-            q, x, high, low = (v.astype(np.int64) for v in (q, x, high, low))
-        bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        dim = x.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            largest = np.outer(np.abs(q).max(axis=1), np.maximum(np.abs(high), np.abs(low)).max(axis=1)) * dim  # no sum exceeds it
+            bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+            bounds = np.nan_to_num(bounds + np.where(largest < 2.0**53, 0, largest * dim * 2.0**-50), nan=np.inf, posinf=np.inf)  # what rounding takes
         for i, own in enumerate(queries["id"].to_numpy(np.int64)):
-            best_id, best, kth = np.zeros(0, np.int64), np.zeros(0, x.dtype), None
+            best_id, best, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), None
             for b in np.argsort(-bounds[i], kind="stable"):
                 if kth is not None and bounds[i, b] < kth:
                     break
                 cut = slice(starts[b], stops[b])
-                score, near = x[cut] @ q[i], ids[cut]
+                score, near = products(x[cut], q[i], largest[i, b]), ids[cut]
                 keep = near != own
                 if kth is not None:
                     keep &= score >= kth
                 best_id, best = np.r_[best_id, near[keep]], np.r_[best, score[keep]]
-                top = np.lexsort((best_id, -best))[:k]
+                top = np.argsort(best_id, kind="stable")
+                top = top[np.argsort(-best[top], kind="stable")][:k]
                 best_id, best = best_id[top], best[top]
                 kth = best[-1] if len(best) == k else None
             out["query_id"].append(np.full(len(best), own))
@@ -68,8 +79,8 @@ def exact_top_k(
     vectors, queries: (id long, vector array). Gives query_id, rank (from 1), id, score; ties go to
     the smaller id, then repeat in arbitrary but complete order for repeated rows. A candidate with the query's own id isn't
     a candidate; of queries that repeat an id the smallest vector counts. Vectors that are null or
-    empty, hold null, NaN or infinite components, or components of 2**26 / scale and more, and rows
-    without id take no part; vectors meet those of their own length only. Empty tables give no rows.
+    empty or hold null, NaN or infinite components, and rows without id take no part; vectors meet those
+    of their own length only. A score among the k best that doesn't fit a long raises an error. Empty tables give no rows.
 
     A task holds ``chunk`` queries and ``group`` blocks of ``block`` ids.
     """

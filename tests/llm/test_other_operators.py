@@ -29,6 +29,20 @@ def test_top_k(spark):
     assert exact_top_k(table.where("id < 3"), table.where("id = 0"), k=7).count() == 2
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9, 10, (60, 3)) * 10.0 ** rng.integers(0, 5, (60, 3))
+    x[10:20] = np.abs(rng.integers(1, 900, (10, 3))) * [0, 1, -1]
+    x[6], x[7], x[8], x[9] = [0, 3.0e9 + 1, 1], [65536.0, 0, 0], [3.0e5, -(2.0**45), 1], [1e30, 0, 0]
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "id long, vector array<double>")
+    asked = range(10, 20)
+    q = [[int(v) * 1024 for v in row] for row in x]
+    score = {i: {j: sum(a * b for a, b in zip(q[i], q[j])) for j in range(60) if j != i} for i in asked}
+    want = {(i, n + 1, j, score[i][j]) for i in asked for n, j in enumerate(sorted(score[i], key=lambda j: (-score[i][j], j))[:5])}
+    got = {tuple(r) for r in exact_top_k(table, table.where(table.id.between(10, 19)), k=5, block=8, group=3, chunk=4).collect()}
+    assert got == want
+
+
 def test_near_duplicate_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 16))
