@@ -4,169 +4,238 @@ Method: universe-partition pigeonhole. The shingle universe is hashed into segme
 segments follows from the size band. Two sets within the threshold differ in at most H shingles, so
 with values that sum to H + 1 + e over the segments, either a segment of value 2 differs in at most
 one shingle (both sides index it with its one-deletion neighbourhood), or 1 + e segments of value 1
-are equal. Each document may then leave out its e poorest value-1 segments (fewest shingles, ties by
-content): the best of 1 + e equal segments is indexed on both sides. How many segments get value 2
-and how large e is, is chosen per band by a cost model from the number of sets in the band. Sets are
-compared exactly afterwards, so the segments only have to lose nothing.
+are equal. Each document may then leave out e segments of value 1, those that most documents share:
+the first of 1 + e equal segments in any order that only content decides is indexed on both sides.
+The order is by the segments' frequency in the whole corpus, so a passage that many documents share
+fills no buckets. How many segments get value 2 and how large e is, is chosen for each band by the
+cost that a bounded sample of the band shows. Sets are compared exactly afterwards, so the segments
+only have to lose nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textcodes as tc
 from .bpe import slices
-from .shared import components, fresh, written
+from .shared import components, frequent, fresh, written
 
-PARITY = 4  # longs of parity bits, a lower bound of the symmetric difference
+PARITY = 16  # longs of parity bits, a lower bound of the symmetric difference
 BROADCAST_IDS = 1_000_000
+SAMPLE = 512, 1 << 19  # the most sets and shingles of a band in the sample that tells the cost
+OFTEN = 4  # a segment counts as shared by many from so many sets on
+HEAD = 1 << 20  # the most segments whose frequency the tasks get to know
+SLICE = 1 << 19  # bytes of text that a task works on at once, but for single longer texts
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Size bands and, per band, the segments: ``double`` of value 2, the rest of value 1, ``spare`` = e."""
+    """Size bands and, for each band, the segments: ``double`` of value 2, the rest of value 1, ``spare`` = e."""
 
     num: int
     den: int
     low: tuple[int, ...]
-    double: tuple[int, ...] = ()
-    spare: tuple[int, ...] = ()
+    double: tuple[int, ...]
+    spare: tuple[int, ...]
 
     @classmethod
     def make(cls, num: int, den: int, largest: int, ratio: float = 1.5) -> Bands:
         low = [1]
         while low[-1] <= largest:
             low.append(max(low[-1] + 1, math.floor(low[-1] * ratio)))
-        return cls(num, den, tuple(low))
-
-    def bound(self, a: int, band: int) -> int:
-        """The most shingles in which a set of ``a`` can differ from a linked, not smaller set of the band."""
-        partner = min(self.low[band + 1] - 1, a * self.den // self.num)
-        return (self.den - self.num) * (a + partner) // (self.den + self.num)
-
-    def values(self, band: int) -> int:
-        return self.bound(self.low[band + 1] - 1, band) + 1 + self.spare[band]
-
-    def allocated(self, sets: dict[int, int]) -> Bands:
-        """Cost-based allocation: keys written plus expected chance meetings, for each band's number of sets."""
-        double, spare = [], []
-        for band in range(len(self.low) - 1):
-            n, h = sets.get(band, 0), self.bound(self.low[band + 1] - 1, band)
-            size = (self.low[band] + self.low[band + 1] - 1) / 2
-            best = (math.inf, 0, 0)
-            for e in sorted({0, (h + 2) // 4, (h + 1) // 2, h + 1}):
-                for d in sorted({0, (h + 1 + e) // 4, (h + 1 + e) // 2}):
-                    m = h + 1 + e - d
-                    mean = size / m
-                    keys = (h + 1 - 2 * d if h + 1 > 2 * d else 0) + d * (mean + 1)
-                    alone = math.exp(-0.8 * mean)  # a segment with nothing but what a fifth of two texts share
-                    kept = max(0.0, 1 - e / max(1, m - d))
-                    chance = (m - d) * alone * kept * kept + d * alone * (1 + 0.8 * mean)
-                    best = min(best, (n * keys + n * n * chance / 200, d, e))
-            double.append(best[1])
-            spare.append(best[2])
-        return Bands(self.num, self.den, self.low, tuple(double), tuple(spare))
-
-    def keys(self, u: np.ndarray) -> np.ndarray:
-        """The index keys of a set of distinct hashes."""
-        a, out = len(u), []
-        own = int(np.searchsorted(self.low, a, "right")) - 1
-        for band in (own, own + 1):
-            if band > own and (band + 1 >= len(self.low) or a * self.den // self.num < self.low[band]):
+        bands = cls(num, den, tuple(low), (0,) * (len(low) - 1), (0,) * (len(low) - 1))
+        return replace(bands, spare=tuple((h + 4) // 4 for h in bands.most()))
+
+    def bound(self, size, band):
+        """The most shingles in which a set of this size can differ from a linked, not smaller set of the band."""
+        partner = np.minimum(np.array(self.low)[np.asarray(band) + 1] - 1, size * self.den // self.num)
+        return (self.den - self.num) * (size + partner) // (self.den + self.num)
+
+    def most(self) -> list[int]:
+        """The bound of each band's largest sets: H."""
+        own = np.arange(len(self.low) - 1)
+        return self.bound(np.array(self.low)[1:] - 1, own).tolist()
+
+    def options(self, band: int) -> list[tuple[int, int]]:
+        """What double and spare may be for a band."""
+        h = self.most()[band]
+        return sorted({(d, e) for e in (0, (h + 4) // 4, h + 1) for d in (0, (h + 2) // 4, (h + 1 + e) // 2)})
+
+    def keys(self, edges: np.ndarray, items: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Index keys of many sets: (set, key). ``often``: sorted segments that many sets share, and a level for each.
+
+        Set i has the distinct hashes ``items[edges[i]:edges[i + 1]]``. Without ``often``, all segments of value 1
+        and nothing else.
+        """
+        low, double, spare = np.array(self.low), np.array(self.double), np.array(self.spare)
+        size = np.diff(edges)
+        own = np.searchsorted(low, size, "right") - 1
+        sets, bands = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(len(low)):
+            band = own + step
+            at = np.flatnonzero((size > 0) & (band + 1 < len(low)))
+            at = at[(step == 0) | (size[at] * self.den // self.num >= low[band[at]])]
+            if not len(at):
                 break
-            h, d = self.bound(a, band), self.double[band]
-            m = self.values(band) - d
-            if h == 0 and band == own and self.bound(self.low[band + 1] - 1, band) == 0:
-                continue  # only equal sets link here, and those are one class already
-            mixed = tc.mix(u + tc.U(band))
-            seg = (mixed >> tc.U(20)) % tc.U(m)
-            order = np.argsort(seg, kind="stable")
-            edge = np.searchsorted(seg[order], np.arange(m + 1, dtype=tc.U))
-            run = np.r_[tc.U(0), np.cumsum(mixed[order])]
-            total, count = run[edge[1:]] - run[edge[:-1]], np.diff(edge)
-            name = tc.mix(np.arange(m, dtype=tc.U) + tc.U((band + 1) << 32))
-            if d:
-                in_double = order[: edge[d]]
-                s = seg[in_double].astype(np.int64)
-                out += [tc.mix(total[:d] ^ name[:d]), tc.mix((total[s] - mixed[in_double]) ^ name[s])]
-            whole = tc.mix(total[d:] ^ name[d:])
-            out.append(whole[np.lexsort((whole, -count[d:]))[: max(0, h + 1 - 2 * d)]])
-        return tc.distinct(np.concatenate(out)) if out else np.zeros(0, tc.U)
-
-
-def parts(batches) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of 2 MB of text, but for single longer texts, which bounds what a task holds."""
-    for batch in batches:
-        yield from slices(batch, 1, 1 << 21)
-
-
-def hashed_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
-    """Each row's set of shingle hashes; the text is column 1."""
-    offsets, b = tc.texts(batch.column(1))
-    for i in range(len(offsets) - 1):
-        text = tc.LOWER[b[offsets[i] : offsets[i + 1]]]
-        yield tc.shingles(tc.span_hashes(text, *tc.word_spans(text)), k)
-
-
-def parity(u: np.ndarray) -> np.ndarray:
-    cell = np.bincount((tc.mix(u ^ tc.U(0x5851F42D4C957F2D)) >> tc.U(56)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(cell.astype(bool)).view(np.int64)
-
-
-MARKS = [f"p{j}" for j in range(PARITY)]
+            at = at[self.bound(size[at], band[at]) > 0]  # otherwise only equal sets link, which are one class already
+            sets.append(at)
+            bands.append(band[at])
+        sets, bands = np.concatenate(sets), np.concatenate(bands)
+        if not len(sets):
+            return np.zeros(0, np.int64), np.zeros(0, tc.U)
+        d, segments = double[bands], np.array(self.most())[bands] + 1 + spare[bands] - double[bands]
+        base = np.r_[0, np.cumsum(segments)]
+        n = size[sets]
+        row = np.repeat(np.arange(len(sets)), n)
+        item = items[np.repeat(edges[sets] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        mixed = tc.mix(item + bands[row].astype(tc.U))
+        segment = ((mixed >> tc.U(20)) % segments[row].astype(tc.U)).astype(np.int64)
+        cell = base[row] + segment
+        total = np.zeros(base[-1], tc.U)
+        np.add.at(total, cell, mixed)
+        owner = np.repeat(np.arange(len(sets)), segments)
+        number = np.arange(base[-1]) - base[owner]
+        name = tc.mix(number.astype(tc.U) + ((bands[owner] + 1).astype(tc.U) << tc.U(32)))
+        whole, single = tc.mix(total ^ name), number >= d[owner]
+        if often is None:
+            return sets[owner[single]], whole[single]
+        far = segment < d[row]
+        cells = np.flatnonzero(single)
+        level = np.zeros(len(cells), np.int64)
+        if len(often[0]):
+            near = np.minimum(np.searchsorted(often[0], whole[cells]), len(often[0]) - 1)
+            level = np.where(often[0][near] == whole[cells], often[1][near], 0)
+        count = np.bincount(cell, minlength=base[-1])[cells]
+        rank = (level.astype(tc.U) << tc.U(56)) | ((255 - np.minimum(count, 255)).astype(tc.U) << tc.U(48)) | (whole[cells] >> tc.U(16))
+        cells = cells[np.lexsort((rank, owner[cells]))]
+        of = owner[cells]
+        place = np.arange(len(cells)) - np.searchsorted(of, np.arange(len(sets)))[of]
+        cells = cells[place < (self.bound(n, bands) + 1 - 2 * d)[of]]
+        return (
+            np.r_[sets[owner[cells]], sets[owner[~single]], sets[row[far]]],
+            np.r_[whole[cells], whole[~single], tc.mix((total[cell[far]] - mixed[far]) ^ name[cell[far]])],
+        )
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 4 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
+def sets_of_batch(batch: pa.RecordBatch, k: int):
+    """For slices of a batch (id, text): the slice, edges and sorted distinct shingle hashes of its sets."""
+    for part in slices(batch, 1, SLICE):
+        offsets, b = tc.texts(part.column(1))
+        b, offsets = tc.LOWER[b[offsets[0] : offsets[-1]]], offsets - offsets[0]
+        starts, ends = tc.word_spans_of_texts(b, offsets)
+        words = tc.span_hashes(b, starts, ends)
+        first = np.searchsorted(starts, offsets)
+        yield part, *tc.shingle_sets(words, first, k)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set (n_shingles 0: none) and its parity bits."""
 
     def run(batches):
-        for batch in parts(batches):
-            n, hashes, bits = [], [], []
-            for u in hashed_sets(batch, k):
-                n.append(len(u))
-                hashes.append((u.sum(dtype=tc.U), tc.mix(u + tc.U(77)).sum(dtype=tc.U)))
-                bits.append(parity(u))
-            cols = [*np.array(hashes, tc.U).reshape(-1, 2).view(np.int64).T, *np.array(bits, np.int64).reshape(-1, PARITY).T]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in cols)],
-                ["doc_id", "n_shingles", "h1", "h2", *MARKS],
-            )
+        for batch in batches:
+            for part, edges, u in sets_of_batch(batch, k):
+                n, row = np.diff(edges), np.repeat(np.arange(part.num_rows), np.diff(edges))
+                cols = [tc.sums(u, edges), tc.sums(tc.mix(u + tc.U(77)), edges)]
+                cell = (tc.mix(u ^ tc.U(0x5851F42D4C957F2D)) % tc.U(64 * PARITY)).astype(np.int64)
+                odd = np.bincount(row * 64 * PARITY + cell, minlength=part.num_rows * 64 * PARITY) & 1
+                cols += list(np.packbits(odd.astype(bool)).view(np.int64).reshape(part.num_rows, PARITY).T)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in cols)],
+                    ["doc_id", "n_shingles", "h1", "h2", *MARKS],
+                )
 
     kinds = ", ".join(f"{m} long" for m in MARKS)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {kinds}")
 
 
-def index_keys(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+MARKS = [f"p{j}" for j in range(PARITY)]
+
+
+def allocated(docs: DataFrame, reps: DataFrame, bands: Bands, k: int) -> Bands:
+    """The bands with the cheapest allocation: keys to shuffle and pairs to compare, as a sample of each band shows them.
+
+    The sample has about ``SAMPLE`` sets and shingles of a band; it only bears on the cost, never on results.
+    """
+    band = sum((F.when(F.col("size") >= x, 1).otherwise(0) for x in bands.low), F.lit(-1))
+    reps = reps.select("rep", band.alias("band"))
+    sets = {r[0]: r[1] for r in reps.groupBy("band").count().collect()}
+    if not sets:
+        return bands
+    share = {b: min(1.0, min(SAMPLE[0], max(8, SAMPLE[1] // bands.low[b + 1])) / n) for b, n in sets.items()}
+    some = F.coalesce(*(F.when(F.col("band") == b, F.lit(int(s * (1 << 30)))) for b, s in share.items()))
+    wanted = reps.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1 << 30)) < some).select(F.col("rep").alias("doc_id"), "band")
+
+    def items(batches):
+        for batch in batches:
+            for part, edges, u in sets_of_batch(batch, k):
+                flat = pa.LargeListArray.from_arrays(pa.array(edges), pa.array(u.view(np.int64))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(2), flat], ["band", "items"])
+
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        b = int(rows["band"].iloc[0])
+        own = sorted((np.asarray(x, np.int64).view(tc.U) for x in rows["items"]), key=lambda x: (len(x), x[:1].tolist()))
+        edges, flat, out = np.r_[0, np.cumsum([len(x) for x in own])], np.concatenate(own), []
+        times = sets[b] / len(own)
+        for d, e in bands.options(b):
+            tried = replace(bands, double=tuple(d if i == b else x for i, x in enumerate(bands.double)), spare=tuple(e if i == b else x for i, x in enumerate(bands.spare)))
+            seen, n = np.unique(tried.keys(edges, flat, None)[1], return_counts=True)
+            keys = tried.keys(edges, flat, (seen, np.where(n > 1, levels(n), 0)))[1]
+            n = np.unique(keys, return_counts=True)[1].astype(float)
+            out.append((b, d, e, len(keys) * times + (n * (n - 1) / 2).sum() * times * times / 4))
+        return pd.DataFrame(out, columns=["band", "double", "spare", "cost"])
+
+    found = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "band").mapInArrow(items, "band int, items array<long>")
+    found = found.groupBy("band").applyInPandas(measure, "band int, double int, spare int, cost double")
+    double, spare = list(bands.double), list(bands.spare)
+    for r in found.groupBy("band").agg(F.min(F.struct("cost", "double", "spare")).alias("r")).collect():
+        double[r["band"]], spare[r["band"]] = r["r"]["double"], r["r"]["spare"]
+    return replace(bands, double=tuple(double), spare=tuple(spare))
+
+
+def often_shared(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The segments that most sets share, counted over all sets: sorted keys and levels, ``HEAD`` at the most."""
+
+    def run(batches):
+        for batch in batches:
+            for _, edges, u in sets_of_batch(batch, k):
+                yield pa.RecordBatch.from_arrays([pa.array(bands.keys(edges, u, None)[1].view(np.int64))], ["key"])
+
+    counts = docs.select("doc_id", "text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = frequent(written(counts.where(F.col("n") >= OFTEN), "segments"), "n", HEAD).toArrow()
+    keys = found["key"].to_numpy().view(tc.U)
+    order = np.argsort(keys)
+    return keys[order], levels(found["n"].to_numpy()[order])
+
+
+def index_keys(docs: DataFrame, k: int, bands: Bands, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (key, id): the index of all sets, one row for each key of a set."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        for batch in parts(batches):
-            ids, keys = [], []
-            for i, u in zip(batch.column(0).to_pylist(), hashed_sets(batch, k)):
-                if len(u) and len(own := bands.keys(u)):
-                    ids.append(np.full(len(own), i, np.int64))
-                    keys.append(own.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+        for batch in batches:
+            for part, edges, u in sets_of_batch(batch, k):
+                own, keys = bands.keys(edges, u, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(pa.array(own))], ["key", "id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, id long")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for batch in parts(batches):
-            u = list(hashed_sets(batch, k))
-            ends = np.cumsum([0, *map(len, u)]).astype(np.int32)
-            flat = np.concatenate([*u, np.zeros(0, tc.U)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "items"]
-            )
+        for batch in batches:
+            for part, edges, u in sets_of_batch(batch, k):
+                flat = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(u.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), flat], ["id", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, items array<long>")
 
@@ -178,12 +247,6 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
     return (a * den >= b * num) & (b * den >= a * num) & (odd * (den + num) <= (a + b) * (den - num))
 
 
-def plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(marks.select(F.col("id").alias(side), F.struct("size", *MARKS).alias(f"m{side}")), side)
-    return pairs.where(may_link("ma", "mb", num, den)).select("a", "b").distinct()
-
-
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, compared whole."""
     pairs = written(pairs, "to-verify")
@@ -197,16 +260,29 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return both.where(shared * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b").distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def leading_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """For each component the likeliest partner: of its leaders and the first leaders of their buckets, the two that meet most.
+
+    rows: key, id, comp. One pair for each component at the most, whatever the size of a bucket.
+    """
+    leads = rows.groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "id").alias("o"), "id")).alias("lead"))
+    first = leads.groupBy("key").agg(F.min("lead").alias("first"))
+    met = leads.join(first, "key").where("lead <> first").select("comp", F.col("lead.id").alias("x"), F.col("first.id").alias("y"))
+    met = met.groupBy("comp", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("comp").agg(F.max(F.struct("n", "x", "y")).alias("p"))
+    return best.select(F.greatest("p.x", "p.y").alias("a"), F.least("p.x", "p.y").alias("b")).where("a <> b").distinct()
+
+
+def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
     """Links documents whose sets of ``words``-word shingles have den * |x & y| >= num * |x | y|.
 
     docs: doc_id, text; other columns, of any name, come back unchanged. Adds n_shingles (set size) and
     component_id (smallest doc_id reachable by links). Shingles are compared by 64-bit hashes.
 
-    Equal sets are one class from the start, so copies cost one row each. In the index, each set is
-    first compared with the first member of each of its buckets; then only members of one bucket
-    which no link joins yet are compared with one another, and no link between two texts is lost that
-    could join components. No bucket is capped.
+    Equal sets are one class from the start, so copies cost one row each. In each of ``rounds``, every
+    component compares one leader with one leader of another component that shares its buckets, and what
+    links is united. Then members of one bucket which no link joins yet are compared with one another
+    behind an exact lower bound of their difference; no link that could join components is lost. No bucket is capped.
 
     Null or empty text, or white space alone: n_shingles 0, component_id = doc_id, no link. A null
     doc_id: component_id null, no link. Rows of one doc_id count as one document, by any of their
@@ -221,41 +297,36 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
         ),
         "classes",
     )
-    bands = Bands.make(num, den, reps.agg(F.max("size")).first()[0] or 0)
-    band = sum((F.when(F.col("size") >= x, 1).otherwise(0) for x in bands.low), F.lit(-1))
-    bands = bands.allocated({r[0]: r[1] for r in reps.groupBy(band.alias("band")).count().collect()})
+    plain = docs.select("doc_id", "text").where("doc_id is not null")
+    bands = allocated(plain, reps, Bands.make(num, den, reps.agg(F.max("size")).first()[0] or 0), words)
 
     copies = reps.where("copies > 1").select("h1", "h2", "rep")
     several = known.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")
     others = known.join(copies, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
     same = others.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     spare = written(others.join(several, "doc_id", "left_anti").select("doc_id").distinct(), "spare")
-    plain = docs.select("doc_id", "text").where("doc_id is not null")
     singles = plain.join(F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare, "doc_id", "left_anti")
     marks = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), *MARKS)
 
     bucket = Window.partitionBy("key")
-    met = (
-        index_keys(singles, words, bands)
-        .withColumn("first", F.min(F.struct(F.xxhash64("id").alias("o"), "id")).over(bucket)["id"])
-        .withColumn("other", (F.min("id").over(bucket) != F.max("id").over(bucket)))
-        .where("other")
-        .drop("other")
-    )
-    met = written(met, "met")
-    star = met.where("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
-    star = written(plausible(star, marks, num, den), "star")
-    links = written(verified(star, docs, words, num, den).unionByName(same), "links")
-    linked = components(links)
-
-    rows = met.drop("first").join(linked, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
-    apart = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = written(rows.join(apart, "key", "left_semi").join(marks, "id"), "apart")
+    met = index_keys(singles, words, bands, often_shared(singles, words, bands))
+    met = met.withColumn("other", F.min("id").over(bucket) != F.max("id").over(bucket)).where("other").drop("other")
+    rows = written(met.withColumn("comp", F.col("id")), "met")
+    links, tested = same, None
+    for turn in range(rounds):
+        pairs = written(leading_pairs(rows, turn), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = written(links.unionByName(verified(pairs, docs, words, num, den)), "links")
+        linked = components(links)
+        rows = rows.select("key", "id").join(linked, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
+        apart = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        rows = written(rows.join(apart, "key", "left_semi"), "apart")
+
+    rows = written(rows.join(marks, "id"), "marked")
     x, y = rows.alias("x"), rows.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may_link("x", "y", num, den))
     pairs = written(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "pairs")
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    linked = components(links.unionByName(verified(pairs, docs, words, num, den)))
+    linked = components(links.unionByName(verified(pairs.join(tested, ["a", "b"], "left_anti"), docs, words, num, den)))
 
     label = (
         sig.join(copies, ["h1", "h2"], "left")

@@ -86,6 +86,36 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return distinct(h + U(n - k & 0xFFFF))
 
 
+def word_spans_of_texts(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As word_spans, for texts one after another at ``offsets`` (n + 1): no word reaches over an edge."""
+    word = np.r_[False, ~SPACE[b], False]
+    edge = np.zeros(len(b) + 1, bool)
+    edge[offsets] = True
+    return np.flatnonzero(word[1:] & (~word[:-1] | edge)), np.flatnonzero(word[:-1] & (~word[1:] | edge))
+
+
+def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles, for texts whose words begin at ``first`` (n + 1): edges and, between them, each text's set."""
+    count = np.diff(first)
+    h = np.zeros(max(0, len(words) - k + 1), U)
+    for i in range(k if len(h) else 0):
+        h = mix(h + words[i : len(words) - k + 1 + i] * U(2 * i + 3))
+    out = []
+    for i, n in zip(first.tolist(), count.tolist()):
+        out.append(np.sort(h[i : i + n - k + 1]) if n >= k else shingles(words[i : i + n], k))
+    edges = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int64)
+    flat = np.concatenate([*out, np.zeros(0, U)])
+    keep = np.r_[True, flat[1:] != flat[:-1]][: len(flat)]
+    keep[edges[:-1][np.diff(edges) > 0]] = True
+    return np.r_[0, np.cumsum(keep)][edges], flat[keep]
+
+
+def sums(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 between edges."""
+    run = np.r_[U(0), np.cumsum(x, dtype=U)]
+    return run[edges[1:]] - run[edges[:-1]]
+
+
 def segment_edges(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where texts can be cut into pieces that a tokenizer encodes one by one.
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empty and long texts, repeats and empty tables."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import uuid
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import ctw, huffman
+from barloom.llm import ctw, huffman, ngram_join
 from barloom.llm.bpe import bpe, encoder
 from barloom.llm.mixing import mix
 from barloom.llm.ngram_join import Bands, ngram_jaccard_join
@@ -67,26 +68,44 @@ def test_ngram_join_odd_tables(make):
     assert ngram_jaccard_join(docs.where("false").select("doc_id", "text")).count() == 0
 
 
-def test_segments_lose_no_link():
-    """Any two sets within the bound share a key, whatever the allocation."""
+@pytest.mark.parametrize("num", [80, 90, 50])
+def test_segments_lose_no_link(num):
+    """Any two sets within the bound share a key, whatever the allocation and whichever segments count as shared by many."""
     rng = np.random.default_rng(7)
-    for double, spare in ((0, 0), (2, 1), (1, 3)):
-        bands = Bands.make(80, 100, 2000)
-        n = len(bands.low) - 1
-        most = [bands.bound(bands.low[b + 1] - 1, b) + 1 for b in range(n)]
-        bands = Bands(80, 100, bands.low, tuple(min(double, (h + spare) // 2) for h in most), (spare,) * n)
-        for _ in range(150):
+    plain = Bands.make(num, 100, 2000)
+    most = plain.most()
+    for double, spare in ((0, 0), (2, 1), (1, 3), (0, 9)):
+        bands = dataclasses.replace(plain, double=tuple(min(double, (h + 1 + spare) // 2) for h in most), spare=(spare,) * len(most))
+        for _ in range(100):
             a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(5, 300)), dtype=np.uint64))
             other = set(a.tolist())
-            for _ in range(int(rng.integers(0, len(a) // 4 + 1))):
+            for _ in range(int(rng.integers(0, len(a) * (100 - num) // 80 + 2))):
                 if rng.random() < 0.5 and len(other) > 1:
                     other.discard(next(iter(other)))
                 else:
                     other.add(int(rng.integers(0, 1 << 63)))
             b = np.array(sorted(other), np.uint64)
+            edges, flat = np.array([0, len(a), len(a) + len(b)]), np.r_[a, b]
+            every = np.sort(bands.keys(edges, flat, None)[1])
+            often = every[rng.random(len(every)) < 0.5]
+            row, keys = bands.keys(edges, flat, (often, rng.integers(0, 255, len(often))))
             shared = len(np.intersect1d(a, b))
-            if 100 * shared >= 80 * (len(a) + len(b) - shared) and shared != len(a) + len(b) - shared:
-                assert np.intersect1d(bands.keys(a), bands.keys(b)).size, (len(a), len(b), double, spare)
+            if 100 * shared >= num * (len(a) + len(b) - shared) and shared != len(a) + len(b) - shared:
+                assert np.intersect1d(keys[row == 0], keys[row == 1]).size, (len(a), len(b), double, spare)
+
+
+def test_ngram_join_with_a_shared_passage(make, monkeypatch):
+    """A passage that fills half of 2,000 different texts makes no candidates; the near copies among them are found."""
+    compared = []
+    real = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (compared.append(pairs.count()), real(pairs, *rest))[1])
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 1 << 30, 30)), *passage, *(f"w{x}" for x in rng.integers(0, 1 << 30, 30))]) for _ in range(2000)]
+    texts += [texts[i] + " end" for i in range(0, 2000, 100)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(make(texts).select("doc_id", "text")).collect()}
+    assert got == {i: i if i < 2000 else (i - 2000) * 100 for i in range(len(texts))}
+    assert sum(compared) < 2000
 
 
 def test_components(spark):
