@@ -31,6 +31,7 @@ BROADCAST_IDS = 1_000_000
 SAMPLE = 512, 1 << 19  # the most sets and shingles of a band in the sample that tells the cost
 OFTEN = 4  # a segment counts as shared by many from so many sets on
 HEAD = 1 << 20  # the most segments whose frequency the tasks get to know
+SHORT = tc.U(24)  # bits left out of a segment's key where only its frequency matters
 SLICE = 1 << 19  # bytes of text that a task works on at once, but for single longer texts
 
 
@@ -70,8 +71,8 @@ class Bands:
     def keys(self, edges: np.ndarray, items: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """Index keys of many sets: (set, key). ``often``: sorted segments that many sets share, and a level for each.
 
-        Set i has the distinct hashes ``items[edges[i]:edges[i + 1]]``. Without ``often``, all segments of value 1
-        and nothing else.
+        Set i has the distinct hashes ``items[edges[i]:edges[i + 1]]``. Without ``often``, all segments of value 1,
+        in the short form in which they are counted, and nothing else.
         """
         low, double, spare = np.array(self.low), np.array(self.double), np.array(self.spare)
         size = np.diff(edges)
@@ -104,13 +105,14 @@ class Bands:
         name = tc.mix(number.astype(tc.U) + ((bands[owner] + 1).astype(tc.U) << tc.U(32)))
         whole, single = tc.mix(total ^ name), number >= d[owner]
         if often is None:
-            return sets[owner[single]], whole[single]
+            return sets[owner[single]], whole[single] >> SHORT
         far = segment < d[row]
         cells = np.flatnonzero(single)
         level = np.zeros(len(cells), np.int64)
         if len(often[0]):
-            near = np.minimum(np.searchsorted(often[0], whole[cells]), len(often[0]) - 1)
-            level = np.where(often[0][near] == whole[cells], often[1][near], 0)
+            short = whole[cells] >> SHORT
+            near = np.minimum(np.searchsorted(often[0], short), len(often[0]) - 1)
+            level = np.where(often[0][near] == short, often[1][near], 0)
         count = np.bincount(cell, minlength=base[-1])[cells]
         rank = (level.astype(tc.U) << tc.U(56)) | ((255 - np.minimum(count, 255)).astype(tc.U) << tc.U(48)) | (whole[cells] >> tc.U(16))
         cells = cells[np.lexsort((rank, owner[cells]))]
@@ -188,10 +190,11 @@ def allocated(docs: DataFrame, reps: DataFrame, bands: Bands, k: int) -> Bands:
         times = sets[b] / len(own)
         for d, e in bands.options(b):
             tried = replace(bands, double=tuple(d if i == b else x for i, x in enumerate(bands.double)), spare=tuple(e if i == b else x for i, x in enumerate(bands.spare)))
-            seen, n = np.unique(tried.keys(edges, flat, None)[1], return_counts=True)
+            every = tried.keys(edges, flat, None)[1]
+            seen, n = np.unique(every, return_counts=True)
             keys = tried.keys(edges, flat, (seen, np.where(n > 1, levels(n), 0)))[1]
             n = np.unique(keys, return_counts=True)[1].astype(float)
-            out.append((b, d, e, len(keys) * times + (n * (n - 1) / 2).sum() * times * times / 4))
+            out.append((b, d, e, (len(keys) + len(every) / 2) * times + (n * (n - 1) / 2).sum() * times * times / 4))
         return pd.DataFrame(out, columns=["band", "double", "spare", "cost"])
 
     found = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "band").mapInArrow(items, "band int, items array<long>")

@@ -45,7 +45,7 @@ def features(text: np.ndarray) -> np.ndarray:
         min(12, int(12 * len(several) / n)),
         min(12, int(12 * float((kinds == 1).sum()) / max(1, int((kinds < 2).sum())))),
         min(12, int(24 * float(((kinds == 3) & ~tc.SPACE[text]).sum()) / len(text))),
-        min(12, int(12 * float(len(several[np.isin(several, words[:-1][words[1:] == words[:-1]])]) > 0) + 8 * float((words[1:] == words[:-1]).mean() if n > 1 else 0))),
+        min(12, int(12 * len(tc.distinct(words[:-1][words[1:] == words[:-1]])) / len(several) + 8 * float((words[1:] == words[:-1]).mean() if n > 1 else 0))),
         min(12, int(np.log2(n + 1))),
     )
     extra = tc.mix(np.array([i * 64 + s for i, s in enumerate(stats)], np.uint64) + tc.U(1 << 40))
@@ -70,70 +70,95 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], grades: int, *, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
+@dataclass
+class Sample:
+    """Rated texts: each one's grade, number of features, and those of its features that the fit sees, one after another."""
+
+    grade: np.ndarray
+    features: np.ndarray
+    seen: np.ndarray
+    at: np.ndarray
+
+    def loss(self, weights: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean log likelihood and its gradients by the weights and the thresholds."""
+        rows, doc = len(self.grade), np.repeat(np.arange(len(self.grade)), self.seen)
+        value = (np.sqrt(self.features) / self.seen)[doc]  # sums over features, by the root of their number
+        score = np.bincount(doc, weights[self.at] * value, rows)
+        above = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -40, 40)))  # P(grade > j)
+        full, every = np.c_[np.ones(rows), above, np.zeros(rows)], np.arange(rows)
+        p = np.maximum(full[every, self.grade] - full[every, self.grade + 1], 1e-9)
+        slope = np.c_[np.zeros(rows), above * (1 - above), np.zeros(rows)]
+        lower, upper = slope[every, self.grade] / p, slope[every, self.grade + 1] / p
+        by_cut = np.zeros((rows, len(thresholds) + 2))
+        by_cut[every, self.grade] -= lower
+        by_cut[every, self.grade + 1] += upper
+        by_weight = np.bincount(self.at, (lower - upper)[doc] * value, len(weights)) / rows
+        return float(np.log(p).mean()), by_weight, by_cut[:, 1:-1].mean(axis=0)
+
+
+def fit(rows: Sample, grades: int, *, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Maximum likelihood with a small penalty, by Adam over the whole sample."""
-    counts = np.array([len(f) for f, _ in rows])
-    at, doc = np.concatenate([f for f, _ in rows]), np.repeat(np.arange(len(rows)), counts)
-    grade = np.array([g for _, g in rows])
-    scale = 1 / np.sqrt(counts)
-    share = np.array([(grade > j).mean() for j in range(grades - 1)])
+    share = np.array([(rows.grade > j).mean() for j in range(grades - 1)])
     cuts = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1 - 1e-3))
-    theta = np.r_[np.zeros(1 << BITS), cuts[0], np.log(np.maximum(np.diff(cuts), 0.05))]
+    size = 1 << BITS
+    theta = np.r_[np.zeros(size), cuts[0], np.log(np.maximum(np.diff(cuts), 0.05))]  # the first threshold, logs of the steps
+    cuts_of = lambda t: np.cumsum(np.r_[t[size], np.exp(t[size + 1 :])])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    value = scale[doc]
     for step in range(1, rounds + 1):
-        w, t = theta[: 1 << BITS], np.cumsum(np.r_[theta[1 << BITS], np.exp(theta[(1 << BITS) + 1 :])])
-        score = np.bincount(doc, w[at] * value, len(rows))
-        above = 1 / (1 + np.exp(-np.clip(score[:, None] - t, -40, 40)))  # P(grade > j)
-        full = np.c_[np.ones(len(rows)), above, np.zeros(len(rows))]
-        p = np.maximum(full[np.arange(len(rows)), grade] - full[np.arange(len(rows)), grade + 1], 1e-9)
-        slope = np.c_[np.zeros(len(rows)), above * (1 - above), np.zeros(len(rows))]
-        lower, upper = slope[np.arange(len(rows)), grade], slope[np.arange(len(rows)), grade + 1]
-        d_score = (lower - upper) / p
-        d_t = np.zeros((len(rows), grades + 1))
-        d_t[np.arange(len(rows)), grade] -= lower / p
-        d_t[np.arange(len(rows)), grade + 1] += upper / p
-        d_t = d_t[:, 1:-1].mean(axis=0)
-        d_raw = np.cumsum(d_t[::-1])[::-1] * np.r_[1.0, np.exp(theta[(1 << BITS) + 1 :])]
-        gradient = np.r_[np.bincount(at, d_score[doc] * value, 1 << BITS) / len(rows) - decay * w, d_raw]
+        _, by_weight, by_cut = rows.loss(theta[:size], cuts_of(theta))
+        by_step = np.cumsum(by_cut[::-1])[::-1] * np.r_[1.0, np.exp(theta[size + 1 :])]
+        gradient = np.r_[by_weight - decay * theta[:size], by_step]
         first += 0.1 * (gradient - first)
         second += 0.01 * (gradient * gradient - second)
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model(theta[: 1 << BITS], np.cumsum(np.r_[theta[1 << BITS], np.exp(theta[(1 << BITS) + 1 :])]))
+    return Model(theta[:size], cuts_of(theta))
+
 
+def rated_sample(docs: DataFrame, ratings: DataFrame, most: int, share: int = 4096) -> Sample:
+    """Features and grades of ``most`` rated ids at most, those with the smallest hash of their doc_id.
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, most: int, longest: int) -> list[tuple[np.ndarray, int]]:
-    """Features and grade of ``most`` rated texts at most, those with the smallest hash of their doc_id; texts of over
-    ``longest`` bytes are left out of the sample, so that its size is bounded."""
-    wanted = ratings.where("grade is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most).dropDuplicates(["doc_id"])
-    rows = docs.where(F.octet_length("text") <= longest).join(F.broadcast(wanted), "doc_id").select("grade", "text")
+    An id with several grades counts with the lowest one, an id with several texts with one of them. The fit
+    sees ``share`` features of a text at most, evenly drawn, so the sample's size is bounded however long texts are.
+    """
+    wanted = ratings.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches):
         for batch in batches:
-            offsets, b = tc.texts(batch.column(1))
-            own = [features(b[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([x.astype("<u4").tobytes() for x in own], pa.binary())], ["grade", "f"])
+            for part in slices(batch, 1):
+                offsets, b = tc.texts(part.column(1))
+                own = [features(b[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+                some = [x[np.linspace(0, len(x) - 1, min(len(x), share)).astype(np.int64)].astype("<u4").tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array([len(x) for x in own], pa.int32()), pa.array(some, pa.binary())], ["doc_id", "grade", "n", "f"]
+                )
 
-    found = rows.mapInArrow(run, "grade int, f binary").collect()
-    return sorted(((np.frombuffer(r["f"], "<u4").astype(np.int64), r["grade"]) for r in found), key=lambda r: (r[1], r[0].tobytes()))
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "grade")
+    rows = rows.mapInArrow(run, "doc_id long, grade int, n int, f binary").groupBy("doc_id").agg(F.min(F.struct("n", "f", "grade")).alias("r"))
+    found = rows.select("doc_id", "r.n", "r.f", "r.grade").toArrow().sort_by("doc_id").combine_chunks()
+    parts = [np.frombuffer(x.as_py(), "<u4") for x in found["f"]]
+    return Sample(
+        found["grade"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(float),
+        np.array([len(x) for x in parts], np.int64), np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.int64),
+    )
 
 
 def grade_texts(
-    docs: DataFrame, ratings: DataFrame, *, grades: int = 3, most: int = 6000, longest: int = 1 << 16, at_least: int = 2, tail: float = 0.35
+    docs: DataFrame, ratings: DataFrame, *, grades: int = 3, most: int = 6000, at_least: int = 2, tail: float = 0.35
 ) -> DataFrame:
     """Rates every whole text: expected grade, P(grade >= at_least) and whether that is ``tail`` or more.
 
     docs: doc_id, text; all columns come back with expected_grade, tail_probability and selected added
     (with an underscore where a name clashes). ratings: doc_id, grade from 0 to grades - 1; others count
-    as no rating. The fit uses ``most`` rated texts of up to ``longest`` bytes.
+    as no rating, and of several for one id the lowest counts. The fit uses ``most`` rated texts at the most.
 
     Null and empty texts and white space alone have no words and get the rating of a text without
     features. Without two different ratings in the sample nothing can be fitted: probabilities are null
     and every text is selected. Rows may repeat. An empty table gives no rows.
     """
     names = [fresh(docs, c) for c in ("expected_grade", "tail_probability", "selected")]
-    rows = rated_sample(docs.select("doc_id", "text"), ratings.where(F.col("grade").between(0, grades - 1)).select("doc_id", "grade"), most, longest)
-    if len({g for _, g in rows}) < 2:
+    rows = rated_sample(docs.select("doc_id", "text"), ratings.where(F.col("grade").between(0, grades - 1)).select("doc_id", "grade"), most)
+    if len(np.unique(rows.grade)) < 2:
         return docs.withColumns({names[0]: F.lit(None).cast("double"), names[1]: F.lit(None).cast("double"), names[2]: F.lit(True)})
     model = fit(rows, grades)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))

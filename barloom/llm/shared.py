@@ -37,33 +37,31 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long): rows (id, component_id).
 
     component_id is the smallest id of the component; only ids with an edge to another id appear.
-    Alternating large-star and small-star rounds, each written to the shared folder, until the edge
-    set stops changing; nothing but two checksums per round comes to the driver.
+    Alternating large-star and small-star steps, written to the shared folder after two of each, until the
+    edge set stops changing; nothing but two checksums comes to the driver each time.
     """
-    spark = edges.sparkSession
     live = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     seen = None
     while True:
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(
-            F.explode(
-                F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(
-                    F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-                )
-            ).alias("e")
-        )
-        live = written(small.select("e.a", "e.b").distinct(), "edges")
         now = live.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             return live.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(
                 live.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
             )
-        seen = now
+        seen, live = now, written(star_round(star_round(live)), "edges")
+
+
+def star_round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over edges with a > b."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    moved = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    small = large.join(low, "a").select(F.explode(F.when(F.col("b") == F.col("m"), F.slice(moved, 1, 1)).otherwise(moved)).alias("e"))
+    return small.select("e.a", "e.b").distinct()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
