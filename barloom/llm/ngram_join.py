@@ -264,16 +264,32 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
 
 
 def leading_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """For each component the likeliest partner: of its leaders and the first leaders of their buckets, the two that meet most.
+    """For each component the likeliest one to join: (comp, into, a, b), one row for each component at the most.
 
-    rows: key, id, comp. One pair for each component at the most, whatever the size of a bucket.
+    rows: key, id, comp. In each bucket, the component of the lowest rank is the first, and one member leads each
+    component; a component gets the first one whose leader its own leader meets most often. Ranks only fall
+    from comp to into, so there are no cycles.
     """
-    leads = rows.groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "id").alias("o"), "id")).alias("lead"))
-    first = leads.groupBy("key").agg(F.min("lead").alias("first"))
-    met = leads.join(first, "key").where("lead <> first").select("comp", F.col("lead.id").alias("x"), F.col("first.id").alias("y"))
-    met = met.groupBy("comp", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("comp").agg(F.max(F.struct("n", "x", "y")).alias("p"))
-    return best.select(F.greatest("p.x", "p.y").alias("a"), F.least("p.x", "p.y").alias("b")).where("a <> b").distinct()
+    rank, order = F.xxhash64(F.lit(1), "comp"), F.xxhash64(F.lit(seed), "id")
+    leads = rows.groupBy("key", "comp").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("lead"))
+    first = leads.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("comp").alias("into"), F.col("lead").alias("y"))).alias("first"))
+    met = leads.join(first, "key").select("comp", "first.into", F.col("lead").alias("x"), "first.y").where("comp <> into")
+    met = met.groupBy("comp", "into", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("comp").agg(F.max(F.struct("n", "into", "x", "y")).alias("p"))
+    return best.select("comp", "p.into", F.greatest("p.x", "p.y").alias("a"), F.least("p.x", "p.y").alias("b"))
+
+
+def united(rows: DataFrame, up: DataFrame) -> DataFrame:
+    """rows (key, id, comp) with the components of ``up`` (comp, into) joined, in buckets that still hold several.
+
+    Four steps up are followed; what lies farther stays apart, which costs comparisons but no links.
+    """
+    for _ in range(2):
+        above = up.select(F.col("comp").alias("into"), F.col("into").alias("top"))
+        up = up.join(above, "into", "left").select("comp", F.coalesce("top", "into").alias("into"))
+    rows = rows.join(up, "comp", "left").select("key", "id", F.coalesce("into", "comp").alias("comp"))
+    apart = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return rows.join(apart, "key", "left_semi")
 
 
 def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
@@ -318,18 +334,16 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     links, tested = same, None
     for turn in range(rounds):
         pairs = written(leading_pairs(rows, turn), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = written(links.unionByName(verified(pairs, docs, words, num, den)), "links")
-        linked = components(links)
-        rows = rows.select("key", "id").join(linked, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
-        apart = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        rows = written(rows.join(apart, "key", "left_semi"), "apart")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        good = written(verified(pairs.select("a", "b").distinct(), docs, words, num, den), "links")
+        links = links.unionByName(good)
+        rows = written(united(rows, pairs.join(good, ["a", "b"]).select("comp", "into")), "apart")
 
     rows = written(rows.join(marks, "id"), "marked")
     x, y = rows.alias("x"), rows.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may_link("x", "y", num, den))
     pairs = written(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "pairs")
-    linked = components(links.unionByName(verified(pairs.join(tested, ["a", "b"], "left_anti"), docs, words, num, den)))
+    linked = components(links.unionByName(verified(pairs.join(tested.distinct(), ["a", "b"], "left_anti"), docs, words, num, den)))
 
     label = (
         sig.join(copies, ["h1", "h2"], "left")

@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long): rows (id, component_id).
 
     component_id is the smallest id of the component; only ids with an edge to another id appear.
-    Alternating large-star and small-star steps, written to the shared folder after two of each, until the
+    Alternating large-star and small-star steps, written to the shared folder, until the
     edge set stops changing; nothing but two checksums comes to the driver each time.
     """
     live = written(
@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
             return live.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(
                 live.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
             )
-        seen, live = now, written(star_round(star_round(live)), "edges")
+        seen, live = now, written(star_round(live), "edges")
 
 
 def star_round(edges: DataFrame) -> DataFrame:
