@@ -18,7 +18,6 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -66,7 +65,7 @@ class Bands:
     def options(self, band: int) -> list[tuple[int, int]]:
         """What double and spare may be for a band."""
         h = self.most()[band]
-        return sorted({(d, e) for e in (0, (h + 4) // 4, h + 1) for d in (0, (h + 2) // 4, (h + 1 + e) // 2)})
+        return sorted({(d, e) for e in ((h + 4) // 4, h + 1) for d in (0, (h + 2) // 4, (h + 1 + e) // 2)})
 
     def keys(self, edges: np.ndarray, items: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """Index keys of many sets: (set, key). ``often``: sorted segments that many sets share, and a level for each.
@@ -183,9 +182,9 @@ def allocated(docs: DataFrame, reps: DataFrame, bands: Bands, k: int) -> Bands:
                 flat = pa.LargeListArray.from_arrays(pa.array(edges), pa.array(u.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(2), flat], ["band", "items"])
 
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        b = int(rows["band"].iloc[0])
-        own = sorted((np.asarray(x, np.int64).view(tc.U) for x in rows["items"]), key=lambda x: (len(x), x[:1].tolist()))
+    def measure(rows: pa.Table) -> pa.Table:
+        b = rows["band"][0].as_py()
+        own = sorted((np.array(x.as_py(), np.int64).view(tc.U) for x in rows["items"]), key=lambda x: (len(x), x[:1].tolist()))
         edges, flat, out = np.r_[0, np.cumsum([len(x) for x in own])], np.concatenate(own), []
         times = sets[b] / len(own)
         for d, e in bands.options(b):
@@ -194,11 +193,11 @@ def allocated(docs: DataFrame, reps: DataFrame, bands: Bands, k: int) -> Bands:
             seen, n = np.unique(every, return_counts=True)
             keys = tried.keys(edges, flat, (seen, np.where(n > 1, levels(n), 0)))[1]
             n = np.unique(keys, return_counts=True)[1].astype(float)
-            out.append((b, d, e, (len(keys) + len(every) / 2) * times + (n * (n - 1) / 2).sum() * times * times / 4))
-        return pd.DataFrame(out, columns=["band", "double", "spare", "cost"])
+            out.append({"band": b, "double": d, "spare": e, "cost": (len(keys) + len(every) / 2) * times + (n * (n - 1) / 2).sum() * times * times / 4})
+        return pa.Table.from_pylist(out, pa.schema([("band", pa.int32()), ("double", pa.int32()), ("spare", pa.int32()), ("cost", pa.float64())]))
 
     found = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "band").mapInArrow(items, "band int, items array<long>")
-    found = found.groupBy("band").applyInPandas(measure, "band int, double int, spare int, cost double")
+    found = found.groupBy("band").applyInArrow(measure, "band int, double int, spare int, cost double")
     double, spare = list(bands.double), list(bands.spare)
     for r in found.groupBy("band").agg(F.min(F.struct("cost", "double", "spare")).alias("r")).collect():
         double[r["band"]], spare[r["band"]] = r["r"]["double"], r["r"]["spare"]
@@ -263,20 +262,25 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return both.where(shared * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b").distinct()
 
 
-def leading_pairs(rows: DataFrame, seed: int) -> DataFrame:
+def leading_pairs(rows: DataFrame, marks: DataFrame, seed: int, num: int, den: int) -> DataFrame:
     """For each component the likeliest one to join: (comp, into, a, b), one row for each component at the most.
 
-    rows: key, id, comp. In each bucket, the component of the lowest rank is the first, and one member leads each
-    component; a component gets the first one whose leader its own leader meets most often. Ranks only fall
-    from comp to into, so there are no cycles.
+    rows: key, id, comp. In each bucket one member leads each component, and one component, drawn anew for each
+    bucket and seed, stands first; each other one may join it or it them, by a fixed rank that only falls from
+    comp to into, so there are no cycles. Of the pairs that may link by size and parity a component
+    gets the one met most often.
     """
-    rank, order = F.xxhash64(F.lit(1), "comp"), F.xxhash64(F.lit(seed), "id")
-    leads = rows.groupBy("key", "comp").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("lead"))
-    first = leads.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("comp").alias("into"), F.col("lead").alias("y"))).alias("first"))
-    met = leads.join(first, "key").select("comp", "first.into", F.col("lead").alias("x"), "first.y").where("comp <> into")
-    met = met.groupBy("comp", "into", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("comp").agg(F.max(F.struct("n", "into", "x", "y")).alias("p"))
-    return best.select("comp", "p.into", F.greatest("p.x", "p.y").alias("a"), F.least("p.x", "p.y").alias("b"))
+    leads = rows.groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "id").alias("o"), "id"))["id"].alias("lead"))
+    drawn = F.struct(F.xxhash64(F.lit(-seed), "key", "comp").alias("r"), F.col("comp").alias("other"), F.col("lead").alias("b"))
+    met = leads.join(leads.groupBy("key").agg(F.min(drawn).alias("first")), "key").where("comp <> first.other")
+    ahead = F.xxhash64("comp") > F.xxhash64("first.other")
+    met = met.select(F.when(ahead, F.struct("comp", F.col("first.other").alias("into"))).otherwise(F.struct(F.col("first.other").alias("comp"), F.col("comp").alias("into"))).alias("c"), F.greatest("lead", "first.b").alias("a"), F.least("lead", "first.b").alias("b"))
+    met = met.groupBy("c.comp", "c.into", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    for side in "ab":
+        met = met.join(marks.select(F.col("id").alias(side), F.struct("size", *MARKS).alias(f"m{side}")), side)
+    met = met.where(may_link("ma", "mb", num, den))
+    best = met.groupBy("comp").agg(F.max(F.struct("n", "into", "a", "b")).alias("p"))
+    return best.select("comp", "p.into", "p.a", "p.b")
 
 
 def united(rows: DataFrame, up: DataFrame) -> DataFrame:
@@ -292,7 +296,7 @@ def united(rows: DataFrame, up: DataFrame) -> DataFrame:
     return rows.join(apart, "key", "left_semi")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, rounds: int = 3) -> DataFrame:
     """Links documents whose sets of ``words``-word shingles have den * |x & y| >= num * |x | y|.
 
     docs: doc_id, text; other columns, of any name, come back unchanged. Adds n_shingles (set size) and
@@ -333,7 +337,7 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     rows = written(met.withColumn("comp", F.col("id")), "met")
     links, tested = same, None
     for turn in range(rounds):
-        pairs = written(leading_pairs(rows, turn), "pairs")
+        pairs = written(leading_pairs(rows, marks, turn + 1, num, den), "pairs")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         good = written(verified(pairs.select("a", "b").distinct(), docs, words, num, den), "links")
         links = links.unionByName(good)
