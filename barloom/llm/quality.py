@@ -80,20 +80,26 @@ class Sample:
     at: np.ndarray
 
     def loss(self, weights: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Mean log likelihood and its gradients by the weights and the thresholds."""
-        rows, doc = len(self.grade), np.repeat(np.arange(len(self.grade)), self.seen)
-        value = (np.sqrt(self.features) / self.seen)[doc]  # sums over features, by the root of their number
-        score = np.bincount(doc, weights[self.at] * value, rows)
-        above = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -40, 40)))  # P(grade > j)
-        full, every = np.c_[np.ones(rows), above, np.zeros(rows)], np.arange(rows)
-        p = np.maximum(full[every, self.grade] - full[every, self.grade + 1], 1e-9)
-        slope = np.c_[np.zeros(rows), above * (1 - above), np.zeros(rows)]
-        lower, upper = slope[every, self.grade] / p, slope[every, self.grade + 1] / p
-        by_cut = np.zeros((rows, len(thresholds) + 2))
-        by_cut[every, self.grade] -= lower
-        by_cut[every, self.grade + 1] += upper
-        by_weight = np.bincount(self.at, (lower - upper)[doc] * value, len(weights)) / rows
-        return float(np.log(p).mean()), by_weight, by_cut[:, 1:-1].mean(axis=0)
+        """Mean log likelihood and its gradients by the weights and the thresholds, block by block of texts."""
+        total, by_weight, by_cut, edge = 0.0, np.zeros(len(weights)), np.zeros(len(thresholds)), np.r_[0, np.cumsum(self.seen)]
+        for i in range(0, len(self.grade), 512):
+            grade, seen, at = self.grade[i : i + 512], self.seen[i : i + 512], self.at[edge[i] : edge[min(i + 512, len(self.grade))]].astype(np.int64)
+            rows, doc = len(grade), np.repeat(np.arange(len(grade)), seen)
+            value = (np.sqrt(self.features[i : i + 512]) / seen)[doc]  # sums over features, by the root of their number
+            score = np.bincount(doc, weights[at] * value, rows)
+            above = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -40, 40)))  # P(grade > j)
+            full, every = np.c_[np.ones(rows), above, np.zeros(rows)], np.arange(rows)
+            p = np.maximum(full[every, grade] - full[every, grade + 1], 1e-9)
+            slope = np.c_[np.zeros(rows), above * (1 - above), np.zeros(rows)]
+            lower, upper = slope[every, grade] / p, slope[every, grade + 1] / p
+            cuts = np.zeros((rows, len(thresholds) + 2))
+            cuts[every, grade] -= lower
+            cuts[every, grade + 1] += upper
+            total += float(np.log(p).sum())
+            by_weight += np.bincount(at, (lower - upper)[doc] * value, len(weights))
+            by_cut += cuts[:, 1:-1].sum(axis=0)
+        n = max(1, len(self.grade))
+        return total / n, by_weight / n, by_cut / n
 
 
 def fit(rows: Sample, grades: int, *, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
@@ -139,7 +145,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, most: int, share: int = 40
     parts = [np.frombuffer(x.as_py(), "<u4") for x in found["f"]]
     return Sample(
         found["grade"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(float),
-        np.array([len(x) for x in parts], np.int64), np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.int64),
+        np.array([len(x) for x in parts], np.int64), np.concatenate([*parts, np.zeros(0, np.uint32)]),
     )
 
 
