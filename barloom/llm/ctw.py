@@ -298,7 +298,7 @@ def score(docs: DataFrame) -> DataFrame:
         """A row of sums for each text (kind -1) and a row for each of its codes that the tables don't have."""
         tables = tables_of(shared)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, 1 << 19):
                 b, offsets = lowered(part.column(1))
                 rows = part.num_rows
                 names = [i & (1 << 64) - 1 for i in part.column(0).to_pylist()]
@@ -313,18 +313,17 @@ def score(docs: DataFrame) -> DataFrame:
                     more.append((np.full(len(lost), kind, np.int32), codes[lost].view(np.int64), np.searchsorted(begins, lost, "right") - 1))
                 kind, code, doc = (np.concatenate(c) for c in zip(*more))
                 s, base, known, tokens = sums
-                own = pa.StructArray.from_arrays(
-                    [pa.array(x) for x in (np.array(names, np.uint64).view(np.int64), s, base, known, tokens, np.diff(offsets))], ["id", "s", "b", "known", "tokens", "bytes"]
-                )
+                ids = np.array(names, np.uint64).view(np.int64)
+                own = pa.StructArray.from_arrays([pa.array(x) for x in (s, base, known, tokens, np.diff(offsets))], ["s", "b", "known", "tokens", "bytes"])
                 at = pa.array(np.where(kind == -1, doc, 0), mask=kind != -1)
-                yield pa.RecordBatch.from_arrays([pa.array(key[doc]), pa.array(kind), pa.array(code), own.take(at)], ["key", "kind", "code", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(key[doc]), pa.array(kind), pa.array(code), own.take(at)], ["id", "key", "kind", "code", "own"])
 
-    own = "struct<id:long,s:double,b:double,known:long,tokens:long,bytes:long>"
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(look_up, f"key long, kind int, code long, own {own}")
+    own = "struct<s:double,b:double,known:long,tokens:long,bytes:long>"
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(look_up, f"id long, key long, kind int, code long, own {own}")
     rows = rows.join(values.select("kind", "code", "value"), ["kind", "code"], "left")
     found, is_gram, is_word = F.coalesce("value", F.lit(0.0)), F.col("kind") == 0, F.col("kind") == 1
-    rows = rows.groupBy("key").agg(
-        F.first("own.id", True).alias("id"), F.count("own").alias("copies"),
+    rows = rows.groupBy("id", "key").agg(
+        F.count("own").alias("copies"),
         F.sum(F.when(is_gram, found).otherwise(F.col("own.s"))).alias("s"),
         F.sum(F.when(is_word, F.log10(found + 1)).otherwise(F.col("own.b"))).alias("b"),
         F.sum(F.when(is_word, (found > 0).cast("long")).otherwise(F.col("own.known"))).alias("known"),
