@@ -167,13 +167,11 @@ def allocated(docs: DataFrame, reps: DataFrame, bands: Bands, k: int) -> Bands:
 
     The sample has about ``SAMPLE`` sets and shingles of a band; it only bears on the cost, never on results.
     """
-    band = sum((F.when(F.col("size") >= x, 1).otherwise(0) for x in bands.low), F.lit(-1))
-    reps = reps.select("rep", band.alias("band"))
     sets = {r[0]: r[1] for r in reps.groupBy("band").count().collect()}
     if not sets:
         return bands
-    share = {b: min(1.0, min(SAMPLE[0], max(8, SAMPLE[1] // bands.low[b + 1])) / n) for b, n in sets.items()}
-    some = F.coalesce(*(F.when(F.col("band") == b, F.lit(int(s * (1 << 30)))) for b, s in share.items()))
+    share = [min(1.0, min(SAMPLE[0], max(8, SAMPLE[1] // top)) / sets.get(b, 1)) for b, top in enumerate(bands.low[1:])]
+    some = F.element_at(F.array(*(F.lit(int(x * (1 << 30))) for x in share)), F.col("band") + 1)
     wanted = reps.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1 << 30)) < some).select(F.col("rep").alias("doc_id"), "band")
 
     def items(batches):
@@ -314,14 +312,12 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     size_name, comp_name = fresh(docs, "n_shingles"), fresh(docs, "component_id")
     sig = written(signatures(docs, words), "signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
-    reps = written(
-        known.groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size")
-        ),
-        "classes",
-    )
+    bands = Bands.make(num, den, known.agg(F.max("n_shingles")).first()[0] or 0)
+    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"))
+    below = F.filter(F.array(*map(F.lit, bands.low)), lambda x: x <= F.col("size"))
+    reps = written(reps.withColumn("band", F.size(below) - 1), "classes")
     plain = docs.select("doc_id", "text").where("doc_id is not null")
-    bands = allocated(plain, reps, Bands.make(num, den, reps.agg(F.max("size")).first()[0] or 0), words)
+    bands = allocated(plain, reps, bands, words)
 
     copies = reps.where("copies > 1").select("h1", "h2", "rep")
     several = known.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")
