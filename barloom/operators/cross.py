@@ -42,12 +42,12 @@ def score_weights(df: DataFrame, score: str, date: str = DATE) -> DataFrame:
 
 
 def capped(df: DataFrame, cap: float | None, date: str = DATE) -> DataFrame:
-    """Weights pinned at ``cap``; the rest shares what remains in proportion.
+    """Weights pinned at ``cap`` (none, 0 or less: no cap); the rest shares what remains in proportion.
 
     In order of weight, the pinned ones are the shortest prefix k after which the largest other weight,
     scaled to what remains, fits under the cap, so two running windows replace the usual loop.
     """
-    if cap is None:
+    if cap is None or cap <= 0:
         return df
     order = Window.partitionBy(date).orderBy(F.desc("weight"), "ts_code")
     tail = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))

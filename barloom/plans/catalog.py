@@ -46,9 +46,9 @@ def adjusted(m: Market) -> DataFrame:
 # Scans, joins, scalar functions
 
 
-@query("select ts_code, trade_date, round(close, 6) as close, vol from daily where ts_code in ('600004.SH', '000001.SZ', '300006.SH') and trade_date between '19940101' and '19961231'")
+@query("select ts_code, trade_date, round(close, 6) as close, vol from daily where ts_code in ('60000000000004.SH', '00000000000001.SZ', '30000000000006.SH') and trade_date between '19940101' and '19961231'")
 def scan_filter_in(m):
-    picked = m.daily.where(F.col("ts_code").isin("600004.SH", "000001.SZ", "300006.SH") & F.col("trade_date").between("19940101", "19961231"))
+    picked = m.daily.where(F.col("ts_code").isin("60000000000004.SH", "00000000000001.SZ", "30000000000006.SH") & F.col("trade_date").between("19940101", "19961231"))
     return picked.select(*KEY, r6("close").alias("close"), "vol")
 
 

@@ -152,9 +152,9 @@ def resolve_one(stock_basic: DataFrame, query: str) -> dict[str, str]:
 def kline(daily: DataFrame, start: str = "", end: str = "99999999", limit: int = 500) -> DataFrame:
     """The last bars of each instrument in a range, with numbers coerced and duplicates of a date dropped (last kept)."""
     cols = ["open", "high", "low", "close", "vol", "amount", "pct_chg"]
-    df = daily.where(F.col("trade_date").between(start, end)).select("ts_code", "trade_date", *(number(c).alias(c) for c in cols))
+    df = daily.where(F.col("trade_date").between(start, end)).select("ts_code", "trade_date", *(number(c).alias(c) for c in cols), F.monotonically_increasing_id().alias("_at"))
     df = df.na.drop(subset=["open", "high", "low", "close"])
-    df = df.groupBy("ts_code", "trade_date").agg(*(F.last(c).alias(c) for c in cols))
+    df = df.groupBy("ts_code", "trade_date").agg(F.max(F.struct("_at", *cols)).alias("r")).select("ts_code", "trade_date", *(f"r.{c}" for c in cols))
     place = F.row_number().over(Window.partitionBy("ts_code").orderBy(F.desc("trade_date")))
     return df.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 

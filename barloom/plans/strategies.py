@@ -118,10 +118,13 @@ def adjusted(market: dict[str, DataFrame]) -> DataFrame:
 
 
 def eligible(bars: DataFrame, market: dict[str, DataFrame], dates: DataFrame, min_amount: float) -> DataFrame:
-    """Bars on the dates, of instruments listed then and with enough turnover; windows come before this filter."""
+    """Bars on the dates, of instruments listed then and with enough turnover; windows come before this filter.
+
+    A stock_basic that is missing or has no rows excludes nothing.
+    """
     bars = bars.join(dates.select("trade_date").distinct(), "trade_date", "left_semi")
     stocks = market.get("stock_basic")
-    if stocks is not None:
+    if stocks is not None and not stocks.isEmpty():
         cols = ["list_status", "list_date", "delist_date"]
         bars = bars.join(stocks.select("ts_code", *cols).dropDuplicates(["ts_code"]), "ts_code").where(active(F.col("trade_date"))).drop(*cols)
     return bars.where(F.col("amount") >= min_amount) if min_amount > 0 else bars

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 def code(x: Column) -> Column:
     board = F.when(x % 4 == 0, "60").when(x % 4 == 1, "00").when(x % 4 == 2, "30").otherwise("68")
-    return F.concat(board, F.lpad(x.cast("string"), 4, "0"), F.when(x % 2 == 0, ".SH").otherwise(".SZ"))
+    return F.concat(board, F.lpad(x.cast("string"), 12, "0"), F.when(x % 2 == 0, ".SH").otherwise(".SZ"))
 
 
 def day(c: str) -> Column:
@@ -71,7 +71,7 @@ class Market:
     def stock_basic(self) -> DataFrame:
         s = F.col("s_suppkey")
         return self._read("supplier").select(
-            code(s).alias("ts_code"), F.lpad(s.cast("string"), 6, "0").alias("symbol"),
+            code(s).alias("ts_code"), F.lpad(s.cast("string"), 12, "0").alias("symbol"),
             F.when(s % 9 == 8, F.concat(F.lit("ST"), s.cast("string"))).otherwise(F.col("s_name")).alias("name"),
             F.when(s % 11 == 10, "D").otherwise("L").alias("list_status"), F.when(s % 7 == 3, "19970101").otherwise("19940101").alias("list_date"),
             F.when(s % 13 == 12, "20000101").alias("delist_date"),
@@ -90,7 +90,7 @@ class Market:
 
 def _code(x: str) -> str:
     return (
-        f"case {x} % 4 when 0 then '60' when 1 then '00' when 2 then '30' else '68' end || lpad(cast({x} as varchar), 4, '0') || "
+        f"case {x} % 4 when 0 then '60' when 1 then '00' when 2 then '30' else '68' end || lpad(cast({x} as varchar), 12, '0') || "
         f"case when {x} % 2 = 0 then '.SH' else '.SZ' end as ts_code"
     )
 
@@ -107,7 +107,7 @@ adj_factor as (select {_code('sk')}, trade_date, cast(1 as double) + cast(cast(s
 daily_basic as (select {_code('sk')}, trade_date, md*100 as dv_ttm, md*90 as dv_ratio, cast(0.5 as double)+mt*20 as pb, mq as pe,
   case when k % 29 = 0 then null else mq+ml end as pe_ttm, close*(1000+sk) as total_mv, vol/10 as turnover_rate, vol/25 as volume_ratio from raw where k % 5 <> 0),
 suspend_d as (select {_code('sk')}, trade_date, case when k % 23 = 0 then 'S' else 'R' end as suspend_type from raw where k % 23 = 0 or k % 31 = 0),
-stock_basic as (select {_code('s_suppkey')}, lpad(cast(s_suppkey as varchar), 6, '0') as symbol,
+stock_basic as (select {_code('s_suppkey')}, lpad(cast(s_suppkey as varchar), 12, '0') as symbol,
   case when s_suppkey % 9 = 8 then 'ST' || cast(s_suppkey as varchar) else s_name end as name, case when s_suppkey % 11 = 10 then 'D' else 'L' end as list_status,
   case when s_suppkey % 7 = 3 then '19970101' else '19940101' end as list_date, case when s_suppkey % 13 = 12 then '20000101' end as delist_date from supplier),
 trade_cal as (select e.exchange, c.cal_date, max(c.is_open) as is_open from (select strftime(l_shipdate, '%Y%m%d') as cal_date, 1 as is_open from lineitem

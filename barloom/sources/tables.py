@@ -113,21 +113,30 @@ class Store:
         return df.select(*columns)
 
     def save(self, table: str, df: DataFrame, mode: str = "append") -> int:
-        """Rows written; an empty frame changes nothing. ``replace`` swaps a finished copy in."""
-        rows = df.count()
-        if not rows:
-            return 0
-        if mode == "append":
-            df.write.mode("append").parquet(self.path(table))
-        elif mode == "replace":
-            staged = f"{self.root}/_staged_{table}_{uuid.uuid4().hex}"
-            df.write.parquet(staged)
-            fs, new = self._fs(staged)
-            _, old = self._fs(self.path(table))
-            fs.delete(old, True)
-            fs.rename(new, old)
-        else:
+        """Rows written; an empty frame changes nothing. The frame is computed once, into a staged copy.
+
+        ``append`` moves the copy's files to the table; ``replace`` sets the old table aside, moves the copy in and
+        drops the old one, so at any time one of the two is whole.
+        """
+        if mode not in ("append", "replace"):
             raise ValueError(f"unknown mode {mode!r}")
+        staged = f"{self.root}/staged-{table}-{uuid.uuid4().hex}"
+        df.write.parquet(staged)
+        rows = self.spark.read.schema(df.schema).parquet(staged).count()
+        fs, new = self._fs(staged)
+        _, old = self._fs(self.path(table))
+        if rows and mode == "append":
+            fs.mkdirs(old)
+            for status in fs.listStatus(new):
+                if status.getPath().getName().endswith(".parquet"):
+                    fs.rename(status.getPath(), self._fs(f"{self.path(table)}/{status.getPath().getName()}")[1])
+        elif rows:
+            _, aside = self._fs(f"{self.root}/old-{table}-{uuid.uuid4().hex}")
+            if fs.exists(old):
+                fs.rename(old, aside)
+            fs.rename(new, old)
+            fs.delete(aside, True)
+        fs.delete(new, True)
         return rows
 
     def count(self, table: str) -> int:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import ApiError
+from ..operators.kernels import indicators
+from ..operators.windows import indicator_prices
 from .tables import SPECS, SYNC_ORDER, Store, conform
 
 Fetch = Callable[[str, str | None], Iterable[dict]]
@@ -65,14 +67,23 @@ def fetched(spark: SparkSession, table: str, dates: Iterable[str] = ()) -> DataF
     return conform(spark.read.format("market_vendor").options(table=table, dates=",".join(dates)).load(), SPECS[table])
 
 
+def tech_indicator(store: Store) -> DataFrame:
+    """The indicator table of all stored bars at forward-adjusted prices."""
+    return conform(indicators(indicator_prices(store.load("daily"), store.load("adj_factor"))), SPECS["tech_indicator"])
+
+
 def sync(store: Store, days: Iterable[str], tables: Iterable[str] = SYNC_ORDER, derived: dict[str, Callable[[Store], DataFrame]] | None = None) -> dict[str, dict]:
     """Brings tables up to date in order of need: each takes the open days after its latest date.
 
+    ``derived`` tables are worked out from the store and never asked of the vendor: by default tech_indicator,
+    from all stored bars at adjusted prices.
+
     A table whose needs are empty brings those first. One table's error doesn't stop the others: the
     result has rows or error for each. suspend_d comes before daily.
     """
     done: dict[str, dict] = {}
     days = sorted(days)
+    derived = {"tech_indicator": tech_indicator, **(derived or {})}
 
     def one(table: str) -> None:
         if table in done:
@@ -82,7 +93,7 @@ def sync(store: Store, days: Iterable[str], tables: Iterable[str] = SYNC_ORDER,
             if not store.exists(need):
                 one(need)
         try:
-            if derived and table in derived:
+            if table in derived:
                 df, mode = derived[table](store), "replace"
             elif spec.date_col is None or table == "trade_cal":
                 df, mode = fetched(store.spark, table), "replace"

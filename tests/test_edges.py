@@ -37,6 +37,8 @@ def test_retries():
 
 def test_sync_and_command_line(spark, tmp_path, capsys):
     def fetch(table, date):
+        with open(tmp_path / "calls", "a") as log:
+            log.write(f"{table} {date}\n")
         if table == "daily_basic":
             raise OSError("no such table")
         if table == "stock_basic":
@@ -50,6 +52,9 @@ def test_sync_and_command_line(spark, tmp_path, capsys):
     names = ["stock_basic", "trade_cal", "suspend_d", "daily", "daily_basic"]
     got = vendor.sync(store, ["20240102", "20240103"], names)
     assert got["daily"] == {"rows": 2} and "error" in got["daily_basic"] and list(got) == names
+    assert vendor.sync(store, ["20240102", "20240103"], ["adj_factor", "tech_indicator"])["tech_indicator"] == {"rows": 0}  # too few bars
+    calls = (tmp_path / "calls").read_text().split("\n")
+    assert calls.count("daily 20240102") == calls.count("daily 20240103") == 1 and not any("tech_indicator" in c for c in calls)
     assert vendor.sync(store, ["20240103", "20240104"], ["daily"]) == {"daily": {"rows": 1}} and store.latest("daily") == "20240104"
     run = lambda *a: cli.main(["--data", str(tmp_path), *a], spark)
     run("cal", "20240103")

@@ -186,6 +186,18 @@ def test_limits_and_universe(spark):
     assert sorted(map(tuple, active_universe(stocks, dates).collect())) == [("20191231", "a"), ("20200101", "a"), ("20200101", "b")]
 
 
+def test_codes_of_many_suppliers_differ(spark):
+    from barloom.sources.adapter import code
+
+    n = spark.range(0, 200_000, 7).select(code(F.col("id")).alias("c"))
+    assert n.distinct().count() == n.count()
+
+
+def test_a_cap_of_zero_is_no_cap(spark):
+    df = spark.createDataFrame([("a", "20240102", 0.7), ("b", "20240102", 0.3)], "ts_code string, trade_date string, weight double")
+    assert sorted(r.weight for r in cross.capped(df, 0).collect()) == [0.3, 0.7]
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.load("daily").count() == 0 and not store.exists("daily") and store.latest("daily") is None
