@@ -16,7 +16,7 @@ from barloom.llm import ctw, huffman, ngram_join
 from barloom.llm.bpe import bpe, encoder
 from barloom.llm.mixing import mix
 from barloom.llm.ngram_join import Bands, ngram_jaccard_join
-from barloom.llm.quality import Model, grade_texts
+from barloom.llm.quality import Model, Sample, grade_texts
 from barloom.llm.ring import ring_shards
 from barloom.llm.shared import components, shared_dir
 
@@ -293,3 +293,24 @@ def test_quality(spark, make, odd_texts):
     assert all(r.selected for r in grade_texts(make(good), ratings.where("grade = 2")).collect())
     tails = Model(np.zeros(1), np.array([-1.0, 1.0])).tails(np.array([0.0]))
     assert tails[0, 0] > 0.5 > tails[0, 1]
+
+
+def test_ordinal_loss_and_gradients():
+    """The likelihood equals its definition, and its gradients equal differences of it, also for texts seen in part."""
+    rng = np.random.default_rng(5)
+    seen = rng.integers(1, 6, 700)
+    rows = Sample(rng.integers(0, 3, 700), seen + rng.integers(0, 3, 700).astype(float), seen, rng.integers(0, 9, seen.sum()))
+    weights, cuts = rng.normal(size=9), np.array([-0.4, 0.7])
+    loss, by_weight, by_cut = rows.loss(weights, cuts)
+    want, at = 0.0, 0
+    for grade, n, s in zip(rows.grade, rows.features, rows.seen):
+        score = weights[rows.at[at : at + s]].sum() / s * math.sqrt(n)
+        above = [1.0, *(1 / (1 + math.exp(c - score)) for c in cuts), 0.0]
+        want, at = want + math.log(above[grade] - above[grade + 1]), at + s
+    assert math.isclose(loss, want / 700, rel_tol=1e-9)
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-6
+        assert math.isclose(by_weight[i], (rows.loss(weights + step, cuts)[0] - rows.loss(weights - step, cuts)[0]) / 2e-6, rel_tol=1e-4, abs_tol=1e-7)
+    for j in range(2):
+        step = np.eye(2)[j] * 1e-6
+        assert math.isclose(by_cut[j], (rows.loss(weights, cuts + step)[0] - rows.loss(weights, cuts - step)[0]) / 2e-6, rel_tol=1e-4, abs_tol=1e-7)
