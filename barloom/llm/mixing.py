@@ -121,11 +121,15 @@ def mix(
     return counted.join(taken, on).select(*(counted[c] for c in counted.columns), taken[names["epoch"]])
 
 
-def oracle(levels: list[str], table: str, part: float, epochs: int, seed: str, output: str) -> str:
-    """The same selection as DuckDB SQL over ``table`` (doc_id, text, levels; equal weights)."""
+def oracle(levels: list[str], table: str, part: float, epochs: int, seed: str, output: str, weights: list[tuple[int, str, float]]) -> str:
+    """The same selection as DuckDB SQL over ``table`` (doc_id, text, levels; no null among them); weights as in ``mix``, one at least."""
+    label = lambda n: " || '/' || ".join(levels[:n])
+    shut = " ".join(f"when {i} then {label(i)}" for i in range(1, len(levels) + 1))
     steps = [
-        f"t as (select {', '.join(levels)}, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as tokens from {table})",
-        f"b0 as (select floor({part} * sum(tokens)) as budget from t)",
+        f"w(level, path, weight) as (values {', '.join(f"({i}, '{path}', cast({weight} as double))" for i, path, weight in weights)})",
+        f"d as (select {', '.join(levels)}, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as tokens from {table})",
+        f"t as (select *, not exists (select 1 from w where weight <= 0 and path = case level {shut} end) as offered from d)",
+        f"b0 as (select least(floor({part} * sum(tokens)), coalesce(sum(tokens) filter (where offered), 0) * {epochs}) as budget from t)",
     ]
     for i in range(1, len(levels) + 1):
         path, parent = levels[:i], levels[: i - 1]
@@ -133,15 +137,18 @@ def oracle(levels: list[str], table: str, part: float, epochs: int, seed: str, o
         join = "join b%d b on %s" % (i - 1, " and ".join(f"n.{c} = b.{c}" for c in parent) or "true")
         keys = ", ".join(f"n.{c}" for c in path)
         steps += [
-            f"n{i} as (select {', '.join(path)}, cast(sum(tokens) * {epochs} as double) as capacity from t group by all)",
-            f"l{i} as (select {keys}, n.capacity, (b.budget - coalesce(sum(n.capacity) over (w rows between unbounded preceding and 1 preceding), 0)) / "
-            f"count(*) over (w rows between current row and unbounded following) as level from n{i} n {join} window w as ({by.replace('by ', 'by n.').replace(', ', ', n.')} order by n.capacity, n.{path[-1]}))",
-            f"b{i} as (select {', '.join(path)}, least(capacity, coalesce(max(level) filter (where capacity > level) over ({by}), capacity)) as budget from l{i})",
+            f"g{i} as (select {', '.join(path)}, cast(coalesce(sum(tokens) filter (where offered), 0) * {epochs} as double) as capacity from t group by all)",
+            f"n{i} as (select g.*, coalesce(w.weight, 1.0) as weight, case when coalesce(w.weight, 1.0) > 0 then capacity / coalesce(w.weight, 1.0) end as ratio "
+            f"from g{i} g left join w on w.level = {i} and w.path = {label(i)})",
+            f"l{i} as (select {keys}, n.capacity, n.weight, n.ratio, case when n.weight > 0 then (b.budget - coalesce(sum(n.capacity) over (w rows between unbounded preceding and 1 preceding), 0)) / "
+            f"sum(n.weight) over (w rows between current row and unbounded following) end as level from n{i} n {join} "
+            f"window w as ({by.replace('by ', 'by n.').replace(', ', ', n.')} order by n.ratio nulls last, n.{path[-1]}))",
+            f"b{i} as (select {', '.join(path)}, case when weight > 0 then least(capacity, coalesce(max(level) filter (where ratio > level) over ({by}) * weight, capacity)) else 0 end as budget from l{i})",
         ]
-    n, keys = len(levels), ", ".join(f"t.{c}" for c in levels)
+    n, keys = len(levels), ", ".join(levels)
     steps += [
         f"r as (select t.*, e.epoch, md5('{seed}:' || e.epoch || ':' || t.doc_id) as h from t cross join (select unnest(range({epochs})) as epoch) e)",
-        f"c as (select r.*, sum(tokens) over (partition by {keys.replace('t.', '')} order by epoch, h, doc_id rows unbounded preceding) as upto from r)",
+        f"c as (select r.*, sum(tokens) over (partition by {keys} order by epoch, h, doc_id rows unbounded preceding) as upto from r)",
         f"s as (select c.* from c join b{n} b on {' and '.join(f'c.{x} = b.{x}' for x in levels)} where c.upto - c.tokens < floor(b.budget + 1e-6))",
     ]
     return "with " + ",\n".join(steps) + f"\n{output}"
