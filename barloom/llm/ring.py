@@ -69,9 +69,10 @@ def ring_shards(docs: DataFrame, *, shards: int = 40, virtual_nodes: int = 128,
     takes more than (1 + e) times the mean, and a change of the number of shards moves the fewer rows
     the larger e is.
 
-    The ring key is doc_id with the text's checksum, so rows that only share an id spread as well. Equal
-    rows share a cell and overflow like others; nothing but their order tells them apart, so which of
-    them takes which slot isn't defined. A null doc_id is a key of its own. An empty table gives no
+    The ring key is doc_id with the text's checksum, so rows that only share an id spread as well. Within a
+    cell rows are ordered by doc_id, checksum, size, and a hash of their columns without maps and variants. Rows equal in all
+    columns share a cell, overflow like others and take neighbouring places in it: whichever of them takes
+    which slot, the result is the same table. A null doc_id is a key of its own. An empty table gives no
     rows. Added columns that clash get an underscore.
     """
     size, crc, shard, slot, cell, place = (fresh(docs, c) for c in ("size", "text_crc32", "shard", "slot", "ring_cell", "ring_place"))
@@ -84,7 +85,8 @@ def ring_shards(docs: DataFrame, *, shards: int = 40, virtual_nodes: int = 128,
     runs = json.dumps(layout(loads, shards, virtual_nodes, slack))
     plan = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(runs), "array<array<long>>")).alias("r"))
     plan = plan.select(*(F.col("r")[i].alias(f"plan_{n}") for i, n in enumerate(("cell", "from", "to", "shard", "slot"))))
-    order = Window.partitionBy(cell).orderBy("doc_id", crc, size)
+    plain = [f"`{f.name}`" for f in docs.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]  # others have no hash
+    order = Window.partitionBy(cell).orderBy("doc_id", crc, size, F.xxhash64(*plain))
     ranked = rows.withColumn(place, F.row_number().over(order) - 1)
     inside = (ranked[cell] == plan["plan_cell"]) & (ranked[place] >= plan["plan_from"]) & (ranked[place] < plan["plan_to"])
     return ranked.join(F.broadcast(plan), inside).select(
