@@ -34,11 +34,14 @@ def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     call where it would come earlier), link (call: answered or open; result: linked or orphan; else
     null), errors (array: what the arguments violate; empty if nothing or not a call) and line.
 
-    Of calls that share an identifier in a conversation the first by turn is linked; further ones are
-    calls of their own with link ``repeated``. Results may be many for a call. A null conv_id is a
-    conversation of its own; a null turn sorts first; null role and text appear as JSON null; an
+    Of calls that share an identifier in a conversation the first by turn, then tool, is linked; further ones are
+    calls of their own with link ``repeated``. Rows of a call alike in turn and tool as well are one call that
+    the table holds repeatedly: each has the link of that call. Results may be many for a call. All rows with a null
+    conv_id are one conversation; a null turn sorts first; null role and text appear as JSON null; an
     identifier that is null links nothing. Arguments that are no JSON object: error ``not an object``;
-    a tool without schema: ``unknown tool``. Empty tables give no rows. Rows that are alike in all of
+    a tool without schema: ``unknown tool``; an object that repeats a key is none. Numbers of up to 38 digits
+    are kept exactly (trailing zeros of fractions aside); larger ones and those with an exponent are doubles and
+    appear as such. Empty tables give no rows. Rows that are alike in all of
     turn, role, call_id and text keep an arbitrary order among themselves.
     """
     names = {c: fresh(messages, c) for c in ("position", "link", "errors", "line")}
