@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import ctw, huffman, ngram_join
 from barloom.llm.bpe import bpe, encoder
-from barloom.llm.mixing import mix
+from barloom.llm.mixing import mix, oracle as mixing_sql
 from barloom.llm.ngram_join import Bands, ngram_jaccard_join
 from barloom.llm.quality import Model, Sample, grade_texts
 from barloom.llm.ring import ring_shards
@@ -265,6 +265,26 @@ def test_mixing_gives_the_share_of_shut_groups_away(spark, make):
     assert got == {"a1": 5, "b1": 40}
 
 
+def test_mixing_with_weights_against_sql(spark):
+    """Shortages, shut nodes and weights on all levels; ties of capacity to weight; empty texts."""
+    import duckdb
+
+    rows = [(i, "w " * (i % 5), "abc"[i % 3], f"s{i % 7}", f"t{i % 2}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    db = duckdb.connect()
+    db.execute("create table docs(doc_id bigint, text varchar, lang varchar, source varchar, kind varchar)")
+    db.executemany("insert into docs values (?, ?, ?, ?, ?)", rows)
+    levels = ["lang", "source", "kind"]
+    for weights, part in (
+        ([(1, "a", 9.0), (1, "b", 0.25), (2, "a/s0", 0.0), (2, "b/s1", 5.0), (3, "c/s2/t1", 0.0), (3, "c/s3/t0", 7.0)], 0.6),
+        ([(1, "a", 0.0), (2, "b/s1", 0.0)], 2.0),
+        ([(1, "a", 0.0), (1, "b", 0.0), (1, "c", 0.0)], 0.5),
+    ):
+        got = mix(frame, levels, part=part, epochs=2, weights=spark.createDataFrame(weights, "level int, path string, weight double"))
+        want = db.execute(mixing_sql(levels, "docs", part, 2, "7", "select doc_id, epoch, tokens from s", weights)).fetchall()
+        assert sorted(map(tuple, got.select("doc_id", "epoch", "tokens").collect())) == sorted(want)
+
+
 def test_ring(make, odd_texts):
     docs = make(odd_texts * 30, ids=[None, *range(1, len(odd_texts) * 30)]).withColumn("shard", F.lit("mine"))
     rows = ring_shards(docs, shards=7).collect()
@@ -280,6 +300,26 @@ def test_ring(make, odd_texts):
     assert ring_shards(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("slack", [0.0, 0.25])
+def test_ring_against_a_walk_of_each_row(spark, make, odd_texts, slack):
+    docs = make(odd_texts * 20, ids=[None, None, *range(2, len(odd_texts) * 20)])
+    docs = docs.union(docs.where("doc_id < 200")).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))  # repeated rows, a column without hash
+    rows = ring_shards(docs, shards=6, virtual_nodes=9, slack=slack).collect()
+    key = F.xxhash64(F.lit(9), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32"))
+    cells = {(r.doc_id, r.text_crc32): r.cell for r in spark.createDataFrame({(r.doc_id, r.text_crc32) for r in rows}, "doc_id long, text_crc32 long").select("*", F.shiftrightunsigned(key, 48).alias("cell")).collect()}
+    spot = lambda name: int(hashlib.sha256(name.encode()).hexdigest(), 16) % 65536
+    ring = sorted((spot(f"{s}/{v}"), s) for s in range(6) for v in range(9))
+    room = [-(-int(len(rows) * (1 + slack)) // 6) if slack else len(rows) // 6 + (s < len(rows) % 6) for s in range(6)]
+    taken, want = [0] * 6, []
+    order = lambda r: (cells[r.doc_id, r.text_crc32], r.doc_id is not None, r.doc_id or 0, r.text_crc32)
+    for r in sorted(rows, key=order):
+        behind = [s for c, s in ring if c >= order(r)[0]] + [s for _, s in ring]
+        shard = next(s for s in behind if taken[s] < room[s])
+        want.append((str(r.doc_id), r.text_crc32, shard, taken[shard]))
+        taken[shard] += 1
+    assert sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in rows) == sorted(want)
+
+
 def test_quality(spark, make, odd_texts):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["river", "stone", "light", "green", "house", "walks"], 30)) for _ in range(120)]
