@@ -2,8 +2,8 @@
 
 Texts are exploded into words with positions. A word here is a piece that the pre-tokenizer's pattern
 can never match across (see textcodes.segment_edges), so encoding words one by one gives the text's
-ids. The most frequent words of the whole corpus, ``HEAD`` of them at most, are encoded once and reach
-every task as a small table; they also are the words whose copies would make hot keys. All others are
+ids. The most frequent words of the whole corpus, ``HEAD`` words and ``HEAD_BYTES`` bytes at most, are encoded
+once and reach every task as a small table; they also are the words whose copies would make hot keys. All others are
 shuffled by word, encoded once each, and their ids joined back by document and position. Decoding joins
 the ids with the vocabulary's table of token bytes.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import textcodes as tc
 from .shared import frequent, written
 
-HEAD = 3 << 19
+HEAD = 3 << 19  # the most frequent words that every task gets
+HEAD_BYTES = 1 << 26  # their most bytes, with 16 added for each word; their ids take four times that at the very most
 SLICE = 4096
 NO_ID = -(1 << 63)  # stands for a null doc_id within a job
 
@@ -141,7 +142,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, texts: bool = False) -> Dat
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     counts = written(word_counts(docs).where("n > 1"), "word-counts")  # a word met once gains nothing there
-    head = encode_words(frequent(counts, "n", HEAD), path, pattern, "word string, n long").toArrow()
+    head = encode_words(frequent(counts, "n", HEAD, F.octet_length("word") + 16, HEAD_BYTES), path, pattern, "word string, n long").toArrow()
     head = head.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as out:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,16 +68,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+def frequent(df: DataFrame, count: str, most: int, size: Column | None = None, most_size: int = 0) -> DataFrame:
     """The rows with the largest counts, ``most`` at the most: all whose count reaches a threshold.
 
-    The threshold comes from a histogram of sixteenths of octaves (a thousand rows at most), so nothing
-    is sorted and no task gathers the rows.
+    With ``size``, a row's size, they have ``most_size`` together at the most as well. The threshold comes from a
+    histogram of sixteenths of octaves (a thousand rows at most), so nothing is sorted and no task gathers the rows.
     """
     step = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
-    total, least = 0, None
-    for bucket, n in sorted(df.groupBy(step.alias("b")).count().collect(), reverse=True):
-        if total + n > most:
+    steps = df.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(0) if size is None else size).alias("size"))
+    total = total_size = 0
+    least = None
+    for bucket, n, many in sorted(steps.collect(), reverse=True):
+        total, total_size = total + n, total_size + many
+        if total > most or total_size > most_size:
             break
-        total, least = total + n, bucket
+        least = bucket
     return df.where(F.lit(False) if least is None else step >= least)
