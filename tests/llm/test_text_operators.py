@@ -115,10 +115,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("head", [None, 3])
-def test_bpe(make, odd_texts, monkeypatch, head):
-    if head:
-        monkeypatch.setattr("barloom.llm.bpe.HEAD", head)
+@pytest.mark.parametrize("limit", [None, ("HEAD", 3), ("HEAD_BYTES", 150), ("HEAD_BYTES", 0)])
+def test_bpe(make, odd_texts, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(f"barloom.llm.bpe.{limit[0]}", limit[1])
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     texts = odd_texts + odd_texts[:6]
     ids = [*range(len(odd_texts)), None, 1, 2, 2, 3, 5]
