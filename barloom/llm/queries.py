@@ -23,6 +23,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
 
 
+def fixed(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows as a local table of the plan."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in row) + ")" for row in rows)
+    names, kinds = zip(*(column.split() for column in ddl.split(", ")))
+    return spark.sql(f"select {', '.join(f'cast({n} as {k}) as {n}' for n, k in zip(names, kinds))} from values {values} as v({', '.join(names)})")
+
+
 SCHEMAS = [
     ("reply", "length", "number", False), ("reply", "start", "string", True), ("reply", "turn", "number", True),
     ("summarise", "focus", "string", True), ("summarise", "start", "string", True), ("summarise", "turn", "number", True),
@@ -30,7 +37,7 @@ SCHEMAS = [
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean")
+    schemas = fixed(spark, SCHEMAS, "tool string, param string, type string, required boolean")
     done = link_calls(calls_of_turns(read(spark, sf_dir, "conversations")), schemas)
     return done.select("conv_id", "turn", "position", "link", F.array_join("errors", "; ").alias("errors"), "line")
 
@@ -101,7 +108,7 @@ WEIGHTS = [(1, "d0", 8.0), (1, "d3", 0.5), (2, "d1/en", 0.0), (2, "d2/fr", 4.0),
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     docs = docs.withColumn("domain", F.concat(F.lit("d"), F.expr(DOMAIN).cast("string")))
-    weights = spark.createDataFrame(WEIGHTS, "level int, path string, weight double")
+    weights = fixed(spark, WEIGHTS, "level int, path string, weight double")
     return mix(docs, ["domain", "lang", "source"], part=0.7, epochs=2, weights=weights).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
