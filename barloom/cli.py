@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import argparse
+import datetime
+import importlib
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from . import config
 from .operators.calendar import history_start
 from .plans import screeners, strategies
-from .sources.tables import Store
+from .errors import ConfigError
+from .sources import vendor
+from .sources.tables import SYNC_ORDER, Store
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="barloom")
     p.add_argument("--data", default="data", help="folder of the market tables")
     sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("config", help="show settings, tokens masked")
+    c = sub.add_parser("config", help="show settings, tokens masked, or set one of them")
     c.add_argument("file")
-    d = sub.add_parser("data", help="status, query, dedup or clean")
-    d.add_argument("action", choices=["status", "query", "dedup", "clean"])
+    c.add_argument("--set", nargs=2, metavar=("KEY", "VALUE"), help="a dotted key such as data.dir")
+    d = sub.add_parser("data", help="sync, status, query, dedup or clean")
+    d.add_argument("action", choices=["sync", "status", "query", "dedup", "clean"])
+    d.add_argument("--fetch", help="module:function that gives the vendor's rows of (table, date)")
+    d.add_argument("--start", default="", help="first day to bring (YYYYMMDD)")
+    d.add_argument("--end", default="", help="last day to bring; today if none is given")
     d.add_argument("table", nargs="?")
     d.add_argument("--filter", default="")
     d.add_argument("--limit", type=int, default=10)
@@ -43,9 +51,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def synchronised(store: Store, fetch: str | None, start: str, end: str, tables) -> dict[str, dict]:
+    """Brings the calendar, then the tables for its open days from start to the last day for which the vendor has bars."""
+    module, _, name = (fetch or "").partition(":")
+    if not name:
+        raise ConfigError("sync needs --fetch module:function")
+    call = getattr(importlib.import_module(module), name)
+    store.spark.dataSource.register(vendor.vendor_source(call))
+    done = vendor.sync(store, [], ["trade_cal"])
+    last = end or datetime.date.today().strftime("%Y%m%d")
+    open_days = store.load("trade_cal").where((F.col("is_open") == 1) & F.col("cal_date").between(start, last))
+    days = sorted(r[0] for r in open_days.select("cal_date").distinct().collect())  # one for each day of the calendar
+    safe = vendor.safe_end(lambda day: bool(list(vendor.retried(call, "daily", day))), days)
+    return done | vendor.sync(store, [d for d in days if safe and d <= safe], [t for t in tables if t != "trade_cal"])
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     if a.command == "config":
+        if a.set:
+            config.save(a.file, config.put(config.raw(a.file), *a.set))
         print(json.dumps(config.masked(config.load(a.file)), indent=2))
         return
     if a.command == "strategy" and a.action != "signals":
@@ -55,7 +80,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("barloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = Store(spark, a.data)
     if a.command == "data":
-        if a.action == "status":
+        if a.action == "sync":
+            for table, result in synchronised(store, a.fetch, a.start, a.end, [a.table] if a.table else SYNC_ORDER).items():
+                print(f"{table}: {result.get('error') or result['rows']}")
+        elif a.action == "status":
             store.status().show(truncate=False)
         elif a.action == "dedup":
             print(f"{store.deduplicate(a.table)} rows removed")

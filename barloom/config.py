@@ -26,27 +26,36 @@ def substituted(value, env=os.environ):
     return re.sub(r"\$\{(\w+)\}", one, value)
 
 
-def load(path: str, env=os.environ) -> dict:
+def raw(path: str) -> dict:
+    """The settings as they stand in the file."""
     file = Path(path)
     if not file.exists():
         raise ConfigError(f"no file {path}")
     text = file.read_text()
     if text.lstrip().startswith("{"):
-        found = json.loads(text)
-    else:
-        found, stack = {}, [(-1, {})]
-        stack[0] = (-1, found)
-        for line in text.splitlines():
-            if not line.strip() or line.lstrip().startswith("#"):
-                continue
-            depth, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
-            while depth <= stack[-1][0]:
-                stack.pop()
-            value = value.strip().strip("'\"")
-            stack[-1][1][key] = value if value else {}
-            if not value:
-                stack.append((depth, stack[-1][1][key]))
-    return substituted(found, env)
+        return json.loads(text)
+    found, stack = {}, [(-1, {})]
+    stack[0] = (-1, found)
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        depth, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
+        while depth <= stack[-1][0]:
+            stack.pop()
+        value = value.strip().strip("'\"")
+        stack[-1][1][key] = value if value else {}
+        if not value:
+            stack.append((depth, stack[-1][1][key]))
+    return found
+
+
+def load(path: str, env=os.environ) -> dict:
+    return substituted(raw(path), env)
+
+
+def save(path: str, settings: dict) -> None:
+    """Writes the settings as JSON; references to the environment stay references."""
+    Path(path).write_text(json.dumps(settings, indent=2, ensure_ascii=False) + "\n")
 
 
 def put(settings: dict, dotted: str, value) -> dict:

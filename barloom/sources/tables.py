@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -54,8 +55,8 @@ def flag(column: Column) -> Column:
     return F.when(F.lower(F.trim(column.cast("string"))).isin("1", "1.0", "true"), 1).when(column.isNotNull(), 0)
 
 
-def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """df with the table's columns and types; missing columns become nulls, bad numbers too."""
+def conform(df: DataFrame, spec: TableSpec, also: Iterable[Column] = ()) -> DataFrame:
+    """df with the table's columns and types, and ``also``; missing columns become nulls, bad numbers too."""
     have, cols = {c.lower(): c for c in df.columns}, []
     for f in spec.schema:
         if f.name.lower() not in have:
@@ -69,7 +70,7 @@ def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
         else:
             c = c.try_cast(f.dataType)
         cols.append(c.alias(f.name))
-    return df.select(cols)
+    return df.select(*cols, *also)
 
 
 def condition(filters: Mapping[str, object]) -> Column:
@@ -99,7 +100,20 @@ class Store:
         spec = SPECS[table]
         if not self.exists(table):
             return self.spark.createDataFrame([], spec.schema)
-        return conform(self.spark.read.option("mergeSchema", "true").parquet(self.path(table)), spec).where(condition(filters))
+        return self._whole(table).where(condition(filters))
+
+    def _whole(self, table: str, also: Iterable[Column] = ()) -> DataFrame:
+        """All files with the declared columns. Files whose types can't be merged are read under their own schemas, one scan for each schema."""
+        spec, path = SPECS[table], self.path(table)
+        try:
+            return conform(self.spark.read.option("mergeSchema", "true").parquet(path), spec, also)
+        except (PySparkException, Py4JJavaError) as problem:  # the latter where the footers are merged in a job
+            if "CANNOT_MERGE_" not in str(problem):
+                raise
+        alike: dict[str, list[str]] = {}
+        for file in self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path").toLocalIterator():
+            alike.setdefault(self.spark.read.parquet(file[0]).schema.json(), []).append(file[0])
+        return reduce(DataFrame.unionByName, (conform(self.spark.read.parquet(*files), spec, also) for files in alike.values()))
 
     def scan(self, table: str, columns: Iterable[str], start: str | None = None, end: str | None = None, codes: DataFrame | None = None) -> DataFrame:
         """Columns of a date range, optionally for the ts_codes of a frame only; a missing table is empty."""
@@ -152,7 +166,8 @@ class Store:
 
     def deduplicate(self, table: str) -> int:
         """Keeps the last row of each key in file order; returns how many went."""
-        raw = self.spark.read.parquet(self.path(table)).select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        order = {"_at": "file_modification_time", "_file": "file_path", "_row": "row_index"}
+        raw = self._whole(table, [F.col(f"_metadata.{c}").alias(n) for n, c in order.items()])
         kept = keep_last(raw, SPECS[table].keys, ("_at", "_file", "_row")).drop("_at", "_file", "_row")
         before = raw.count()
         return before - self.save(table, kept, "replace")
@@ -191,7 +206,3 @@ def table_status(tables: Mapping[str, DataFrame]) -> DataFrame:
         parts.append(df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), (F.max(date) if date else F.lit(None).cast("string")).alias("latest_date")))
     all_of = reduce(DataFrame.unionByName, parts)
     return all_of.withColumn("state", F.when(F.col("n_rows") > 0, "ok").otherwise("empty"))
-
-
-def local_path(path: str) -> str:
-    return os.path.abspath(path)

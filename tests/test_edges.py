@@ -20,6 +20,48 @@ def test_config(tmp_path):
         config.load(str(file), {})
 
 
+def test_config_set(tmp_path, capsys):
+    file = tmp_path / "c.yaml"
+    file.write_text("data:\n  dir: ${HOME_DIR_OF_TEST}\napi:\n  token: abcdefgh\n")
+    with pytest.raises(ConfigError):  # the setting is written; showing it needs the variable
+        cli.main(["config", str(file), "--set", "api.token", "12345678"])
+    cli.main(["config", str(file), "--set", "data.dir", "/x"])
+    assert config.raw(str(file)) == {"data": {"dir": "/x"}, "api": {"token": "12345678"}} and "********5678" in capsys.readouterr().out
+
+
+def test_store_of_files_with_different_types(spark, tmp_path):
+    store, path = Store(spark, str(tmp_path)), str(tmp_path / "trade_cal")
+    for ddl, row in (
+        ("exchange string, cal_date string, is_open int", ("SSE", "20240102", 1)),
+        ("exchange string, cal_date string, is_open string", ("SSE", "20240103", "1.0")),
+        ("cal_date string, is_open double, exchange string, pretrade_date string", ("20240103", 0.0, "SSE", "20240102")),
+    ):
+        spark.createDataFrame([row], ddl).write.mode("append").parquet(path)
+    got = {tuple(r) for r in store.load("trade_cal").select("cal_date", "is_open", "pretrade_date").collect()}
+    assert got == {("20240102", 1, None), ("20240103", 0, "20240102"), ("20240103", 1, None)}
+    assert store.deduplicate("trade_cal") == 1
+    assert sorted(tuple(r) for r in store.load("trade_cal").select("cal_date", "is_open", "pretrade_date").collect()) == [("20240102", 1, None), ("20240103", 0, "20240102")]
+
+
+def calendar_and_bars(table, date):
+    """A vendor whose bars end on 20240103."""
+    if table == "trade_cal":
+        return [{"exchange": "SSE", "cal_date": d, "is_open": int(d != "20240101")} for d in ("20240101", "20240102", "20240103", "20240104")]
+    if table == "stock_basic":
+        return [{"ts_code": "a", "symbol": "1", "name": "Alpha", "list_status": "L"}]
+    return [{"ts_code": "a", "trade_date": date, "close": 2.0}] if table == "daily" and date < "20240104" else []
+
+
+def test_sync_command(spark, tmp_path, capsys):
+    cli.main(["--data", str(tmp_path), "data", "sync", "daily", "--fetch", f"{__name__}:calendar_and_bars", "--end", "20240104"], spark)
+    out = capsys.readouterr().out.split("\n")
+    assert "trade_cal: 4" in out and "stock_basic: 1" in out and "daily: 2" in out
+    store = Store(spark, str(tmp_path))
+    assert sorted(r.trade_date for r in store.load("daily").collect()) == ["20240102", "20240103"] and store.count("stock_basic") == 1
+    with pytest.raises(ConfigError):
+        cli.main(["--data", str(tmp_path), "data", "sync"], spark)
+
+
 def test_retries():
     calls, waits = [], []
 
