@@ -3,7 +3,8 @@
 Normalised vectors are projected on random directions, shifted and quantised to a width; ``k`` such
 numbers make a bucket of a table, and ``tables`` tables are kept. Two unit vectors at distance c meet
 in one number with p(c) = 1 - 2 N(-w/c) - 2c / (sqrt(2 pi) w) (1 - exp(-w^2 / 2c^2)), so in some table
-with 1 - (1 - p**k)**tables: 0.99 at a cosine of 0.98 for the values given below.
+with 1 - (1 - p**k)**tables: 0.993 at a cosine of 0.98 for the values given below, of which orthogonal vectors
+meet in a table with a chance of 5e-7.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import components, fresh, written
 
-TILE = 512
+TILE = 2048
+TILE_KEYS = ["bucket", "t", "one", "two"]
 
 
 def bucket_keys(x: np.ndarray, k: int, tables: int, width: float, seed: int) -> np.ndarray:
@@ -33,42 +35,85 @@ def units(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def compare_tile(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links within a tile: weights of partners for each vector, and edges that join what is linked.
+def whole_groups(batches, names: list[str]):
+    """Tables of whole groups, with each group's first row, from batches of rows sorted by the columns ``names``."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        starts = group_starts(table, names)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+        rest = table.slice(starts[-1] if len(starts) else 0)
+    if rest is not None and len(rest):
+        yield rest, group_starts(rest, names)
 
-    A pair counts in the first table only where its two vectors meet.
+
+def group_starts(table: pa.Table, names: list[str]) -> np.ndarray:
+    changed = np.zeros(max(0, len(table) - 1), bool)
+    for name in names:
+        column = table[name].to_numpy()
+        changed |= column[1:] != column[:-1]
+    return np.r_[0, np.flatnonzero(changed) + 1][: len(table)]
+
+
+def compare_tile(left: tuple, right: tuple | None, table: int, cosine: float) -> list[tuple]:
+    """Links between two sides of a tile, or within ``left``: weights of partners for each vector, and edges that join what is linked.
+
+    A side: ids, copies, bucket keys, unit vectors. A pair counts in the first table only where its two vectors meet;
+    pairs that have met before aren't compared again.
     """
-    one, two, table = int(rows["one"].iloc[0]), int(rows["two"].iloc[0]), int(rows["t"].iloc[0])
-    left = rows[rows["sub"] == one]
-    right = left if one == two else rows[rows["sub"] == two]
-    out = []
-    if len(left) and len(right):
-        near = units(left["x"]) @ units(right["x"]).T >= cosine
-        a, b = np.stack(left["keys"].to_numpy()), np.stack(right["keys"].to_numpy())
-        for t in range(table):
-            near &= a[:, None, t] != b[None, :, t]
-        if one == two:
-            np.fill_diagonal(near, False)
-        ids, others = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        out.append((ids, ids, near @ right["copies"].to_numpy(np.int64)))
-        if one != two:
-            out.append((others, others, near.T @ left["copies"].to_numpy(np.int64)))
-        open_rows = np.flatnonzero(near.any(axis=1))
-        group = np.arange(len(others))
-        for i in open_rows:  # merges each row's partners; edges only between what was apart
-            hit = np.flatnonzero(near[i])
-            names = np.unique(group[hit])
-            out.append((np.full(len(names), ids[i]), others[names], np.zeros(len(names), np.int64)))
+    ids, copies, a, x = left
+    others, other_copies, b, y = right or left
+    apart = np.ones((len(ids), len(others)), bool)
+    for t in range(table):
+        apart &= a[:, None, t] != b[None, :, t]
+    if right is None:
+        apart = np.triu(apart, 1)
+    if apart.mean() > 0.05:
+        one, two = np.nonzero(apart & (x @ y.T >= cosine))
+    else:
+        one, two = np.nonzero(apart)
+        hit = np.concatenate([np.zeros(0, bool), *((x[one[i : i + 8192]] * y[two[i : i + 8192]]).sum(axis=1) >= cosine for i in range(0, len(one), 8192))])
+        one, two = one[hit], two[hit]
+    if not len(one):
+        return []
+    n, m = np.bincount(one, other_copies[two], len(ids)), np.bincount(two, copies[one], len(others))
+    out = [(ids, ids, n.astype(np.int64)), (others, others, m.astype(np.int64))]
+    group = np.arange(len(others))
+    cuts = np.flatnonzero(np.diff(one)) + 1
+    for i, hits in zip(one[np.r_[0, cuts]], np.split(two, cuts)):  # merges each row's partners; edges only between what was apart
+        names = np.unique(group[hits])
+        out.append((np.full(len(names), ids[i]), others[names], np.zeros(len(names), np.int64)))
+        if len(names) > 1:
             group[np.isin(group, names)] = names[0]
-    if not out:
-        return pd.DataFrame({"id": [], "other": [], "n": []}, dtype="int64")
-    cols = [np.concatenate(c) for c in zip(*out)]
-    keep = (cols[0] != cols[1]) | (cols[2] > 0)
-    return pd.DataFrame({"id": cols[0][keep], "other": cols[1][keep], "n": cols[2][keep]})
+    return out
+
+
+def compare_tiles(batches, cosine: float):
+    """Rows of tiles, sorted by tile: those that link, and the links."""
+    for table, starts in whole_groups(batches, TILE_KEYS):
+        table = table.combine_chunks()
+        ids, copies, sub, one, two, t = (table[c].to_numpy() for c in ("id", "copies", "sub", "one", "two", "t"))
+        keys, x = table["keys"].combine_chunks(), table["x"].combine_chunks()
+        found = [(np.zeros(0, np.int64),) * 3]
+        for i, j in zip(starts, [*starts[1:], len(table)]):
+            vectors = x.slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)
+            vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+            vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            side = ids[i:j], copies[i:j], keys.slice(i, j - i).flatten().to_numpy().reshape(j - i, -1), vectors
+            if one[i] == two[i]:
+                found += compare_tile(side, None, t[i], cosine)
+                continue
+            first = sub[i:j] == one[i]
+            if first.any() and not first.all():
+                found += compare_tile(tuple(c[first] for c in side), tuple(c[~first] for c in side), t[i], cosine)
+        id_, other, n = (np.concatenate(c) for c in zip(*found))
+        keep = (id_ != other) | (n > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep], pa.int64()) for c in (id_, other, n)], ["id", "other", "n"])
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, *, cosine: float = 0.98, k: int = 10, tables: int = 24, width: float = 1.0, seed: int = 5
+    vectors: DataFrame, *, cosine: float = 0.98, k: int = 20, tables: int = 24, width: float = 2.0, seed: int = 5
 ) -> DataFrame:
     """Links vectors of one label with a cosine (double precision) of ``cosine`` or more.
 
@@ -112,9 +157,8 @@ def near_duplicate_vectors(
     ).select("id", "cls", "bucket", "t", "sub", F.least("sub", "with_sub").alias("one"), F.greatest("sub", "with_sub").alias("two"))
     payload = classes.select("id", "cls", "x", "copies").join(keys.select("id", "cls", "keys"), ["id", "cls"])
     found = written(
-        tiles.join(payload, ["id", "cls"]).groupBy("bucket", "t", "one", "two").applyInPandas(
-            lambda rows: compare_tile(rows, cosine), "id long, other long, n long"
-        ),
+        tiles.join(payload, ["id", "cls"]).select(*TILE_KEYS, "sub", "id", "copies", "keys", "x").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
+        .mapInArrow(lambda batches: compare_tiles(batches, cosine), "id long, other long, n long"),
         "vector-links",
     )
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
