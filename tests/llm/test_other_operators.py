@@ -27,6 +27,10 @@ def test_top_k(spark):
     assert got == want
     assert exact_top_k(table.where("false"), table.where("false")).count() == 0
     assert exact_top_k(table.where("id < 3"), table.where("id = 0"), k=7).count() == 2
+    same = spark.range(300).selectExpr("if(id % 3 = 0, 7L, id) as id", "array(1.0F, cast(id % 5 as float)) as vector")
+    rows = exact_top_k(same, same.where("id in (7, 8)"), k=5, block=8, group=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.score) for r in rows] == [(q, n, (1 + 4 * w) << 20) for q, w in ((7, 0), (8, 3)) for n in range(1, 6)]
+    assert [r.id for r in rows[5:]] == [4] + [7] * 4
 
 
 def test_top_k_of_large_components(spark):
