@@ -8,8 +8,9 @@ of all depths of its path that training texts reached with the posterior weights
 over its eight decisions.
 
 Counts of (context, byte) grams are sufficient, so the corpus is reduced to distinct grams by partial
-and final aggregation. Trees are worked out in groups that share their last two bytes; what lies above
-(one byte of context or none: 65,280 nodes at most) is one small table. Texts are then scored by
+and final aggregation. Trees are worked out in groups that share their last two bytes, or three or four where
+more than ``SPLIT`` distinct grams share fewer; the nodes above such groups are put together by aggregation. What
+lies above two bytes (one byte of context or none: 65,280 nodes at most) is one small table. Texts are then scored by
 looking up their grams: the most frequent ones in a table of bounded size that every task gets, all
 others by a join.
 """
@@ -29,6 +30,7 @@ from .shared import frequent, written
 
 DEPTH = 6
 HEAD = 1 << 20, 1 << 20  # the most grams and words that the broadcast tables hold
+SPLIT = 1 << 17  # grams of more than one group's last bytes go to groups by one byte more
 HELD = 1_000_000  # the most distinct codes that a task keeps before it hands them on
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
 HALF = np.log(0.5)
@@ -136,14 +138,21 @@ def gathered(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Trees:
-    """All nodes of depth two and more below one pair of last bytes."""
+    """All nodes of depth ``base`` and more below as many last bytes.
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
+    ``above`` has those from depth two to ``base``, on the path to these bytes: depth, node, zeros, ones, weight.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, base: int = 2, above: pd.DataFrame | None = None):
         self.codes = codes.astype(np.uint64)
         self.level = {}
         n = n.astype(float)
         x = (self.codes & np.uint64(0xFF)).astype(np.int64)
-        for depth in range(DEPTH, 1, -1):
+        for depth in range(2, base if above is not None else 2):
+            rows = above[above["depth"] == depth].sort_values("node")
+            node, zeros, ones, weight = (rows[c].to_numpy() for c in ("node", "zeros", "ones", "weight"))
+            self.level[depth] = node.astype(np.uint64), zeros, ones, None, weight
+        for depth in range(DEPTH, base - 1, -1):
             context = self.context(depth)
             keys = np.concatenate([context << np.uint64(8) | (1 << j | x >> (8 - j)).astype(np.uint64) for j in range(8)])
             bits = np.concatenate([(x >> (7 - j)) & 1 for j in range(8)])
@@ -189,6 +198,39 @@ def mixed(below: np.ndarray, own: np.ndarray, weight: np.ndarray, seen: np.ndarr
     return np.where(seen, np.where(np.isnan(below), own, weight * own + (1 - weight) * below), np.nan)
 
 
+def weighted_nodes(batches):
+    """Nodes with their weighted probability and their own estimate's weight, from counts and the sum of their children's ln."""
+    for rows in batches:
+        own = kt(rows["zeros"].to_numpy(), rows["ones"].to_numpy())
+        rows["weighted"] = np.logaddexp(HALF + own, HALF + rows["below"].to_numpy())
+        rows["weight"] = np.exp(HALF + own - rows["weighted"])
+        yield rows[["depth", "node", "zeros", "ones", "weighted", "weight"]]
+
+
+NODE = "depth int, node long, zeros double, ones double, weighted double, weight double"
+NODE_NAMES = [c.split()[0] for c in NODE.split(", ")]
+
+
+def parents(nodes: DataFrame, depth: int) -> DataFrame:
+    """The nodes of a depth from all those one deeper."""
+    node = F.shiftright("node", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1)) * 256 + F.col("node").bitwiseAND(F.lit(0xFF))
+    rows = nodes.groupBy(node.alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+    return rows.withColumn("depth", F.lit(depth)).mapInPandas(weighted_nodes, NODE)
+
+
+def grouped(grams_: DataFrame, split: int) -> tuple[DataFrame, int]:
+    """Grams with base (number of last bytes that their group shares) and grp (these bytes), and the largest base."""
+    last = lambda n: F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * n) - 1))
+    out, most = grams_.withColumn("base", F.lit(2)), 2
+    for n in (2, 3):
+        large = written(out.where(F.col("base") == n).groupBy(last(n).alias("large")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > split).select("large"), "large-groups")
+        if large.isEmpty():
+            break
+        out = out.join(large, last(n) == F.col("large"), "left").withColumn("base", F.when(F.col("large").isNotNull(), n + 1).otherwise(F.col("base"))).drop("large")
+        most = n + 1
+    return out.withColumn("grp", F.when(F.col("base") == 2, last(2)).when(F.col("base") == 3, last(3)).otherwise(last(4))), most
+
+
 def upper_nodes(rows: pd.DataFrame) -> np.ndarray:
     """rows: last (byte), place, zeros, ones, below (sum of the children's ln) -> the table ``top`` of Trees.probabilities."""
     n, below = np.zeros((257, 256, 2)), np.zeros((257, 256))
@@ -249,7 +291,7 @@ def tables_of(shared) -> list[Table]:
     return _tables[1]
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, *, split: int = SPLIT) -> DataFrame:
     """Scores every whole text by a model of those whose crc32(doc_id as text) mod 7 isn't 2.
 
     docs: doc_id, text. Gives doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
@@ -260,6 +302,8 @@ def score(docs: DataFrame) -> DataFrame:
     Null or empty texts have the end alone. A null doc_id counts as the empty text for the split and is
     a training text. Rows may repeat; each gives a row and each counts in training. Without training texts every decision
     has probability one half. An empty table gives no rows. Other columns aren't returned.
+
+    A group of trees has ``split`` grams at the most, unless they share four bytes of context; the scores don't depend on it.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -271,22 +315,39 @@ def score(docs: DataFrame) -> DataFrame:
     words_n, words_v = word_rows.select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     n, v = words_n + n_train, words_v + (n_train > 0)
 
-    pair = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair")
+    gram_rows, most = grouped(gram_rows, split)
 
     def upper(frame: pd.DataFrame) -> pd.DataFrame:
-        node, zeros, ones, weighted, _ = Trees(frame["code"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)).level[2]
-        return pd.DataFrame({"last": (node >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64), "place": (node & np.uint64(0xFF)).astype(np.int64), "zeros": zeros, "ones": ones, "below": weighted})
-
-    nodes = gram_rows.groupBy(pair).applyInPandas(lambda f: upper(f), "last long, place long, zeros double, ones double, below double")
-    nodes = nodes.groupBy("last", "place").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
-    top = spark.sparkContext.broadcast(upper_nodes(nodes))
-
-    def lower(frame: pd.DataFrame) -> pd.DataFrame:
-        logs = Trees(frame["code"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)).probabilities(top.value)
+        base = int(frame["base"].iloc[0])
+        node, zeros, ones, weighted, weight = Trees(frame["code"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), base).level[base]
+        return pd.DataFrame({"depth": np.full(len(node), base, np.int32), "node": node.astype(np.int64), "zeros": zeros, "ones": ones, "weighted": weighted, "weight": weight})
+
+    nodes = gram_rows.select("base", "grp", "code", "n").groupBy("base", "grp").applyInPandas(lambda f: upper(f), NODE)
+    if most > 2:
+        nodes = written(nodes, "nodes")
+        for depth in range(most - 1, 1, -1):
+            nodes = written(nodes.unionByName(parents(nodes.where(F.col("depth") == depth + 1), depth)), "nodes")
+    last, place = F.shiftright("node", 8).bitwiseAND(F.lit(0xFF)), F.col("node").bitwiseAND(F.lit(0xFF))
+    top = nodes.where("depth = 2").groupBy(last.alias("last"), place.alias("place")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones")), F.sum("weighted").alias("below")).toPandas()
+    top = spark.sparkContext.broadcast(upper_nodes(top))
+
+    def lower(frame: pd.DataFrame, above: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({"kind": [], "code": [], "n_all": [], "value": []})
+        base = int(frame["base"].iloc[0])
+        logs = Trees(frame["code"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), base, above).probabilities(top.value)
         return pd.DataFrame({"kind": np.zeros(len(logs), np.int32), "code": frame["code"], "n_all": frame["n_all"], "value": logs})
 
     schema = "kind int, code long, n_all long, value double"
-    values = gram_rows.groupBy(pair).applyInPandas(lambda f: lower(f), schema)
+    parts = gram_rows.select("base", "grp", "code", "n", "n_all").groupBy("base", "grp")
+    if most == 2:
+        values = parts.applyInPandas(lambda f: lower(f), schema)
+    else:
+        below = gram_rows.where("base > 2").select(F.col("base").alias("base"), F.col("grp").alias("grp")).distinct()
+        below = below.withColumn("depth", F.explode(F.sequence(F.lit(2), F.col("base") - 1))).withColumn("path", F.expr("grp & (shiftleft(1L, 8 * depth) - 1)"))
+        paths = nodes.where(F.col("depth") < most).withColumn("path", F.shiftright("node", 8)).select(*NODE_NAMES, "path")
+        above = below.join(paths, ["depth", "path"]).select("base", "grp", *NODE_NAMES)
+        values = parts.cogroup(above.groupBy("base", "grp")).applyInPandas(lambda f, g: lower(f, g), schema)
     values = written(values.unionByName(word_rows.select("kind", "code", "n_all", F.col("n").cast("double").alias("value"))), "code-values")
     head = []
     for kind in (0, 1):

@@ -192,6 +192,13 @@ def test_scores(spark, make, odd_texts):
         assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9) and r.score < 0
     cats = [r for i, r in got.items() if i >= len(odd_texts) and r.held_out]
     assert cats and all(r.score > r.base_score for r in cats)
+    grams = ctw.code_counts(make(texts)).where("kind = 0")
+    most = {n: grams.groupBy(F.expr(f"(code >> 8) & {(1 << 8 * n) - 1}")).count().agg(F.max("count")).first()[0] for n in (2, 3)}
+    assert most[3] < most[2]
+    for split, base in ((most[2], 2), (most[2] - 1, 3), (most[3] - 1, 4)):  # groups by two bytes, by three, by four
+        parts = {r.doc_id: r.score for r in ctw.score(make(texts), split=split).collect()}
+        assert ctw.grouped(grams, split)[1] == base
+        assert parts.keys() == got.keys() and all(abs(parts[i] - got[i].score) < 1e-8 for i in parts)
     assert ctw.score(make([])).count() == 0
 
 
