@@ -104,12 +104,18 @@ def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def calls_of_turns(conversations: DataFrame) -> DataFrame:
-    """Messages with calls from plain turns: every user turn calls the tool ``reply`` (``summarise`` in turns that 3 divides),
-    every assistant turn is the result for the turn before; others stay plain messages."""
-    text_of = F.col("text")
-    name = F.when(F.col("turn") % 3 == 0, "summarise").otherwise("reply")
-    args = F.to_json(F.struct(F.col("turn").alias("turn"), F.substring(text_of, 1, 40).alias("start"), F.length(text_of).alias("length")))
-    number = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
+    """Messages with calls from plain turns.
+
+    Every user turn calls the tool ``reply`` (``summarise`` in turns that 3 divides), every assistant turn is a result:
+    in conversations of even number for the turn before, in the others for the turn behind it, so these results come
+    too early. Other roles stay plain messages. Arguments of turns that 7 divides are an array, those of other turns
+    that 5 divides give the turn as text.
+    """
+    text_of, turn = F.col("text"), F.col("turn")
+    name = F.when(turn % 3 == 0, "summarise").otherwise("reply")
+    object_of = lambda turn: F.to_json(F.struct(turn.alias("turn"), F.substring(text_of, 1, 40).alias("start"), F.length(text_of).alias("length")))
+    args = F.when(turn % 7 == 0, F.concat(F.lit("["), turn.cast("string"), F.lit("]"))).when(turn % 5 == 0, object_of(turn.cast("string"))).otherwise(object_of(turn))
+    number = F.when(F.col("role") == "user", turn).when(F.col("role") == "assistant", F.when(F.col("conv_id") % 2 == 0, turn - 1).otherwise(turn + 1))
     return conversations.select(
         "conv_id", "turn", "role", "text",
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), number.cast("string")).alias("call_id"),

@@ -42,22 +42,25 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "turn", "position", "link", F.array_join("errors", "; ").alias("errors"), "line")
 
 
-# Every call in this table is a user turn's and every result the next turn's, so turns are in topological order already.
+# In conversations of odd number results stand a turn before their calls.
 OP2_SQL = """
 with m as (
-  select conv_id, turn, role, text, case role when 'user' then turn when 'assistant' then turn - 1 end as num,
+  select conv_id, turn, role, text, case role when 'user' then turn when 'assistant' then if(conv_id % 2 = 0, turn - 1, turn + 1) end as num,
          case when role = 'user' then case when turn % 3 = 0 then 'summarise' else 'reply' end end as tool from conversations
 ), k as (
   select *, 'c' || conv_id || '-' || num as call_id,
-         '{"length":' || length(text) || ',"start":' || to_json(substr(text, 1, 40)) || ',"turn":' || turn || '}' as args from m
+         if(turn % 7 = 0, '[' || turn || ']', '{"length":' || length(text) || ',"start":' || to_json(substr(text, 1, 40)) || ',"turn":'
+           || if(turn % 5 = 0, '"' || turn || '"', turn::varchar) || '}') as args from m
 ), l as (
   select *, exists (select 1 from k c where c.conv_id = k.conv_id and c.call_id = k.call_id and c.tool is not null) as has_call,
          exists (select 1 from k c where c.conv_id = k.conv_id and c.call_id = k.call_id and c.tool is null) as has_result from k
 )
-select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as position,
+select conv_id, turn, row_number() over (partition by conv_id order by case when tool is null and has_call then greatest(turn, num) else turn end,
+                                                        tool is null and has_call and turn <= num, turn) - 1 as position,
        case when tool is not null then case when has_result then 'answered' else 'open' end
             when call_id is not null then case when has_call then 'linked' else 'orphan' end end as link,
-       case tool when 'summarise' then 'missing focus; unknown length' else '' end as errors,
+       case when tool is null then '' when turn % 7 = 0 then 'not an object'
+            else concat_ws('; ', if(tool = 'summarise', 'missing focus', null), if(turn % 5 = 0, 'type of turn', null), if(tool = 'summarise', 'unknown length', null)) end as errors,
        '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || to_json(role) ||
        case when tool is not null then ',"tool_call":{"arguments":' || args || ',"id":"' || call_id || '","name":"' || tool || '"}'
             when call_id is not null then ',"tool_call_id":"' || call_id || '"' else '' end || '}' as line
