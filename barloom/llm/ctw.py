@@ -112,7 +112,7 @@ def code_counts(docs: DataFrame) -> DataFrame:
                 )
 
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, 1 << 20):
                 b, offsets = lowered(part.column(1))
                 held = is_held_out(part.column(0).to_pylist())
                 for kind, (codes, begins) in enumerate((grams(b, offsets), words(b, offsets))):
