@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe
+from .centroids import cluster_vectors
 from .chat import calls_of_turns, link_calls
+from .collocations import collocations
 from .ctw import score
 from .embed_dedup import near_duplicate_vectors
 from .huffman import read_ids, write_ids
 from .mixing import mix, oracle as mixing_sql
 from .ngram_join import ngram_jaccard_join
 from .quality import grade_texts, grades_of_labels
+from .rankbpe import rank_bpe
 from .ring import ring_shards
 from .shared import read, shared_dir
 from .topk import exact_top_k
@@ -143,6 +146,72 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, out)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return cluster_vectors(vectors, k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def clusters_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """The rounds as a chain of relations: centroids c0, c1, ... and assignments a0, a1, ..."""
+    steps = [f"""v as (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as hugeint)) as x from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), e as (select row, unnest(x) as x, unnest(range({dims})) as pos from v),
+d as (select row, row_number() over (order by sha256('{seed}:' || coalesce(cast(vec_id as varchar), 'null')), x) - 1 as c from v),
+c0 as (select d.c, e.pos, e.x from d join e using (row) where d.c < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as (
+  select row, min_by(c, (s, c)) as c, min(s) as s from (select e.row, c.c, sum((e.x - c.x) * (e.x - c.x)) as s from e join c{i} c using (pos) group by all) group by row
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as (
+  select c, pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.x) as x from c{i} c
+  left join (select a.c, e.pos, cast(sum(e.x) as hugeint) as s, cast(count(*) as hugeint) as n from e join a{i} a using (row) group by all) m using (c, pos)
+)""")
+    return "with " + ", ".join(steps) + f""", h as (select c, sha256(string_agg(cast(x as varchar), ',' order by pos)) as centroid_sha256 from c{rounds} group by c)
+select vec_id, cast(c as integer) as cluster, cast(s as bigint) as distance, cast(sum(s) over (partition by c) as bigint) as cluster_inertia,
+       cast(sum(s) over () as bigint) as inertia, centroid_sha256 from a{rounds} join h using (c) join v using (row)"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), longest=5, support=100, scale=1000, cover=100, top=2000)
+
+
+OP12_SQL = """
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents
+), w as (
+  select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') as w from p
+), g as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (select unnest(range(1, 6)) as k) s)
+), t as (select lang, cast(sum(len(w)) as hugeint) as n from w group by lang),
+f as (select lang, k, phrase, cast(count(*) as hugeint) as a from g group by all having count(*) >= 100),
+cut as (
+  select f.*, unnest(range(1, f.k)) as cut, string_split(phrase, ' ') as words from f where k > 1
+), s as (
+  select c.lang, c.phrase, c.k, c.a, l.a as l, r.a as r, t.n, c.cut, (1000 * c.a * t.n) // (l.a * r.a) as score
+  from cut c join t using (lang)
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.words[: c.cut], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.words[c.cut + 1 :], ' ')
+), weakest as (
+  select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inner_of as (
+  select lang, unnest([array_to_string(words[: k - 1], ' '), array_to_string(words[2 :], ' ')]) as phrase, a from (select distinct lang, k, a, words from cut where k > 2)
+), covered as (select lang, phrase, max(a) as a from inner_of group by all)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l,
+       cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from weakest w where not exists (select 1 from covered c where c.lang = w.lang and c.phrase = w.phrase and c.a >= w.a)
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
+
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rank_bpe(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_format": op2_chat_format,
@@ -154,9 +223,14 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ring_shards": op9_ring_shards,
     "op10_token_output": op10_token_output,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_collocations": op12_collocations,
+    "op13_rank_bpe": op13_rank_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op3_exact_top_k": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_centroid_clusters": clusters_sql(16, 3, 64, 64, 1),
+    "op12_collocations": OP12_SQL,
 }
