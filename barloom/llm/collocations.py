@@ -24,7 +24,7 @@ from .bpe import slices
 from .shared import written
 
 U = np.uint64
-SHARD = 32 << 20  # bytes of text in a shard
+SHARD = 16 << 20  # bytes of text in a shard
 BITS = 1 << 27  # of the bitmap at the most; it has 16 for each candidate below that
 LANGS = 10_000  # languages whose table is broadcast
 
@@ -44,15 +44,15 @@ class Words:
         word, edge = np.r_[False, ~GAP[b], False], np.zeros(len(b) + 1, bool)
         edge[offsets] = True
         starts = np.flatnonzero(word[1:] & (~word[:-1] | edge))
-        ends = np.flatnonzero(word[:-1] & (~word[1:] | edge))
+        sizes = np.flatnonzero(word[:-1] & (~word[1:] | edge)) - starts
         marks = np.union1d(np.flatnonzero(BREAK[b]), offsets)
-        piece = np.searchsorted(marks, starts, "right")
+        piece = np.searchsorted(marks, starts, "right").astype(np.int32)
         self.joined = piece[1:] == piece[:-1]
-        flat = b[~GAP[b]]
-        at = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)]).dictionary_encode()
-        self.text = np.searchsorted(offsets, starts, "right") - 1  # each word's text
-        self.number = coded.indices.to_numpy().astype(np.int64)
+        flat = b[word[1:-1]]
+        del word, edge, starts, piece, b
+        at = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(flat)]).dictionary_encode()
+        self.number = coded.indices.to_numpy()
         self.words = coded.dictionary.to_pylist()
         edges = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(self.words) + 1]
         data = np.frombuffer(coded.dictionary.buffers()[2] or b"", np.uint8)
@@ -71,19 +71,24 @@ class Words:
         keep(size, positions, numbers, first, counts) says which of the distinct phrases go on; a phrase of more words
         is looked at only where both its parts without the last and without the first word went on.
         """
-        last = np.arange(len(self.number))
-        numbers = self.number
+        last, numbers = np.arange(len(self.number), dtype=np.int32), self.number
         for size in range(1, longest + 1):
-            _, first, number, counts = np.unique(numbers, return_index=True, return_inverse=True, return_counts=True)
-            kept = keep(size, last[first], counts)
-            yield size, last[first[kept]], counts[kept]
-            number = number.ravel()
+            order = np.argsort(numbers, kind="stable")
+            new = np.r_[True, np.diff(numbers[order]) != 0][: len(order)]
+            first, counts = last[order[new]], np.diff(np.flatnonzero(np.r_[new, True]))
+            number = np.empty(len(order), np.int32)
+            number[order] = np.cumsum(new, dtype=np.int32) - 1
+            del order, new
+            kept = keep(size, first, counts)
+            yield size, first[kept], counts[kept]
+            if size == longest:
+                return
             go = kept[number]
             last, number = last[go], number[go]
-            if size == longest or not len(last):
-                return
             pair = np.flatnonzero((last[1:] == last[:-1] + 1) & self.joined[last[:-1]])  # the next phrase goes on as well
-            numbers = number[pair] << 32 | number[pair + 1]
+            if not len(pair):
+                return
+            numbers = number[pair].astype(np.int64) << 32 | number[pair + 1]
             last = last[pair]
 
     def texts(self, at: np.ndarray, size: int) -> list[bytes]:
