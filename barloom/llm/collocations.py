@@ -10,10 +10,8 @@ exactly as well. Within a shard phrases grow word by word (only what is frequent
 apart by numbers that follow from the words themselves, not by hashes.
 """
 
-from __future__ import annotations
-
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +22,8 @@ from .bpe import slices
 from .shared import written
 
 U = np.uint64
-SHARD = 16 << 20  # bytes of text in a shard
+SHARD = 64 << 20  # bytes of text in a shard
+LEAST = 4  # shards of a language that has an eighth of those bytes for each
 BITS = 1 << 27  # of the bitmap at the most; it has 16 for each candidate below that
 LANGS = 10_000  # languages whose table is broadcast
 
@@ -34,31 +33,50 @@ GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
 
 
+def spans(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of a slice of texts: their codes, the coded words, and whether the next word is in the same piece."""
+    offsets, b = tc.texts(column)
+    base, b = offsets[0], tc.LOWER[b[offsets[0] : offsets[-1]]]
+    offsets = offsets - base
+    word, edge = np.r_[False, ~GAP[b], False], np.zeros(len(b) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(word[1:] & (~word[:-1] | edge))
+    sizes = np.flatnonzero(word[:-1] & (~word[1:] | edge)) - starts
+    marks = np.union1d(np.flatnonzero(BREAK[b]), offsets)
+    piece = np.searchsorted(marks, starts, "right")
+    at = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(b[word[1:-1]])]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.r_[piece[1:] == piece[:-1], False][: len(piece)]
+
+
 class Words:
-    """The words of texts one after another: numbers by a dictionary, and which have their right neighbour in the same piece."""
-
-    def __init__(self, column: pa.Array):
-        offsets, b = tc.texts(column)
-        base, b = offsets[0], tc.LOWER[b[offsets[0] : offsets[-1]]]
-        offsets = offsets - base
-        word, edge = np.r_[False, ~GAP[b], False], np.zeros(len(b) + 1, bool)
-        edge[offsets] = True
-        starts = np.flatnonzero(word[1:] & (~word[:-1] | edge))
-        sizes = np.flatnonzero(word[:-1] & (~word[1:] | edge)) - starts
-        marks = np.union1d(np.flatnonzero(BREAK[b]), offsets)
-        piece = np.searchsorted(marks, starts, "right").astype(np.int32)
-        self.joined = piece[1:] == piece[:-1]
-        flat = b[word[1:-1]]
-        del word, edge, starts, piece, b
-        at = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(flat)]).dictionary_encode()
-        self.number = coded.indices.to_numpy()
-        self.words = coded.dictionary.to_pylist()
-        edges = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(self.words) + 1]
-        data = np.frombuffer(coded.dictionary.buffers()[2] or b"", np.uint8)
-        self.hash = tc.span_hashes(data, edges[:-1], edges[1:]) if len(self.words) else np.zeros(0, U)
-
-    def hashes(self, at: np.ndarray, size: int, seed: np.ndarray | U) -> np.ndarray:
+    """The words of texts one after another: numbers by a dictionary, and which have their right neighbour in the same piece.
+
+    Texts come in slices, whose bytes are let go; four bytes and a flag stay for each word.
+    """
+
+    def __init__(self, columns: Iterable[pa.Array]):
+        known: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        numbers, joined, hashes, first, total = [np.zeros(0, np.int32)], [np.zeros(0, bool)], [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+        for column in columns:
+            codes, table, near = spans(column)
+            new = [w for w in table if w not in known]
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            number = np.array([known[w] for w in table], np.int32)
+            if new:
+                ends = np.cumsum([len(w) for w in new])
+                hashes.append(tc.span_hashes(np.frombuffer(b"".join(new), np.uint8), np.r_[0, ends[:-1]], ends))
+                # codes are numbered as they appear
+                fresh = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+                first.append(total + fresh[number >= len(self.words)])
+            self.words += new
+            numbers.append(number[codes])
+            joined.append(near)
+            total += len(codes)
+        self.number, self.joined, self.hash, self.first = map(np.concatenate, (numbers, joined, hashes, first))
+
+    def hashes(self, at: np.ndarray, size: int, seed: U) -> np.ndarray:
         """64-bit hashes of the phrases of ``size`` words that begin at words ``at``."""
         h = np.full(len(at), U(size)) * U(tc.BASE) + seed
         for i in range(size):
@@ -66,30 +84,33 @@ class Words:
         return h
 
     def phrases(self, longest: int, keep: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(words, where each phrase first begins, its count), for phrases of 1 to ``longest`` words.
+        """(words, where phrases first begin, their counts), for phrases of 1 to ``longest`` words, in parts.
 
-        keep(size, positions, numbers, first, counts) says which of the distinct phrases go on; a phrase of more words
-        is looked at only where both its parts without the last and without the first word went on.
+        keep(size, first, counts) says which of some distinct phrases go on; a phrase of more words is looked at
+        only where both its parts without the last and without the first word went on. Phrases are numbered
+        from the pair of numbers of these two parts; pairs are sorted in parts by their first number.
         """
-        last, numbers = np.arange(len(self.number), dtype=np.int32), self.number
-        for size in range(1, longest + 1):
-            order = np.argsort(numbers, kind="stable")
-            new = np.r_[True, np.diff(numbers[order]) != 0][: len(order)]
-            first, counts = last[order[new]], np.diff(np.flatnonzero(np.r_[new, True]))
-            number = np.empty(len(order), np.int32)
-            number[order] = np.cumsum(new, dtype=np.int32) - 1
-            del order, new
-            kept = keep(size, first, counts)
-            yield size, first[kept], counts[kept]
-            if size == longest:
-                return
-            go = kept[number]
-            last, number = last[go], number[go]
-            pair = np.flatnonzero((last[1:] == last[:-1] + 1) & self.joined[last[:-1]])  # the next phrase goes on as well
-            if not len(pair):
+        counts = np.bincount(self.number, minlength=len(self.words))
+        kept = keep(1, self.first, counts)
+        yield 1, self.first[kept], counts[kept]
+        ids = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)[self.number]
+        parts = 8 if len(ids) > 1 << 20 else 1
+        for size in range(2, longest + 1):
+            longer, n = np.full(len(ids), -1, np.int32), 0
+            live = (ids[:-1] >= 0) & (ids[1:] >= 0) & self.joined[:-1]
+            for part in range(parts):
+                at = np.flatnonzero(live & ((ids[:-1] & parts - 1) == part))
+                pair = ids[at].astype(np.int64) << 32 | ids[at + 1]
+                order = np.argsort(pair, kind="stable")
+                new = np.r_[True, np.diff(pair[order]) != 0][: len(order)]
+                first, counts = at[order[new]], np.diff(np.flatnonzero(np.r_[new, True]))
+                kept = keep(size, first, counts)
+                yield size, first[kept], counts[kept]
+                longer[at[order]] = np.where(kept, n + np.cumsum(kept) - 1, -1)[np.cumsum(new) - 1] if len(at) else 0
+                n += int(kept.sum())
+            if not n:
                 return
-            numbers = number[pair].astype(np.int64) << 32 | number[pair + 1]
-            last = last[pair]
+            ids = longer
 
     def texts(self, at: np.ndarray, size: int) -> list[bytes]:
         words, number = self.words, self.number
@@ -106,14 +127,13 @@ def candidates_of(texts: DataFrame, longest: int, support: int) -> DataFrame:
     texts: lang, text, n_shards. A hash stands for a phrase and its language; phrases that share one add up, so none is lost.
     """
 
-    def mine(key, table):
+    def mine(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, parts = key[0].as_py(), key[2].as_py()
         least, seed = -(-support // parts), language_seed(lang)
-        words = Words(table["text"])
-        found = [(words.hashes(at, size, seed), counts - (least - 1)) for size, at, counts in words.phrases(longest, lambda size, first, counts: counts >= least)]
-        h = np.concatenate([f[0] for f in found]).view(np.int64)
-        base = np.full(len(h), parts * (least - 1), np.int64)
-        return pa.table({"h": h, "more": np.concatenate([f[1] for f in found]).astype(np.int64), "base": base})
+        words = Words(part.column(0) for batch in batches for part in slices(batch.select(["text"]), 0))
+        for size, at, counts in words.phrases(longest, lambda size, first, counts: counts >= least):
+            base = np.full(len(at), parts * (least - 1), np.int64)
+            yield pa.RecordBatch.from_pydict({"h": words.hashes(at, size, seed).view(np.int64), "more": (counts - (least - 1)).astype(np.int64), "base": base})
 
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("n_shards")).cast("int"))
     reported = dealt.select("lang", "shard", "n_shards", "text").groupBy("lang", "shard", "n_shards").applyInArrow(mine, "h long, more long, base long")
@@ -149,7 +169,8 @@ def collocations(docs: DataFrame, *, longest: int = 5, support: int = 100, scale
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
-    langs = written(sizes.select("lang", F.greatest(F.lit(1), F.ceil(F.col("bytes") / shard_bytes)).cast("int").alias("n_shards")), "langs")
+    shards = F.greatest(F.lit(1), F.ceil(F.col("bytes") / shard_bytes), F.least(F.lit(LEAST), F.ceil(8 * F.col("bytes") / shard_bytes)))
+    langs = written(sizes.select("lang", shards.cast("int").alias("n_shards")), "langs")
     few = langs.count() <= LANGS
     texts = docs.where("text <> ''").join(F.broadcast(langs) if few else langs, "lang")
     found = written(candidates_of(texts, longest, support), "candidates")
@@ -163,7 +184,7 @@ def collocations(docs: DataFrame, *, longest: int = 5, support: int = 100, scale
                 langs = part.column(0).dictionary_encode()
                 number = langs.indices.to_numpy()
                 for i, lang in enumerate(langs.dictionary.to_pylist()):
-                    words, seed = Words(part.column(1).filter(pa.array(number == i))), language_seed(lang)
+                    words, seed = Words([part.column(1).filter(pa.array(number == i))]), language_seed(lang)
 
                     def may_be(size, first, counts):
                         slot = words.hashes(first, size, seed) & mask
