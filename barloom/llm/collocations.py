@@ -4,9 +4,9 @@ The texts of a language are dealt into N shards of bounded size. With support s,
 that it holds at least t = ceil(s / N) times: a phrase that no shard reports has at most N * (t - 1) < s
 occurrences. What the shards report also bounds a phrase's count from above, by its reported counts and t - 1
 for each shard that is silent; the union of all phrases whose bound reaches s are the candidates. In a second
-pass over all texts the candidates are counted exactly, by their texts; a bitmap of fixed size tells the tasks
+pass over all shards the candidates are counted exactly, by their texts; a bitmap of fixed size tells the tasks
 which phrases may be candidates, and what gets through it by chance falls short of the support or is counted
-exactly as well. Within a shard phrases grow word by word (only what is frequent is extended), and are told
+exactly as well. Both passes deal the texts anew, so that each phrase's count leaves a shard once. Within a shard phrases grow word by word (only what is frequent is extended), and are told
 apart by numbers that follow from the words themselves, not by hashes.
 """
 
@@ -121,22 +121,25 @@ def language_seed(lang: str) -> U:
     return U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def candidates_of(texts: DataFrame, longest: int, support: int) -> DataFrame:
+def words_of(batches: Iterator[pa.RecordBatch]) -> Words:
+    return Words(part.column(0) for batch in batches for part in slices(batch.select(["text"]), 0))
+
+
+def candidates_of(dealt: DataFrame, longest: int, support: int) -> DataFrame:
     """Hashes (h) of all phrases of up to ``longest`` words that may occur ``support`` times in their language.
 
-    texts: lang, text, n_shards. A hash stands for a phrase and its language; phrases that share one add up, so none is lost.
+    dealt: lang, shard, n_shards, text. A hash stands for a phrase and its language; phrases that share one add up, so none is lost.
     """
 
     def mine(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, parts = key[0].as_py(), key[2].as_py()
         least, seed = -(-support // parts), language_seed(lang)
-        words = Words(part.column(0) for batch in batches for part in slices(batch.select(["text"]), 0))
+        words = words_of(batches)
         for size, at, counts in words.phrases(longest, lambda size, first, counts: counts >= least):
             base = np.full(len(at), parts * (least - 1), np.int64)
             yield pa.RecordBatch.from_pydict({"h": words.hashes(at, size, seed).view(np.int64), "more": (counts - (least - 1)).astype(np.int64), "base": base})
 
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("n_shards")).cast("int"))
-    reported = dealt.select("lang", "shard", "n_shards", "text").groupBy("lang", "shard", "n_shards").applyInArrow(mine, "h long, more long, base long")
+    reported = dealt.groupBy("lang", "shard", "n_shards").applyInArrow(mine, "h long, more long, base long")
     bound = reported.groupBy("h").agg(F.sum("more").alias("more"), F.max("base").alias("base"))
     return bound.where(F.col("more") + F.col("base") >= support).select("h")
 
@@ -173,31 +176,29 @@ def collocations(docs: DataFrame, *, longest: int = 5, support: int = 100, scale
     langs = written(sizes.select("lang", shards.cast("int").alias("n_shards")), "langs")
     few = langs.count() <= LANGS
     texts = docs.where("text <> ''").join(F.broadcast(langs) if few else langs, "lang")
-    found = written(candidates_of(texts, longest, support), "candidates")
+    # by the row's place: copies don't meet in one shard
+    dealt = texts.select("lang", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("n_shards")).cast("int").alias("shard"), "n_shards", "text")
+    found = written(candidates_of(dealt, longest, support), "candidates")
     shared = spark.sparkContext.broadcast(bitmap(found, found.count()))
 
-    def count(batches):
-        bits = shared.value
-        mask = U(len(bits) * 64 - 1)
-        for batch in batches:
-            for part in slices(batch, 1):
-                langs = part.column(0).dictionary_encode()
-                number = langs.indices.to_numpy()
-                for i, lang in enumerate(langs.dictionary.to_pylist()):
-                    words, seed = Words([part.column(1).filter(pa.array(number == i))]), language_seed(lang)
-
-                    def may_be(size, first, counts):
-                        slot = words.hashes(first, size, seed) & mask
-                        return (bits[slot >> U(6)] >> (slot & U(63)) & U(1)).astype(bool)
-
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "words": pa.array([0], pa.int32()), "phrase": [""], "n": pa.array([len(words.number)], pa.int64())})
-                    for size, at, counts in words.phrases(longest, may_be):
-                        phrases = pa.array(words.texts(at, size), pa.binary()).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), size, np.int32)), phrases, pa.array(counts.astype(np.int64))], ["lang", "words", "phrase", "n"]
-                        )
-
-    counted = docs.mapInArrow(count, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, lang = shared.value, key[0].as_py()
+        mask, seed = U(len(bits) * 64 - 1), language_seed(key[0].as_py())
+        words = words_of(batches)
+
+        def may_be(size, first, counts):
+            slot = words.hashes(first, size, seed) & mask
+            return (bits[slot >> U(6)] >> (slot & U(63)) & U(1)).astype(bool)
+
+        def rows(size, phrases, counts):
+            cols = [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), size, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["lang", "words", "phrase", "n"])
+
+        yield rows(0, [b""], [len(words.number)])
+        for size, at, counts in words.phrases(longest, may_be):
+            yield rows(size, words.texts(at, size), counts.astype(np.int64))
+
+    counted = dealt.groupBy("lang", "shard", "n_shards").applyInArrow(count, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     counted = written(counted.where(F.col("n") >= F.when(F.col("words") > 0, support).otherwise(1)), "phrases")
     return ranked(counted, scale, cover, top, few)
 
