@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,6 +25,10 @@ class TableSpec:
     def schema(self) -> StructType:
         return StructType.fromDDL(self.ddl)
 
+    @property
+    def columns(self) -> list[str]:
+        return [c.split()[0].strip("`") for c in self.ddl.split(", ")]
+
 
 TEXTS = "symbol name area industry fullname enname cnspell market exchange curr_type list_status list_date delist_date is_hs act_name act_ent_type"
 INDICATORS = "dif dea macd_hist k d j rsi6 rsi14 rsi24 ma5 ma10 ma20 ma60 boll_upper boll_mid boll_lower atr14"
@@ -47,6 +51,8 @@ SPECS = {
         TableSpec("tech_indicator", _BAR + _typed(INDICATORS, "double"), ("ts_code", "trade_date"), "trade_date", ("daily", "adj_factor")),
     )
 }
+#: Tables that are views of others: the one that tells whether there is any, the view of a store, and all that it is made of.
+VIEWS: dict[str, tuple[str, Callable[[Store], DataFrame], tuple[str, ...]]] = {}
 SYNC_ORDER = ("stock_basic", "trade_cal", "suspend_d", "daily", "adj_factor", "daily_basic", "tech_indicator")
 
 
@@ -65,7 +71,7 @@ def conform(df: DataFrame, spec: TableSpec, also: Iterable[Column] = ()) -> Data
         c = F.col(f"`{have[f.name.lower()]}`")
         if f.name == "is_open":
             c = flag(c)
-        elif f.name in ("list_date", "delist_date"):
+        elif f.name.endswith("_date"):
             c = F.lpad(F.regexp_replace(c.cast("string"), r"\.0$", ""), 8, "0")
         else:
             c = c.try_cast(f.dataType)
@@ -93,11 +99,20 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def exists(self, table: str) -> bool:
-        fs, p = self._fs(self.path(table))
+        fs, p = self._fs(self.path(VIEWS[table][0] if self._is_view(table) else table))
         return fs.exists(p) and any(s.getPath().getName().endswith(".parquet") or s.isDirectory() for s in fs.listStatus(p))
 
+    def _is_view(self, table: str) -> bool:
+        return table in VIEWS and self.exists(VIEWS[table][0])
+
+    def delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
     def load(self, table: str, **filters) -> DataFrame:
         spec = SPECS[table]
+        if self._is_view(table):
+            return conform(VIEWS[table][1](self), spec).where(condition(filters))
         if not self.exists(table):
             return self.spark.createDataFrame([], spec.schema)
         return self._whole(table).where(condition(filters))
@@ -161,8 +176,8 @@ class Store:
         return self.load(table).agg(F.max(date)).first()[0] if date and self.exists(table) else None
 
     def drop(self, table: str) -> None:
-        fs, p = self._fs(self.path(table))
-        fs.delete(p, True)
+        for name in (table, *(VIEWS[table][2] if table in VIEWS else ())):
+            self.delete(self.path(name))
 
     def deduplicate(self, table: str) -> int:
         """Keeps the last row of each key in file order; returns how many went."""
