@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-from .windows import bollinger, sma
 
 
 def smoothed(x: np.ndarray, seed_at: int, seed: float, alpha: float) -> np.ndarray:
@@ -78,15 +75,3 @@ def recursive_indicators(frame: pd.DataFrame) -> pd.DataFrame:
     high, low, close = (frame[c].to_numpy(float) for c in ("high", "low", "close"))
     values = [*macd(close), *kdj(high, low, close), *(rsi(close, n) for n in (6, 14, 24)), atr(high, low, close)]
     return pd.DataFrame({"ts_code": frame["ts_code"], "trade_date": frame["trade_date"], **{n: np.where(np.isnan(v), None, v) for n, v in zip(RECURSIVE, values)}})
-
-
-def indicators(bars: DataFrame) -> DataFrame:
-    """All indicator columns for bars (ts_code, trade_date, high, low, close); rows without any are left out."""
-    folded = bars.select("ts_code", "trade_date", "high", "low", "close").groupBy("ts_code").applyInPandas(
-        recursive_indicators, "ts_code string, trade_date string, " + ", ".join(f"{c} double" for c in RECURSIVE)
-    )
-    up, mid, down = bollinger("close")
-    plain = bars.select("ts_code", "trade_date", *(sma("close", n).alias(f"ma{n}") for n in (5, 10, 20, 60)), up.alias("boll_upper"), mid.alias("boll_mid"), down.alias("boll_lower"))
-    both = plain.join(folded, ["ts_code", "trade_date"])
-    names = [c for c in both.columns if c not in ("ts_code", "trade_date")]
-    return both.where(F.coalesce(*names).isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import active_universe, limit_flags, open_gap, suspended_flag
-from ..operators import calendar, cross, kernels, simulate, windows as w
+from ..operators import calendar, cross, kernels, resume, simulate, windows as w
 from ..sources.adapter import CTES, Market
 from ..sources.tables import keep_last, table_status
 from . import screeners
@@ -240,11 +240,13 @@ def atr(m):
     return recursive(m, "atr14")
 
 
-@query(
-    f""", {SERIES}, r as (select *, case when max(high) {prior(9)} = min(low) {prior(9)} then 50 else (close - min(low) {prior(9)})/(max(high) {prior(9)} - min(low) {prior(9)})*100 end as rsv from s),
+OSCILLATOR = f"""r as (select *, case when max(high) {prior(9)} = min(low) {prior(9)} then 50 else (close - min(low) {prior(9)})/(max(high) {prior(9)} - min(low) {prior(9)})*100 end as rsv from s),
     kd as (select ts_code, cast(9 as bigint) as i, cast(50 as double) as k, cast(50 as double) as d from s where i = 9
-    union all select kd.ts_code, r.i, kd.k*2/3 + r.rsv/3, kd.d*2/3 + (kd.k*2/3 + r.rsv/3)/3 from kd join r on r.ts_code = kd.ts_code and r.i = kd.i + 1)
-    select s.ts_code, s.trade_date, round(kd.k, 6) as k, round(kd.d, 6) as d, round(3*kd.k - 2*kd.d, 6) as j from s left join kd using (ts_code, i)""",
+    union all select kd.ts_code, r.i, kd.k*2/3 + r.rsv/3, kd.d*2/3 + (kd.k*2/3 + r.rsv/3)/3 from kd join r on r.ts_code = kd.ts_code and r.i = kd.i + 1)"""
+
+
+@query(
+    f", {SERIES}, {OSCILLATOR} select s.ts_code, s.trade_date, round(kd.k, 6) as k, round(kd.d, 6) as d, round(3*kd.k - 2*kd.d, 6) as j from s left join kd using (ts_code, i)",
     recursive=True,
 )
 def kdj(m):
@@ -402,7 +404,7 @@ TECH = ", ".join(wilder_sql(f"{k}{n}", v, n, 2) for n in (6, 14) for k, v in (("
     recursive=True,
 )
 def screen_trend_pullback(m):
-    return screeners.trend_pullback(m.daily, kernels.indicators(m.daily), m.daily_basic, m.stock_basic, 50)
+    return screeners.trend_pullback(m.daily, resume.indicators(m.daily), m.daily_basic, m.stock_basic, 50)
 
 
 VERIFIED = (("daily", KEY), ("adj_factor", KEY), ("daily_basic", KEY), ("suspend_d", [*KEY, "suspend_type"]))
@@ -535,6 +537,34 @@ def grid_metrics(m):
     return screeners.ranked_runs(found)
 
 
-@query()
+FACTORED = """priced as (select ts_code, trade_date, d.high*f.adj_factor/f.last as high, d.low*f.adj_factor/f.last as low, d.close*f.adj_factor/f.last as close
+from daily d join (select a.*, last_value(a.adj_factor) over (partition by ts_code order by trade_date rows between unbounded preceding and unbounded following) as last from adj_factor a semi join daily using (ts_code, trade_date)) f
+using (ts_code, trade_date) where f.last <> 0)"""
+ALL_WILDER = ", ".join(wilder_sql(f"{k}{n}", v, n, 2) for n in (6, 14, 24) for k, v in (("u", "up"), ("d", "down")))
+INDICATOR_SQL = (
+    f", {FACTORED}, {SERIES.replace('from daily', 'from priced')}, {SX}, {ALL_WILDER}, {wilder_sql('a', 'tr', 14, 1)}, {ema_sql('e12', 's', 'close', 12, 1)}, {ema_sql('e26', 's', 'close', 26, 1)}, "
+    f"df as (select a.ts_code, a.i, a.v - b.v as dif from e12 a join e26 b using (ts_code, i)), {ema_sql('de', 'df', 'dif', 9, 26)}, {OSCILLATOR}"
+    f" select s.ts_code, s.trade_date, round(df.dif, 6) as dif, round(de.v, 6) as dea, round(2*(df.dif - de.v), 6) as macd_hist, round(kd.k, 6) as k, round(kd.d, 6) as d, round(3*kd.k - 2*kd.d, 6) as j, "
+    + ", ".join(rsi_part(n) for n in (6, 14, 24)) + ", "
+    + ", ".join(f"round(case when s.i >= {n} then avg(s.close) over (partition by s.ts_code order by s.trade_date rows between {n - 1} preceding and current row) end, 6) as ma{n}" for n in (5, 10, 20, 60)) + ", "
+    + ", ".join(f"round(case when s.i >= 20 then avg(s.close) over b {x} end, 6) as boll_{n}" for n, x in (("upper", "+ 2*stddev_pop(s.close) over b"), ("mid", ""), ("lower", "- 2*stddev_pop(s.close) over b")))
+    + ", round(case when sx.n > 14 then a.v end, 6) as atr14 from s join sx on sx.ts_code = s.ts_code and sx.i = s.i "
+    + " ".join(f"left join {x} on {x}.ts_code = s.ts_code and {x}.i = s.i" for x in ("df", "de", "kd", "a", *(f"{k}{n}" for n in (6, 14, 24) for k in "ud")))
+    + " window b as (partition by s.ts_code order by s.trade_date rows between 19 preceding and current row) qualify s.i >= 5"
+)
+
+
+@query(INDICATOR_SQL, recursive=True)
 def tech_indicator(m):
-    return kernels.indicators(w.indicator_prices(m.daily, m.adj_factor))
+    return cols(resume.indicators(w.indicator_prices(m.daily, m.adj_factor)), **{c: c for c in resume.INDICATORS})
+
+
+@query(INDICATOR_SQL, recursive=True)
+def tech_incremental(m):
+    """The same table in three parts, each going on from the states that the one before left."""
+    bars = resume.products(m.daily, m.adj_factor)
+    states, rows = m.spark.createDataFrame([], resume.STATE), []
+    for start, end in (("0", "19940101"), ("19940101", "19970101"), ("19970101", "9")):
+        found, states = resume.rows_and_states(resume.resume(bars.where((F.col("trade_date") >= start) & (F.col("trade_date") < end)), states))
+        rows.append(found)
+    return cols(resume.adjusted_view(rows[0].unionByName(rows[1]).unionByName(rows[2]), states), **{c: c for c in resume.INDICATORS})

@@ -3,8 +3,7 @@
 import math
 import random
 
-from barloom.operators.kernels import indicators
-from barloom.operators.resume import INDICATORS
+from barloom.operators.resume import INDICATORS, indicators
 from barloom.operators.windows import indicator_prices
 from barloom.sources import vendor
 from barloom.sources.indicators import states_of, update_indicators
