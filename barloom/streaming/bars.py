@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.resume import INDICATORS, RAW, State, advance
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_PARTS = "n long, high array<double>, low array<double>, close array<double>, carried array<double>"
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -28,20 +34,53 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 day
     return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
 
 
-def running_ema(bars: DataFrame, n: int = 12) -> DataFrame:
-    """The EMA of closes in order of arrival (bars of a batch by trade_date), seeded with the mean of the first n; state: (count, sum or EMA)."""
+class RunningIndicators(StatefulProcessor):
+    """Bars of one instrument wait in a list until the watermark has passed them, then go through the fold in order of event time.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, value = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("trade_date")
-        out = []
-        for close in rows["close"]:
-            count += 1
-            value = value + close if count < n else (value + close) / n if count == n else value + 2 / (n + 1) * (close - value)
-            out.append(value if count >= n else None)
-        state.update((count, float(value)))
-        yield pd.DataFrame({"ts_code": rows["ts_code"], "trade_date": rows["trade_date"], "ema": out})
+    The fold's state is a value state; a timer at each bar's time lets it go. So a bar that comes late, but within the
+    watermark's delay, takes its place as if it had come in time.
+    """
 
-    return bars.groupBy("ts_code").applyInPandasWithState(
-        step, "ts_code string, trade_date string, ema double", "count long, value double", "append", GroupStateTimeout.NoTimeout
-    )
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE_PARTS)
+        self.held = handle.getListState("held", "at long, trade_date string, high double, low double, close double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            at = frame["at"].astype("int64").tolist()
+            self.held.appendList(list(zip(at, frame["trade_date"].tolist(), *(frame[c].astype(float).tolist() for c in ("high", "low", "close")))))
+            for t in set(at):
+                self.handle.registerTimer(t)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        held = sorted(tuple(r) for r in self.held.get())
+        ready, later = [r for r in held if r[0] <= upto], [r for r in held if r[0] > upto]
+        if not ready:  # an earlier timer of the same batch took them along
+            return
+        if later:
+            self.held.put(later)
+        else:
+            self.held.clear()
+        known = self.state.get() if self.state.exists() else None
+        before = State() if known is None else State(int(known[0]), *(np.array(x, float) for x in known[1:4]), np.array(known[4], float) if known[4] is not None else None)
+        out, after = advance(before, *(np.array([r[i] for r in ready], float) for i in (2, 3, 4)))
+        self.state.update((after.n, *(getattr(after, c).tolist() for c in ("high", "low", "close")), None if after.carried is None else after.carried.tolist()))
+        yield pd.DataFrame({"ts_code": key[0], "trade_date": [r[1] for r in ready], "pos": np.arange(before.n, after.n), **{c: out[c] for c in INDICATORS}})
+
+    def close(self) -> None:
+        pass
+
+
+def running_indicators(bars: DataFrame, late: str = "5 days") -> DataFrame:
+    """All indicators of a stream of bars (ts_code, trade_date, ts as event time, high, low, close; one bar a date), in unadjusted prices.
+
+    A bar comes out once the watermark has passed it, with the columns of ``resume.RAW``; bars behind the watermark are
+    dropped. The fold is that of the stored indicators, so a stream and a batch over the same bars agree. Needs the
+    state store of RocksDB (spark.sql.streaming.stateStore.providerClass).
+    """
+    timed = bars.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = timed.select("ts_code", "trade_date", "high", "low", "close", F.unix_millis("ts").alias("at"), "ts")
+    return timed.groupBy("ts_code").transformWithStateInPandas(RunningIndicators(), RAW, "append", "eventTime")
