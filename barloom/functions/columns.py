@@ -26,8 +26,18 @@ def active(date: Column, prefix: str = "") -> Column:
 
 
 def active_universe(stock_basic: DataFrame, dates: DataFrame) -> DataFrame:
-    """(trade_date, ts_code) of all listed instruments on each date."""
-    return dates.select("trade_date").distinct().join(stock_basic, active(F.col("trade_date"))).select("trade_date", "ts_code")
+    """(trade_date, ts_code) of all listed instruments on each date.
+
+    The dates, a short calendar, are one sorted array from a scalar subquery; each instrument takes the part of it
+    that lies within its listing. No join by ranges.
+    """
+    days = dates.agg(F.array_sort(F.collect_set("trade_date"))).scalar()
+    low, high = F.coalesce(date_text(F.col("list_date")), F.lit("")), F.coalesce(date_text(F.col("delist_date")), F.lit("~"))
+    listed = stock_basic.where("list_status = 'L'").select("ts_code", low.alias("_from"), high.alias("_to")).withColumn("_days", days)
+    before = F.size(F.filter("_days", lambda d: d < F.col("_from")))
+    upto = F.size(F.filter("_days", lambda d: d <= F.col("_to")))
+    part = F.slice("_days", before + 1, F.greatest(upto - before, F.lit(0)))
+    return listed.select("ts_code", F.explode(part).alias("trade_date")).select("trade_date", "ts_code")
 
 
 def open_gap(opened: str = "open", before: str = "pre_close") -> Column:

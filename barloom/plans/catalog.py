@@ -39,6 +39,10 @@ def month_ends(m: Market) -> DataFrame:
     return calendar.rebalance_dates(m.daily.select("trade_date").distinct(), "monthly")
 
 
+def rounded(signals: DataFrame) -> DataFrame:
+    return signals.withColumn("weight", r6("weight"))
+
+
 def adjusted(m: Market) -> DataFrame:
     return w.adjusted_prices(m.daily, m.adj_factor)
 
@@ -343,30 +347,34 @@ def base_sql(lookback: int, amount: float) -> str:
 
 @query(base_sql(120, 50) + f"scored as (select ts_code, trade_date, round({rank_sql('dv_ttm', True)}*0.6 - {minmax_sql('volatility')}*0.3 + {rank_sql('pb', False)}*0.1, 6) as score from base), " + weights_sql("scored", 5, None))
 def sig_dividend_low_vol(m):
-    return DividendLowVol(min_amount=50).signals(m.tables(), month_ends(m))
+    return rounded(DividendLowVol(min_amount=50).signals(m.tables(), month_ends(m)))
 
 
 @query(base_sql(60, 0) + f"scored as (select ts_code, trade_date, round({rank_sql('pb', False)}*0.45 + {rank_sql('pe_ttm', False)}*0.35 - {minmax_sql('volatility')}*0.2 + {rank_sql('total_mv', False)}*0.0, 6) as score from base), " + weights_sql("scored", 20, 0.3))
 def sig_value_low_vol(m):
-    return ValueLowVol(max_weight_per_stock=0.3).signals(m.tables(), month_ends(m))
+    return rounded(ValueLowVol(max_weight_per_stock=0.3).signals(m.tables(), month_ends(m)))
 
 
 @query(f""", {RET}, f as (select ts_code, trade_date, amount, {MOMENTUM} as momentum, {REVERSAL} as reversal from ret window t as (partition by ts_code order by trade_date)),
 base as (select r.*, -r.reversal as fall from f r join month_ends using (trade_date) join stock_basic s on s.ts_code = r.ts_code and {LISTED} where momentum is not null and reversal is not null),
 scored as (select ts_code, trade_date, round({rank_sql('momentum', True)}*0.7 + {rank_sql('fall', True)}*0.3, 6) as score from base), """ + weights_sql("scored", 20, None))
 def sig_momentum_reversal(m):
-    return MomentumReversal().signals(m.tables(), month_ends(m))
+    return rounded(MomentumReversal().signals(m.tables(), month_ends(m)))
 
 
 @query(f""", f as (select ts_code, trade_date, amount, pct_chg, {BREAKOUT} as breakout, {VOLUME} as volume_ratio from adjusted window t as (partition by ts_code order by trade_date)),
 base as (select r.* from f r join month_ends using (trade_date) join stock_basic s on s.ts_code = r.ts_code and {LISTED} where breakout > 0 and volume_ratio >= 1.2 and pct_chg >= 0),
 scored as (select ts_code, trade_date, round({rank_sql('breakout', True)}*0.6 + {rank_sql('volume_ratio', True)}*0.4, 6) as score from base), """ + weights_sql("scored", 20, None))
 def sig_breakout(m):
-    return VolumePriceBreakout(volume_multiplier=1.2).signals(m.tables(), month_ends(m))
+    return rounded(VolumePriceBreakout(volume_multiplier=1.2).signals(m.tables(), month_ends(m)))
 
 
 # Screeners and verification
 
+FACTORED = """priced as (select ts_code, trade_date, d.high*f.adj_factor/f.last as high, d.low*f.adj_factor/f.last as low, d.close*f.adj_factor/f.last as close
+from daily d join (select a.*, last_value(a.adj_factor) over (partition by ts_code order by trade_date rows between unbounded preceding and unbounded following) as last from adj_factor a semi join daily using (ts_code, trade_date)) f
+using (ts_code, trade_date) where f.last <> 0)"""
+
 PAIRS = "days as (select trade_date, lag(trade_date) over (order by trade_date) as prev_date, row_number() over (order by trade_date) - 1 as pos from (select distinct trade_date from daily))"
 SURGE = f""", {PAIRS}, surge as (select d.ts_code, coalesce(s.name, '') as name, d.trade_date, cast(d.vol as bigint) as vol_today, cast(p.vol as bigint) as vol_prev, round(d.vol/nullif(p.vol, 0), 6) as vol_ratio,
 d.close, round(d.pct_chg, 6) as pct_chg from daily d join days y using (trade_date) join daily p on p.ts_code = d.ts_code and p.trade_date = y.prev_date left join stock_basic s on s.ts_code = d.ts_code where d.vol/nullif(p.vol, 0) >= 2 and d.pct_chg > 0) """
@@ -385,8 +393,7 @@ def screen_trigger_share(m):
 TECH = ", ".join(wilder_sql(f"{k}{n}", v, n, 2) for n in (6, 14) for k, v in (("u", "up"), ("d", "down")))
 
 
-@query(
-    f""", {SERIES}, {SX}, {PAIRS}, {TECH}, {ema_sql('e12', 's', 'close', 12, 1)}, {ema_sql('e26', 's', 'close', 26, 1)}, df as (select a.ts_code, a.i, a.v - b.v as dif from e12 a join e26 b using (ts_code, i)), {ema_sql('de', 'df', 'dif', 9, 26)},
+TREND_SQL = f""", {SERIES}, {SX}, {PAIRS}, {TECH}, {ema_sql('e12', 's', 'close', 12, 1)}, {ema_sql('e26', 's', 'close', 26, 1)}, df as (select a.ts_code, a.i, a.v - b.v as dif from e12 a join e26 b using (ts_code, i)), {ema_sql('de', 'df', 'dif', 9, 26)},
     tech as (select s.ts_code, s.trade_date, {', '.join(f"round(case when s.i >= {n} then avg(close) over (partition by s.ts_code order by s.trade_date rows between {n - 1} preceding and current row) end, 6) as ma{n}" for n in (5, 20, 60))}, {rsi_part(6)}, {rsi_part(14)},
       round(df.dif, 6) as dif, round(de.v, 6) as dea, round(2*(df.dif - de.v), 6) as macd_hist from s {' '.join(f"left join {k}{n} on {k}{n}.ts_code = s.ts_code and {k}{n}.i = s.i" for n in (6, 14) for k in "ud")} left join df on df.ts_code = s.ts_code and df.i = s.i left join de on de.ts_code = s.ts_code and de.i = s.i),
     bars as (select *, avg(vol) {rows(5)} as vol_ma5, max(high) {rows(20)} as high_20, min(low) {rows(5)} as low_5, count(*) {rows(60)} as n_60 from daily where close > 0 and vol > 0),
@@ -400,13 +407,22 @@ TECH = ", ".join(wilder_sql(f"{k}{n}", v, n, 2) for n in (6, 14) for k, v in (("
       + case when rsi14 between 45 and 70 and rsi6 > rsi14 then 10 else 0 end + case when macd_hist > coalesce(prev_hist, -999999) and dif >= dea then 5 else 0 end as signal_score from f)
     select ts_code, name, trade_date, signal_score, close, round(pct_chg, 6) as pct_chg, upside_room_pct, ma20_gap_pct, vol_ratio_5, round(volume_ratio, 6) as volume_ratio, round(turnover_rate, 6) as turnover_rate, rsi6, rsi14, macd_hist,
       concat_ws('/', case when ma20_gap_pct between -0.5 and 8 then '20线' end, case when upside_room_pct >= 2 then '空间' end, case when vol_ratio_5 between 1.05 and 2.6 then '放量' end, case when rsi6 > rsi14 then '动能' end, case when macd_hist > 0 then 'MACD+' end) as signal_reason
-    from g where signal_score >= 50 and close > ma20 and ma20 > ma60 and low_5 <= ma20*1.04 and close <= high_20*0.985""",
-    recursive=True,
-)
+    from g where close > ma20 and ma20 > ma60 and low_5 <= ma20*1.04 and close <= high_20*0.985 and """
+
+
+@query(TREND_SQL + "signal_score >= 50", recursive=True)
 def screen_trend_pullback(m):
     return screeners.trend_pullback(m.daily, resume.indicators(m.daily), m.daily_basic, m.stock_basic, 50)
 
 
+AS_OF, LEAST = "19961018", 30
+
+
+@query(TREND_SQL + f"signal_score >= {LEAST} and trade_date = (select max(trade_date) from daily where trade_date <= '{AS_OF}') order by signal_score desc, upside_room_pct desc, vol_ratio_5 desc, ts_code limit 5", recursive=True)
+def screen_latest_candidates(m):
+    return screeners.latest_candidates(m.daily, resume.indicators(m.daily), m.daily_basic, m.stock_basic, LEAST, 5, AS_OF)
+
+
 VERIFIED = (("daily", KEY), ("adj_factor", KEY), ("daily_basic", KEY), ("suspend_d", [*KEY, "suspend_type"]))
 
 
@@ -433,6 +449,28 @@ def verify_alignment(m):
     return screeners.alignment(m.daily, {t: getattr(m, t) for t in ("adj_factor", "daily_basic", "suspend_d")})
 
 
+REPORTED = {"stock_basic": ("ts_code",), "trade_cal": ("cal_date", "exchange"), "daily": tuple(KEY), "adj_factor": tuple(KEY), "daily_basic": tuple(KEY), "suspend_d": (*KEY, "suspend_type"), "tech_indicator": tuple(KEY)}
+DATED = dict.fromkeys(REPORTED, "trade_date") | {"stock_basic": None, "trade_cal": "cal_date"}
+REPORT_SQL = f""", {FACTORED}, tech_indicator as (select ts_code, trade_date from (select *, row_number() over (partition by ts_code order by trade_date) as i from priced) where i >= 5),
+ov as ({" union all ".join(f"select '{t}' as table_name, count(*) - count(distinct ({', '.join(k)})) as n, min({DATED[t] or 'cast(null as varchar)'}) as first_date, max({DATED[t] or 'cast(null as varchar)'}) as last_date from {t}" for t, k in REPORTED.items())}),
+o as (select cal_date, row_number() over (order by cal_date) as pos from (select distinct cal_date from trade_cal where is_open = 1)), miss as (select *, pos - row_number() over (order by pos) as island from o where cal_date not in (select trade_date from daily)),
+n as (select trade_date, count(distinct ts_code) as n from daily group by 1), u as (select *, case when count(n) over p >= 3 then avg(n) over p end as usual from n window p as (order by trade_date rows between 5 preceding and 1 preceding)),
+st as (select strftime(strptime(max(trade_date), '%Y%m%d') - interval 60 day, '%Y%m%d') as s from daily), rd as (select distinct trade_date from daily, st where trade_date >= s),
+al as ({" union all ".join(f"select '{t}' as table_name, 'missing dates' as kind, 'error' as level, trade_date from rd where trade_date not in (select trade_date from {t}) union all select '{t}', 'extra dates', 'info', trade_date from (select distinct trade_date from {t}, st where trade_date >= s) where trade_date not in (select trade_date from rd)" for t in screeners.ALIGNED)}),
+mv as (select trade_date from daily, st where trade_date >= s and (substr(ts_code, 1, 2) in ('60', '00') and abs(pct_chg) > 10.5 or substr(ts_code, 1, 2) in ('30', '68') and abs(pct_chg) > 20.5))
+select 'duplicates' as "check", table_name, case when n > 0 then 'error' else 'ok' end as level, n, first_date, last_date from ov
+union all select 'days without bars', 'daily', 'error', count(*), min(cal_date), max(cal_date) from miss group by island
+union all select * from (select 'instruments of the latest day', 'daily', case when n < 0.8*usual then 'error' when n < 0.95*usual then 'info' else 'ok' end, n, trade_date, trade_date as d2 from u order by trade_date desc limit 1)
+union all select kind, table_name, level, count(*), min(trade_date), max(trade_date) from al group by all
+union all select 'moves beyond limits', 'daily', case when count(*) > 0 then 'info' else 'ok' end, count(*), min(trade_date), max(trade_date) from mv"""
+
+
+@query(REPORT_SQL)
+def verify_report(m):
+    tables = m.tables() | {"tech_indicator": resume.indicators(w.indicator_prices(m.daily, m.adj_factor))}
+    return screeners.verification(tables, REPORTED, DATED)
+
+
 @query(""", n as (select trade_date, count(distinct ts_code) as n from daily group by 1), u as (select *, case when count(n) over p >= 3 then avg(n) over p end as usual from n window p as (order by trade_date rows between 5 preceding and 1 preceding))
 select trade_date, n, round(usual, 6) as usual, case when n < 0.8*usual then 'error' when n < 0.95*usual then 'info' else 'ok' end as level from u""")
 def verify_daily_counts(m):
@@ -537,9 +575,6 @@ def grid_metrics(m):
     return screeners.ranked_runs(found)
 
 
-FACTORED = """priced as (select ts_code, trade_date, d.high*f.adj_factor/f.last as high, d.low*f.adj_factor/f.last as low, d.close*f.adj_factor/f.last as close
-from daily d join (select a.*, last_value(a.adj_factor) over (partition by ts_code order by trade_date rows between unbounded preceding and unbounded following) as last from adj_factor a semi join daily using (ts_code, trade_date)) f
-using (ts_code, trade_date) where f.last <> 0)"""
 ALL_WILDER = ", ".join(wilder_sql(f"{k}{n}", v, n, 2) for n in (6, 14, 24) for k, v in (("u", "up"), ("d", "down")))
 INDICATOR_SQL = (
     f", {FACTORED}, {SERIES.replace('from daily', 'from priced')}, {SX}, {ALL_WILDER}, {wilder_sql('a', 'tr', 14, 1)}, {ema_sql('e12', 's', 'close', 12, 1)}, {ema_sql('e26', 's', 'close', 26, 1)}, "

@@ -5,8 +5,9 @@ from __future__ import annotations
 import html
 import itertools
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import number, points, tags
 from ..operators import windows as w
@@ -39,19 +40,61 @@ def trigger_ratio(found: DataFrame, daily: DataFrame) -> DataFrame:
     )
 
 
+TECH = ("ma5", "ma20", "ma60", "rsi6", "rsi14", "dif", "dea", "macd_hist")
+
+
+def named_stocks(stock_basic: DataFrame) -> DataFrame:
+    return stock_basic.groupBy("ts_code").agg(F.max("name").alias("name"), F.max("list_status").alias("list_status"))
+
+
 def trend_pullback(daily: DataFrame, tech: DataFrame, basics: DataFrame, stock_basic: DataFrame, min_score: float = 70) -> DataFrame:
     """Uptrends that fell back to their 20-bar mean and turned up again, by an eight-part score; for every date of the market."""
     usable = daily.where("close > 0 and vol > 0")
     bars = w.screen_windows(usable)
     pairs = numbered(daily.select("trade_date").distinct()).select("trade_date", "prev_date").where("prev_date is not null")
     earlier = usable.select("ts_code", F.col("trade_date").alias("prev_date"), F.col("close").alias("prev_close"))
-    tech = tech.select("ts_code", "trade_date", *(r6(c).alias(c) for c in ("ma5", "ma20", "ma60", "rsi6", "rsi14", "dif", "dea", "macd_hist")))
+    tech = tech.select("ts_code", "trade_date", *(r6(c).alias(c) for c in TECH))
     tech_before = tech.select("ts_code", F.col("trade_date").alias("prev_date"), F.col("ma5").alias("prev_ma5"), F.col("macd_hist").alias("prev_hist"))
-    named = stock_basic.groupBy("ts_code").agg(F.max("name").alias("name"), F.max("list_status").alias("list_status"))
     df = (
         bars.join(pairs, "trade_date").join(earlier, ["ts_code", "prev_date"]).join(tech, ["ts_code", "trade_date"]).join(tech_before, ["ts_code", "prev_date"], "left")
-        .join(basics.select("ts_code", "trade_date", "turnover_rate", "volume_ratio"), ["ts_code", "trade_date"], "left").join(named, "ts_code", "left")
+        .join(basics.select("ts_code", "trade_date", "turnover_rate", "volume_ratio"), ["ts_code", "trade_date"], "left").join(named_stocks(stock_basic), "ts_code", "left")
+    )
+    return rebounds(df, min_score)
+
+
+def latest_candidates(daily: DataFrame, tech: DataFrame, basics: DataFrame, stock_basic: DataFrame, min_score: float = 70, max_rows: int = 30, as_of: str = "99999999") -> DataFrame:
+    """The same screen for the market's latest date (up to ``as_of``) alone, best first; ``max_rows`` of 0 or less means all.
+
+    The latest date and the one before are scalar subqueries over distinct dates, so the scans of indicators and
+    fundamentals read these dates only; of an instrument's bars no more than the last 60 are shuffled, and plain
+    aggregates over them replace windows over all history. With fewer than two dates there are no rows.
+    """
+    daily = daily.where(F.col("trade_date") <= as_of)
+    two = daily.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(2)
+    latest = two.agg(F.max("trade_date")).scalar()
+    before = two.agg(F.when(F.count(F.lit(1)) == 2, F.min("trade_date"))).scalar()
+    usable = daily.where("close > 0 and vol > 0")
+    place = F.row_number().over(Window.partitionBy("ts_code").orderBy(F.desc("trade_date")))
+    last = usable.select("ts_code", "trade_date", "vol", "high", "low").withColumn("place", place).where("place <= 60")
+    up_to = lambda n, c: F.when(F.col("place") <= n, F.col(c))
+    history = last.groupBy("ts_code").agg(
+        F.avg(up_to(5, "vol")).alias("vol_ma5"), F.avg(up_to(20, "vol")).alias("vol_ma20"), F.max(up_to(20, "high")).alias("high_20"), F.min(up_to(5, "low")).alias("low_5"), F.count(F.lit(1)).alias("n_60")
+    )
+    earlier = usable.where(F.col("trade_date") == before).select("ts_code", F.col("close").alias("prev_close"))
+    tech = tech.where((F.col("trade_date") == latest) | (F.col("trade_date") == before)).select("ts_code", "trade_date", *(r6(c).alias(c) for c in TECH))
+    now = tech.where(F.col("trade_date") == latest).drop("trade_date")
+    then = tech.where(F.col("trade_date") == before).select("ts_code", F.col("ma5").alias("prev_ma5"), F.col("macd_hist").alias("prev_hist"))
+    today = basics.where(F.col("trade_date") == latest).select("ts_code", "turnover_rate", "volume_ratio")
+    df = (
+        usable.where(F.col("trade_date") == latest).join(history, "ts_code").join(earlier, "ts_code").join(now, "ts_code").join(then, "ts_code", "left")
+        .join(today, "ts_code", "left").join(named_stocks(stock_basic), "ts_code", "left")
     )
+    best = rebounds(df, min_score).orderBy(F.desc("signal_score"), F.desc_nulls_last("upside_room_pct"), F.desc_nulls_last("vol_ratio_5"), "ts_code")
+    return best.limit(max_rows) if max_rows > 0 else best
+
+
+def rebounds(df: DataFrame, min_score: float) -> DataFrame:
+    """Scores bars that carry their windows, indicators, fundamentals, names and the day before; those that pass, with reasons."""
     c = F.col
     df = df.withColumns({
         "vol_ratio_5": r6(F.try_divide("vol", "vol_ma5")), "upside_room_pct": r6((F.try_divide("high_20", "close") - 1) * 100),
@@ -81,9 +124,42 @@ def trend_pullback(daily: DataFrame, tech: DataFrame, basics: DataFrame, stock_b
 
 
 def overview(df: DataFrame, name: str, keys: tuple[str, ...], date: str | None) -> DataFrame:
-    dates = (F.min(date), F.max(date)) if date else (F.lit(None).cast("string"),) * 2
-    distinct = F.count_distinct(F.struct(*keys))
-    return df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - distinct).alias("duplicates"), dates[0].alias("first_date"), dates[1].alias("last_date"))
+    """Rows, rows beyond the first of their key, and the range of dates, from one pass: counts by key, then their sums."""
+    by_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *([F.min(date).alias("_low"), F.max(date).alias("_high")] if date and date not in keys else []))
+    low, high = ("_low", "_high") if date and date not in keys else (date, date)
+    dates = (F.min(low), F.max(high)) if date else (F.lit(None).cast("string"),) * 2
+    return by_key.agg(
+        F.lit(name).alias("table_name"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"), dates[0].alias("first_date"), dates[1].alias("last_date")
+    )
+
+
+ALIGNED = ("adj_factor", "daily_basic", "tech_indicator")
+RECENT = 60  # calendar days that alignment and moves are checked over
+
+
+def verification(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], dates: dict[str, str | None]) -> DataFrame:
+    """A report on all tables: check, table_name, level (ok, info, error), n, first_date, last_date.
+
+    Repeated keys of each table; runs of open days without bars; the latest day's instruments against the days before;
+    dates that tables of the last 60 days lack or have beyond the bars'; moves beyond the limits of the boards.
+    """
+    row = lambda check, name, level, n, low, high: [F.lit(check).alias("check"), (F.lit(name) if isinstance(name, str) else name).alias("table_name"), level.alias("level"), n.cast("long").alias("n"), low.alias("first_date"), high.alias("last_date")]
+    c, daily = F.col, tables["daily"]
+    wrong = lambda n, how="error": F.when(n > 0, how).otherwise("ok")
+    parts = [overview(df, t, keys[t], dates[t]).select(*row("duplicates", c("table_name"), wrong(c("duplicates")), c("duplicates"), c("first_date"), c("last_date"))) for t, df in tables.items()]
+    gaps = calendar_gaps(tables["trade_cal"], daily)
+    parts.append(gaps.select(*row("days without bars", "daily", F.lit("error"), c("n_days"), c("first_date"), c("last_date"))))
+    counts = daily_counts(daily).orderBy(F.desc("trade_date")).limit(1)
+    parts.append(counts.select(*row("instruments of the latest day", "daily", c("level"), c("n"), c("trade_date"), c("trade_date"))))
+    start = F.date_format(F.date_sub(F.to_date(daily.agg(F.max("trade_date")).scalar(), "yyyyMMdd"), RECENT), "yyyyMMdd")
+    recent = lambda df: df.where(c("trade_date") >= start)
+    apart = alignment(recent(daily), {t: recent(tables[t]) for t in ALIGNED if t in tables}).groupBy("table_name", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("low"), F.max("trade_date").alias("high"))
+    for kind, how in (("missing", "error"), ("extra", "info")):
+        own = apart.where(c("kind") == kind)
+        parts.append(own.select(*row(f"{kind} dates", c("table_name"), F.lit(how), c("n"), c("low"), c("high"))))
+    moves = recent(daily).where(beyond_limits(0.5)).agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("low"), F.max("trade_date").alias("high"))
+    parts.append(moves.select(*row("moves beyond limits", "daily", wrong(c("n"), "info"), c("n"), c("low"), c("high"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def calendar_gaps(trade_cal: DataFrame, daily: DataFrame) -> DataFrame:
@@ -123,6 +199,12 @@ def first_day_of_year(daily: DataFrame) -> DataFrame:
     return n.groupBy(F.substring("trade_date", 1, 4).alias("year")).agg(F.min("trade_date").alias("first_date"), F.min_by("n", "trade_date").alias("n"))
 
 
+def beyond_limits(slack: float) -> Column:
+    """Moves that exceed a board's daily limit, 10 or 20 per cent, by more than ``slack``."""
+    board, move = F.substring("ts_code", 1, 2), F.abs("pct_chg")
+    return board.isin("60", "00") & (move > 10 + slack) | board.isin("30", "68") & (move > 20 + slack)
+
+
 def abnormal_moves(daily: DataFrame, start: str, limit: float = 11.0) -> DataFrame:
     """Main-board moves beyond the daily limit."""
     main = F.substring("ts_code", 1, 2).isin("60", "00")

@@ -142,7 +142,7 @@ def base_frame(market: dict[str, DataFrame], dates: DataFrame, lookback: int, mi
 def picked(base: DataFrame, score: Column, params) -> DataFrame:
     base = base.withColumn("score", r6(score))
     chosen = cross.target_weights(base, "score", params.top_n, params.max_weight_per_stock)
-    return chosen.select(F.col("trade_date").alias("signal_date"), "ts_code", r6("weight").alias("weight"), "score", "place")
+    return chosen.select(F.col("trade_date").alias("signal_date"), "ts_code", "weight", "score", "place")
 
 
 Strategy = Callable[..., object]
@@ -175,6 +175,8 @@ for _name, _factory in (("dividend-low-vol", DividendLowVol), ("value-low-vol",
     register(_name, _factory)
 
 
-def with_names(signals: DataFrame, stock_basic: DataFrame) -> DataFrame:
-    named = stock_basic.where(F.trim("name") != "").groupBy("ts_code").agg(F.max("name").alias("name"))
+def with_names(signals: DataFrame, stock_basic: DataFrame, order: str | None = None) -> DataFrame:
+    """Signals with the last name of each ts_code, blank ones aside: last by the column ``order``, or in the order of the table's rows."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    named = stock_basic.select("ts_code", "name", place.alias("_at")).where(F.trim("name") != "").groupBy("ts_code").agg(F.max_by("name", "_at").alias("name"))
     return signals.join(named, "ts_code", "left")
