@@ -415,7 +415,7 @@ def screen_trend_pullback(m):
     return screeners.trend_pullback(m.daily, resume.indicators(m.daily), m.daily_basic, m.stock_basic, 50)
 
 
-AS_OF, LEAST = "19961018", 30
+AS_OF, LEAST = "19970412", 20
 
 
 @query(TREND_SQL + f"signal_score >= {LEAST} and trade_date = (select max(trade_date) from daily where trade_date <= '{AS_OF}') order by signal_score desc, upside_room_pct desc, vol_ratio_5 desc, ts_code limit 5", recursive=True)

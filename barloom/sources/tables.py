@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote
 
-from py4j.protocol import Py4JJavaError
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.columns import require
+from ..operators.windows import adjusted_prices
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -53,6 +60,12 @@ SPECS = {
 }
 #: Tables that are views of others: the one that tells whether there is any, the view of a store, and all that it is made of.
 VIEWS: dict[str, tuple[str, Callable[[Store], DataFrame], tuple[str, ...]]] = {}
+#: What strategies read of each table.
+MARKET = {
+    "daily": (*"ts_code trade_date open high low close pre_close pct_chg vol amount".split(),), "adj_factor": ("ts_code", "trade_date", "adj_factor"),
+    "daily_basic": (*"ts_code trade_date dv_ttm dv_ratio pb pe pe_ttm total_mv turnover_rate".split(),), "suspend_d": ("ts_code", "trade_date", "suspend_type"),
+    "trade_cal": ("exchange", "cal_date", "is_open"), "stock_basic": (*"ts_code symbol name list_status list_date delist_date".split(),),
+}
 SYNC_ORDER = ("stock_basic", "trade_cal", "suspend_d", "daily", "adj_factor", "daily_basic", "tech_indicator")
 
 
@@ -85,6 +98,48 @@ def condition(filters: Mapping[str, object]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def kinds_of(files: DataFrame, spec: TableSpec) -> dict[str, list[str]]:
+    """The paths of Parquet files (a frame of Spark's binaryFile source) by the types that they give the declared columns.
+
+    Footers are read in tasks: directly where the path's store can be opened from there, else from the contents
+    that Spark reads. The driver gets no more than the paths, and those only if there are several kinds.
+    """
+    wanted = {c.lower() for c in spec.columns}
+
+    def kind(schema: pa.Schema) -> str:
+        return ", ".join(sorted(f"{f.name} {f.type}" for f in schema if f.name.lower() in wanted))
+
+    def by_path(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                fs, name = pa.fs.FileSystem.from_uri(quote(path, safe=":/%"))
+                with fs.open_input_file(name) as f:
+                    found.append(kind(pq.read_schema(f)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "kind"])
+
+    def by_content(batches):
+        for batch in batches:
+            found = [kind(pq.read_schema(pa.BufferReader(x.as_buffer()))) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "kind"])
+
+    def kinds(found: DataFrame) -> dict[str, list[str]]:
+        names = [r[0] for r in found.select("kind").distinct().collect()]
+        paths = {k: [] for k in names}
+        if len(names) > 1:
+            for r in found.collect():
+                paths[r.kind].append(r.path)
+        return paths
+
+    paths = files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism)
+    try:
+        return kinds(paths.mapInArrow(by_path, "path string, kind string"))
+    except PySparkException as problem:
+        if "ArrowInvalid" not in str(problem) and "OSError" not in str(problem):
+            raise
+        return kinds(files.select("path", "content").mapInArrow(by_content, "path string, kind string"))
+
+
 class Store:
     """Parquet tables below a folder (any path that Spark reads), schemas united by column name."""
 
@@ -118,17 +173,14 @@ class Store:
         return self._whole(table).where(condition(filters))
 
     def _whole(self, table: str, also: Iterable[Column] = ()) -> DataFrame:
-        """All files with the declared columns. Files whose types can't be merged are read under their own schemas, one scan for each schema."""
+        """All files with the declared columns: one scan for each schema that occurs, which tasks find in the files' footers."""
         spec, path = SPECS[table], self.path(table)
-        try:
-            return conform(self.spark.read.option("mergeSchema", "true").parquet(path), spec, also)
-        except (PySparkException, Py4JJavaError) as problem:  # the latter where the footers are merged in a job
-            if "CANNOT_MERGE_" not in str(problem):
-                raise
-        alike: dict[str, list[str]] = {}
-        for file in self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path").toLocalIterator():
-            alike.setdefault(self.spark.read.parquet(file[0]).schema.json(), []).append(file[0])
-        return reduce(DataFrame.unionByName, (conform(self.spark.read.parquet(*files), spec, also) for files in alike.values()))
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+        kinds = kinds_of(files, spec)
+        read = self.spark.read.option("recursiveFileLookup", "true").parquet
+        if len(kinds) <= 1:
+            return conform(read(path), spec, also)
+        return reduce(DataFrame.unionByName, (conform(read(*paths), spec, also) for paths in kinds.values()))
 
     def scan(self, table: str, columns: Iterable[str], start: str | None = None, end: str | None = None, codes: DataFrame | None = None) -> DataFrame:
         """Columns of a date range, optionally for the ts_codes of a frame only; a missing table is empty."""
@@ -150,8 +202,9 @@ class Store:
         if mode not in ("append", "replace"):
             raise ValueError(f"unknown mode {mode!r}")
         staged = f"{self.root}/staged-{table}-{uuid.uuid4().hex}"
-        df.write.parquet(staged)
-        rows = self.spark.read.schema(df.schema).parquet(staged).count()
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(staged)
+        rows = seen.get["n"]
         fs, new = self._fs(staged)
         _, old = self._fs(self.path(table))
         if rows and mode == "append":
@@ -180,12 +233,80 @@ class Store:
             self.delete(self.path(name))
 
     def deduplicate(self, table: str) -> int:
-        """Keeps the last row of each key in file order; returns how many went."""
+        """Keeps the last row of each key in file order; returns how many went. Only files that hold a row to go are written anew.
+
+        The new files come in before the old ones go: what breaks off in between leaves repeated rows, never fewer.
+        """
+        if self._is_view(table) or not self.exists(table):
+            return 0
         order = {"_at": "file_modification_time", "_file": "file_path", "_row": "row_index"}
-        raw = self._whole(table, [F.col(f"_metadata.{c}").alias(n) for n, c in order.items()])
-        kept = keep_last(raw, SPECS[table].keys, ("_at", "_file", "_row")).drop("_at", "_file", "_row")
-        before = raw.count()
-        return before - self.save(table, kept, "replace")
+        places = [F.col(f"_metadata.{c}").alias(n) for n, c in order.items()]
+        raw, gone = self._whole(table, places), f"{self.root}/gone-{table}-{uuid.uuid4().hex}"
+        last = Window.partitionBy(*SPECS[table].keys).orderBy(*(F.desc_nulls_last(c) for c in order))
+        keys = raw.select(*SPECS[table].keys, *order).withColumn("_place", F.row_number().over(last))
+        seen = Observation()
+        keys.where("_place > 1").select("_file", "_row").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(gone)
+        losers = self.spark.read.schema("_file string, _row long").parquet(gone)
+        if seen.get["n"]:
+            files = losers.select("_file").distinct()
+            kept = raw.join(files, "_file", "left_semi").join(losers, ["_file", "_row"], "left_anti").drop(*order)
+            old = [r[0] for r in files.collect()]  # names of the files to be replaced
+            self.save(table, kept)
+            for file in old:
+                self.delete(file)
+        self.delete(gone)
+        return seen.get["n"]
+
+    def deduplicate_all(self) -> dict[str, int]:
+        return {t: self.deduplicate(t) for t in SPECS}
+
+    def market(self, start: str, end: str, columns: Mapping[str, Iterable[str]] = MARKET) -> dict[str, DataFrame]:
+        """The tables that strategies need, with their columns in a range of dates; bars carry prices adjusted to their last factor in it.
+
+        A missing table is empty; a column that is not declared is an error.
+        """
+        for table, names in columns.items():
+            require(self.spark.createDataFrame([], SPECS[table].schema), list(names), table)
+        found = {t: self.scan(t, names, start, end) for t, names in columns.items()}
+        return found | {"daily": adjusted_prices(found["daily"], found["adj_factor"])}
+
+    def arrange(self, table: str, buckets: int = 64, years: Iterable[str] | None = None) -> DataFrame:
+        """A copy of a table by instrument, partitioned by year and bucketed by ts_code, as a table of Spark's catalog.
+
+        Windows and joins by ts_code over such copies need no exchange, and dates prune whole years; for joins by ts_code
+        and trade_date spark.sql.requireAllClusterKeysForCoPartition has to be false. With ``years``, these alone are
+        written again, each in place of its old partition.
+        """
+        name, spec = self.arranged_name(table), SPECS[table]
+        df = self.load(table).withColumn("year", F.substring(spec.date_col, 1, 4))
+        if years is None:
+            self.spark.sql(f"drop table if exists {name}")
+            df = df.repartition(buckets, "ts_code")
+            df.write.mode("overwrite").format("parquet").partitionBy("year").bucketBy(buckets, "ts_code").sortBy("ts_code", "trade_date").option("path", f"{self.root}/arranged/{table}").saveAsTable(name)
+        else:
+            fresh = df.where(F.col("year").isin(list(years))).repartition(buckets, "ts_code")
+            self.arranged(table, buckets)
+            mode = "spark.sql.sources.partitionOverwriteMode"  # inserts take it from the session alone
+            before = self.spark.conf.get(mode)
+            self.spark.conf.set(mode, "dynamic")
+            try:
+                fresh.write.insertInto(name, overwrite=True)
+            finally:
+                self.spark.conf.set(mode, before)
+        return self.arranged(table, buckets)
+
+    def arranged_name(self, table: str) -> str:
+        return f"arranged_{table}_{zlib.crc32(self.root.encode()):08x}"
+
+    def arranged(self, table: str, buckets: int = 64) -> DataFrame:
+        """The copy that ``arrange`` wrote; a session whose catalog doesn't know it yet registers it from its folder."""
+        name = self.arranged_name(table)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"create table {name} ({SPECS[table].ddl}, year string) using parquet partitioned by (year) clustered by (ts_code) sorted by (ts_code, trade_date) into {buckets} buckets location '{self.root}/arranged/{table}'"
+            )
+            self.spark.sql(f"msck repair table {name}")
+        return self.spark.table(name)
 
     def status(self) -> DataFrame:
         return table_status({t: self.load(t) for t in SPECS})
@@ -193,9 +314,6 @@ class Store:
     def is_trade_day(self, date: str) -> bool:
         return bool(self.load("trade_cal").where((F.col("cal_date") == date) & (F.col("is_open") == 1)).limit(1).count())
 
-    def suspended(self, date: str) -> DataFrame:
-        return self.load("suspend_d", trade_date=date, suspend_type="S").select("ts_code").distinct()
-
     def query(self, table: str, where: str = "", limit: int = 10) -> DataFrame:
         """``where``: comma-separated column=value; limit 0 means all rows."""
         if not self.exists(table):
