@@ -59,7 +59,7 @@ def capped(df: DataFrame, cap: float | None, date: str = DATE) -> DataFrame:
     return df.withColumn("weight", F.when(pinned, F.when(F.col("weight") > 0, F.lit(cap)).otherwise(0.0)).otherwise(rest)).drop("_before", "_tail", "_k")
 
 
-def cleaned(df: DataFrame, date: str = DATE) -> DataFrame:
+def cleaned(df: DataFrame, date: str | list[str] = DATE) -> DataFrame:
     """Non-negative weights, scaled down where they sum to more than 1; zeros are dropped."""
     w = F.when(~F.isnan("weight"), F.greatest(F.col("weight"), F.lit(0.0)))
     df = df.withColumn("weight", w)

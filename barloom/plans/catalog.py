@@ -317,6 +317,12 @@ def weight_cap(m):
 # Calendar
 
 
+@query(""", w as (select ts_code, trade_date, case when isnan(turnover_rate) then null else greatest(turnover_rate/40 - 0.05, 0) end as w from daily_basic), t as (select *, sum(w) over (partition by trade_date) as total from w)
+select ts_code, trade_date, round(case when total > 1 then w/total else w end, 6) as weight from t where w > 0""")
+def clean_weights(m):
+    return cols(cross.cleaned(m.daily_basic.select(*KEY, (F.col("turnover_rate") / 40 - 0.05).alias("weight"))), weight="weight")
+
+
 @query("select distinct cal_date as trade_date from trade_cal where is_open = 1 and cal_date between '19930101' and '19971231'")
 def trade_dates(m):
     return calendar.open_dates(m.trade_cal, m.daily, "19930101", "19971231")

@@ -244,6 +244,8 @@ def kline(daily: DataFrame, start: str = "", end: str = "99999999", limit: int =
 def kline_html(identity: dict[str, str], bars: DataFrame) -> str:
     """A self-contained page with a zoomable candlestick chart of a few hundred bars."""
     rows = [[r.trade_date, r.open, r.high, r.low, r.close, r.vol] for r in bars.orderBy("trade_date").collect()]
+    if not rows:
+        raise ValueError(f"{identity['ts_code']} has no bars in this range")
     title = html.escape(f"{identity['ts_code']} {identity.get('name') or ''}".strip())
     return PAGE.replace("@TITLE@", title).replace("@ROWS@", json.dumps(rows).replace("</", "<\\/"))
 
