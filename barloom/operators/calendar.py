@@ -45,6 +45,13 @@ def latest_open(trade_cal: DataFrame, today: str) -> str | None:
     return trade_cal.where((F.col("is_open") == 1) & (F.col("cal_date") <= today)).agg(F.max("cal_date")).first()[0]
 
 
+def last_open_days(trade_cal: DataFrame) -> DataFrame:
+    """Each calendar day with the latest open day on or before it (a window over the calendar, which is short)."""
+    days = trade_cal.groupBy("cal_date").agg(F.max("is_open").alias("is_open"))
+    upto = Window.orderBy("cal_date").rowsBetween(Window.unboundedPreceding, 0)
+    return days.select("cal_date", F.last(F.when(F.col("is_open") == 1, F.col("cal_date")), ignorenulls=True).over(upto).alias("open_date"))
+
+
 def years_before(date: Column, years: int) -> Column:
     """The same day years ago; Feb 29 becomes Feb 28."""
     return F.date_format(F.add_months(F.to_date(date, "yyyyMMdd"), -12 * years), "yyyyMMdd")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.columns import active_universe, limit_flags, open_gap, suspended_flag
 from ..operators import calendar, cross, kernels, resume, simulate, windows as w
 from ..sources.adapter import CTES, Market
-from ..sources.tables import keep_last, table_status
+from ..sources.tables import SPECS, Store, conform, keep_last, table_status
+from ..streaming.bars import event_bars, user_sessions
 from . import screeners
-from .strategies import DividendLowVol, MomentumReversal, ValueLowVol, VolumePriceBreakout, base_frame, r6
+from .strategies import DividendLowVol, MomentumReversal, ValueLowVol, VolumePriceBreakout, base_frame, r6, with_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +38,7 @@ def cols(df: DataFrame, **named: Column | str) -> DataFrame:
 
 
 def month_ends(m: Market) -> DataFrame:
-    return calendar.rebalance_dates(m.daily.select("trade_date").distinct(), "monthly")
+    return calendar.rebalance_dates(m.days, "monthly")
 
 
 def rounded(signals: DataFrame) -> DataFrame:
@@ -505,6 +507,62 @@ def kline_window(m):
     return df.select(*KEY, "open", "high", "low", "close", "vol")
 
 
+# The store, names and events
+
+
+def scratch(m: Market) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    conf = m.spark.conf
+    root = conf.get("spark.checkpoint.dir", None) or m.spark.sparkContext.getConf().get("spark.checkpoint.dir") or conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/market-{uuid.uuid4().hex}"
+
+
+@query("select ts_code, trade_date, close, vol, adj_open, adj_close from (select *, last_value(factor) over (partition by ts_code order by trade_date rows between unbounded preceding and unbounded following) as last2, "
+       "open*factor/nullif(last2, 0) as adj_open, close*factor/nullif(last2, 0) as adj_close from (select d.*, coalesce(last_value(f.adj_factor ignore nulls) over (partition by d.ts_code order by d.trade_date rows unbounded preceding), "
+       "first_value(f.adj_factor ignore nulls) over (partition by d.ts_code order by d.trade_date rows between current row and unbounded following)) as factor "
+       "from (select * from daily where trade_date between '19950601' and '19970315') d left join adj_factor f using (ts_code, trade_date)))")
+def stored_bundle(m):
+    """The market bundle of a range of dates from a store that the tables were saved to, bars twice with repeats removed again."""
+    store = Store(m.spark, scratch(m))
+    for table in ("daily", "adj_factor", "daily_basic", "suspend_d", "trade_cal", "stock_basic"):
+        store.save(table, conform(getattr(m, table), SPECS[table]))
+    store.save("daily", store.load("daily").where("trade_date between '19960101' and '19960331'"))
+    store.deduplicate_all()
+    return store.market("19950601", "19970315")["daily"].select(*KEY, "close", "vol", "adj_open", "adj_close")
+
+
+@query(f", {FACTORED} select ts_code, trade_date, high, low, close from priced")
+def indicator_adjusted(m):
+    return w.indicator_prices(m.daily, m.adj_factor).select(*KEY, "high", "low", "close")
+
+
+@query(f", {RET}, f as (select ts_code, trade_date, {MOMENTUM} as momentum, {REVERSAL} as reversal from ret window t as (partition by ts_code order by trade_date)), "
+       f"base as (select r.*, -r.reversal as fall from f r join month_ends using (trade_date) join stock_basic s on s.ts_code = r.ts_code and {LISTED} where momentum is not null and reversal is not null), "
+       f"scored as (select ts_code, trade_date, round({rank_sql('momentum', True)}*0.7 + {rank_sql('fall', True)}*0.3, 6) as score from base), top as (select * from scored qualify row_number() over (partition by trade_date order by score desc, ts_code) <= 3), "
+       "named as (select ts_code, arg_max(name, symbol) as name from stock_basic where trim(name) <> '' and name not like 'ST%' group by 1) select trade_date as signal_date, t.ts_code, name, score from top t left join named n using (ts_code)")
+def signal_names(m):
+    named = m.stock_basic.withColumn("name", F.when(F.col("name").startswith("ST"), " ").otherwise(F.col("name")))
+    return with_names(MomentumReversal(top_n=3).signals(m.tables(), month_ends(m)), named, "symbol").select("signal_date", "ts_code", "name", "score")
+
+
+@query("select c.cal_date, o.cal_date as open_date from (select distinct cal_date from trade_cal) c asof left join (select distinct cal_date from trade_cal where is_open = 1) o on c.cal_date >= o.cal_date")
+def last_open_days(m):
+    return calendar.last_open_days(m.trade_cal)
+
+
+@query("select date_trunc('day', ts) as start, event_type, round(arg_min(value, (ts, event_id)), 6) as open, round(max(value), 6) as high, round(min(value), 6) as low, round(arg_max(value, (ts, event_id)), 6) as close, count(*) as n from events group by 1, 2")
+def daily_event_bars(m):
+    df = event_bars(m._read("events"))
+    return df.select("start", "event_type", *(r6(c).alias(c) for c in ("open", "high", "low", "close")), "n")
+
+
+@query("""select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n, round(sum(value), 4) as total
+from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as session from (select *, case when lag(ts) over u + interval 30 minute > ts then 0 else 1 end as fresh from events window u as (partition by user_id order by ts, event_id))) group by user_id, session""")
+def event_sessions(m):
+    df = user_sessions(m._read("events"))
+    return df.select("user_id", "start", "end", "n", F.round("total", 4).alias("total"))
+
+
 # Simulation and metrics
 
 EQUITY_SQL = ", eq as (select cast(o_custkey % 50 as varchar) as run_id, strftime(o_orderdate, '%Y%m%d') as trade_date, sum(floor(o_totalprice)) as flow from orders group by 1, 2), cv as (select run_id, trade_date, 1e8 + sum(case when cast(trade_date as int) % 3 = 0 then -flow else flow end) over (partition by run_id order by trade_date) as equity from eq)"

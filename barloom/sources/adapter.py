@@ -33,6 +33,11 @@ class Market:
             F.max("l_quantity").alias("mq"), F.max("l_linenumber").alias("ml"), F.max("l_orderkey").alias("k"),
         )
 
+    @cached_property
+    def days(self) -> DataFrame:
+        """The dates that have bars, without making the bars."""
+        return self._read("lineitem").select(day("l_shipdate").alias("trade_date")).distinct()
+
     @cached_property
     def daily(self) -> DataFrame:
         w = Window.partitionBy("sk").orderBy("trade_date")
