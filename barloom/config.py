@@ -1,4 +1,4 @@
-"""Settings from a JSON or simple ``key: value`` file, with ${NAME} taken from the environment."""
+"""Settings from a JSON file, with ${NAME} taken from the environment."""
 
 from __future__ import annotations
 
@@ -31,21 +31,12 @@ def raw(path: str) -> dict:
     file = Path(path)
     if not file.exists():
         raise ConfigError(f"no file {path}")
-    text = file.read_text()
-    if text.lstrip().startswith("{"):
-        return json.loads(text)
-    found, stack = {}, [(-1, {})]
-    stack[0] = (-1, found)
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        depth, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
-        while depth <= stack[-1][0]:
-            stack.pop()
-        value = value.strip().strip("'\"")
-        stack[-1][1][key] = value if value else {}
-        if not value:
-            stack.append((depth, stack[-1][1][key]))
+    try:
+        found = json.loads(file.read_text())
+    except ValueError as problem:
+        raise ConfigError(f"{path} isn't JSON: {problem}") from problem
+    if not isinstance(found, dict):
+        raise ConfigError(f"{path} holds no object")
     return found
 
 

@@ -120,9 +120,10 @@ def adjusted(market: dict[str, DataFrame]) -> DataFrame:
 def eligible(bars: DataFrame, market: dict[str, DataFrame], dates: DataFrame, min_amount: float) -> DataFrame:
     """Bars on the dates, of instruments listed then and with enough turnover; windows come before this filter.
 
-    A stock_basic that is missing or has no rows excludes nothing.
+    A stock_basic that is missing or has no rows excludes nothing. The dates are broadcast: they are at most a row for
+    each day of a calendar. So bars stay dealt by instrument, and those of other dates go before any further exchange.
     """
-    bars = bars.join(dates.select("trade_date").distinct(), "trade_date", "left_semi")
+    bars = bars.join(F.broadcast(dates.select("trade_date").distinct()), "trade_date", "left_semi")
     stocks = market.get("stock_basic")
     if stocks is not None and not stocks.isEmpty():
         cols = ["list_status", "list_date", "delist_date"]

@@ -11,18 +11,22 @@ from barloom.streaming import bars
 
 
 def test_config(tmp_path):
-    file = tmp_path / "c.yaml"
-    file.write_text("# note\ndata:\n  dir: ${HOME_DIR}/x\napi:\n  token: ${SECRET}\n")
+    file = tmp_path / "c.json"
+    file.write_text('{"data": {"dir": "${HOME_DIR}/x"}, "api": {"token": "${SECRET}"}}')
     got = config.load(str(file), {"HOME_DIR": "/h", "SECRET": "abcdefgh"})
     assert got == {"data": {"dir": "/h/x"}, "api": {"token": "abcdefgh"}} and config.masked(got)["api"]["token"] == "********efgh"
     assert config.put(got, "data.dir", "/y")["data"]["dir"] == "/y"
     with pytest.raises(ConfigError):
         config.load(str(file), {})
+    for text in ("data:\n  dir: x\n", "[1]"):
+        file.write_text(text)
+        with pytest.raises(ConfigError):
+            config.raw(str(file))
 
 
 def test_config_set(tmp_path, capsys):
-    file = tmp_path / "c.yaml"
-    file.write_text("data:\n  dir: ${HOME_DIR_OF_TEST}\napi:\n  token: abcdefgh\n")
+    file = tmp_path / "c.json"
+    file.write_text('{"data": {"dir": "${HOME_DIR_OF_TEST}"}, "api": {"token": "abcdefgh"}}')
     with pytest.raises(ConfigError):  # the setting is written; showing it needs the variable
         cli.main(["config", str(file), "--set", "api.token", "12345678"])
     cli.main(["config", str(file), "--set", "data.dir", "/x"])
