@@ -4,8 +4,8 @@ Texts are exploded into words with positions. A word here is a piece that the pr
 can never match across (see textcodes.segment_edges), so encoding words one by one gives the text's
 ids. The most frequent words of the whole corpus, ``HEAD`` words and ``HEAD_BYTES`` bytes at most, are encoded
 once and reach every task as a small table; they also are the words whose copies would make hot keys. All others are
-shuffled by word, encoded once each, and their ids joined back by document and position. Decoding joins
-the ids with the vocabulary's table of token bytes.
+shuffled by word, encoded once each, and their ids joined back by document and position. Decoding takes each
+id's bytes from the vocabulary's table, which tasks load from the rank file: a table of that size needs no join.
 """
 
 from __future__ import annotations
