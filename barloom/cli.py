@@ -155,9 +155,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         who = screeners.resolve_one(store.load("stock_basic"), a.stock)
         start, end = chart_range(store, a.start, a.end)
         bars = screeners.kline(store.load("daily", ts_code=who["ts_code"]), start, end, a.limit)
+        page = screeners.kline_html(who, bars)
         output = Path(a.output or chart_file(who["ts_code"], start, end))
         output.parent.mkdir(parents=True, exist_ok=True)
-        output.write_text(screeners.kline_html(who, bars), encoding="utf-8")
+        output.write_text(page, encoding="utf-8")
         print(output)
 
 
