@@ -33,6 +33,7 @@ HEAD = 1 << 20, 1 << 20  # the most grams and words that the broadcast tables ho
 SPLIT = 1 << 20  # grams of more than one group's last bytes go to groups by one byte more
 HELD = 1_000_000  # the most distinct codes that a task keeps before it hands them on
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
+MASK = np.uint64((1 << 8 * (DEPTH + 1)) - 1)  # a gram's bytes
 HALF = np.log(0.5)
 NO_ID = -(1 << 63)  # stands for a null doc_id within a job
 
@@ -48,26 +49,36 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x - shift
 
 
+KNOWN = log_gamma(np.arange(1 << 14) + 0.5), log_gamma(np.arange(1 << 14) + 1.0)  # for the counts that most nodes have
+
+
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a block with so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - 1.1447298858494002 - log_gamma(zeros + ones + 1.0)
+    zeros, ones = np.asarray(zeros, float), np.asarray(ones, float)
+    both = zeros + ones
+    few = both < len(KNOWN[0])
+    out = np.empty(both.shape)
+    z, o = zeros[few].astype(np.int64), ones[few].astype(np.int64)
+    out[few] = KNOWN[0][z] + KNOWN[0][o] - 1.1447298858494002 - KNOWN[1][z + o]
+    z, o = zeros[~few], ones[~few]
+    out[~few] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - 1.1447298858494002 - log_gamma(z + o + 1.0)
+    return out
 
 
 def grams(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code of each byte with its DEPTH preceding bytes (the byte itself lowest), for all texts, each with
     its end; and where each text's codes begin."""
     n = len(offsets) - 1
-    padded = np.full(len(b) + n * (DEPTH + 1), END, np.uint8)
-    where = np.arange(len(b)) + np.repeat(np.arange(n) * (DEPTH + 1) + DEPTH, np.diff(offsets))
-    padded[where] = b
-    codes = np.zeros(len(padded) - DEPTH, np.uint64)
-    for back in range(DEPTH, -1, -1):
-        codes = codes << np.uint64(8) | padded[DEPTH - back : len(padded) - back]
-    starts = offsets[:-1] + np.arange(n) * (DEPTH + 1)
-    own = np.ones(len(codes), bool)
-    for i in range(1, DEPTH + 1):  # places before a text's first byte
-        own[np.minimum(starts[1:] - i, len(codes) - 1)] = False
-    return codes[own], np.r_[0, np.cumsum(np.diff(offsets) + 1)]
+    after = offsets[1:] + np.arange(1, n + 1) * (DEPTH + 1)  # where the room of the text's bytes and DEPTH + 1 ends ends
+    own = np.ones(len(b) + n * (DEPTH + 1), bool)
+    for i in range(1, DEPTH + 1):
+        own[after - i] = False
+    byte = own.copy()
+    byte[after - DEPTH - 1] = False
+    padded = np.full(7 + len(own), END, np.uint8)
+    padded[7:][byte] = b
+    eights = np.ndarray(len(own), ">u8", padded, strides=(1,))  # each place's byte and the seven before it, as one number
+    return eights.astype(np.uint64)[own] & MASK, np.r_[0, np.cumsum(np.diff(offsets) + 1)]
 
 
 def words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,40 +149,63 @@ def gathered(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Trees:
-    """All nodes of depth ``base`` and more below as many last bytes.
+    """All nodes of depth ``base`` and more below as many last bytes, of one group of grams or several.
 
     ``above`` has those from depth two to ``base``, on the path to these bytes: depth, node, zeros, ones, weight.
+    ``level`` has each depth's nodes: node, zeros, ones, weighted, weight.
     """
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, base: int = 2, above: pd.DataFrame | None = None):
         self.codes = codes.astype(np.uint64)
-        self.level = {}
-        n = n.astype(float)
-        x = (self.codes & np.uint64(0xFF)).astype(np.int64)
+        self.level, self.places, self.base = {}, {}, base
         for depth in range(2, base if above is not None else 2):
             rows = above[above["depth"] == depth].sort_values("node")
             node, zeros, ones, weight = (rows[c].to_numpy() for c in ("node", "zeros", "ones", "weight"))
             self.level[depth] = node.astype(np.uint64), zeros, ones, None, weight
+        rows, many, at = self.codes, n.astype(float), np.arange(len(codes))
+        before = None
         for depth in range(DEPTH, base - 1, -1):
-            context = self.context(depth)
-            keys = np.concatenate([context << np.uint64(8) | (1 << j | x >> (8 - j)).astype(np.uint64) for j in range(8)])
-            bits = np.concatenate([(x >> (7 - j)) & 1 for j in range(8)])
-            many = np.tile(n, 8)
-            node, zeros, ones = gathered(keys, np.where(bits == 0, many, 0), np.where(bits == 1, many, 0))
+            # Distinct contexts with their byte, in order: the nodes of each place in a byte's path are runs of them.
+            keys = rows & np.uint64((1 << 8 * (depth + 1)) - 1)
+            order = np.argsort(keys)
+            keys = keys[order]
+            edge = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+            up = np.empty(len(keys), np.int64)
+            up[order] = np.cumsum(edge) - 1
+            rows, many, at = keys[edge], np.add.reduceat(many[order], np.flatnonzero(edge)), up[at]
+            x, runs, starts, found = rows & np.uint64(0xFF), [], [], []
+            for j in range(8):
+                path = rows >> np.uint64(8 - j)
+                first = np.r_[True, path[1:] != path[:-1]]
+                start = np.flatnonzero(first)
+                ones = np.add.reduceat(many * (x >> np.uint64(7 - j) & np.uint64(1)), start)
+                node = rows[start] >> np.uint64(8) << np.uint64(8) | np.uint64(1 << j) | x[start] >> np.uint64(8 - j)
+                found.append((node, np.add.reduceat(many, start) - ones, ones))
+                runs.append(np.cumsum(first) - 1)
+                starts.append(start)
+            node, zeros, ones = (np.concatenate(c) for c in zip(*found))
+            ends = np.cumsum([0] + [len(s) for s in starts])
             own = kt(zeros, ones)
-            if depth < DEPTH:
-                below, log_w = self.level[depth + 1][0], self.level[depth + 1][3]
-                up = (below >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | below & np.uint64(0xFF)
-                children = np.zeros(len(node))
-                np.add.at(children, np.searchsorted(node, up), log_w)
+            if before:
+                log_w, child_starts, child_ends = before
+                children = np.concatenate([
+                    np.bincount(runs[j][up[child_starts[j]]], log_w[child_ends[j] : child_ends[j + 1]], len(starts[j])) for j in range(8)
+                ])
                 weighted = np.logaddexp(HALF + own, HALF + children)
                 weight = np.exp(HALF + own - weighted)
             else:
                 weighted, weight = own, np.ones(len(node))
+            before = weighted, starts, ends
             self.level[depth] = node, zeros, ones, weighted, weight
+            self.places[depth] = at, [runs[j] + ends[j] for j in range(8)]
 
-    def context(self, depth: int) -> np.ndarray:
-        return self.codes >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)
+    def nodes_of(self, depth: int, j: int, place: np.ndarray) -> np.ndarray:
+        """Each gram's node of a depth at the j-th place of its byte's path."""
+        if depth >= self.base:
+            at, runs = self.places[depth]
+            return runs[j][at]
+        context = self.codes >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)
+        return np.searchsorted(self.level[depth][0], context << np.uint64(8) | place.astype(np.uint64))
 
     def probabilities(self, top: np.ndarray) -> np.ndarray:
         """log10 of each gram's byte; top: [last byte or 256 for none][place] -> (estimate of a one, weight, count)."""
@@ -182,8 +216,8 @@ class Trees:
             place, bit = 1 << j | x >> (8 - j), (x >> (7 - j)) & 1
             q = np.full(len(x), np.nan)
             for depth in range(DEPTH, 1, -1):
-                node, zeros, ones, _, weight = self.level[depth]
-                at = np.searchsorted(node, self.context(depth) << np.uint64(8) | place.astype(np.uint64))
+                _, zeros, ones, _, weight = self.level[depth]
+                at = self.nodes_of(depth, j, place)
                 many = zeros[at] + ones[at]
                 q = mixed(q, (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (many + 1), weight[at], many > 0)
             for who in (last, np.full(len(x), 256)):
@@ -251,12 +285,12 @@ def upper_nodes(rows: pd.DataFrame) -> np.ndarray:
 
 
 class Table:
-    """Codes with a value each; what finds its place taken goes to a further, smaller level."""
+    """Codes with a value each, the most frequent last; what finds its place taken by a later one goes to a further, smaller level."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray):
         self.levels, by = [], 0x9E3779B97F4A7C15
         while len(codes):
-            bits = max(4, int(len(codes) * 3 // 2).bit_length())
+            bits = max(4, (len(codes) - 1).bit_length())
             spot = self.spots(codes, by, bits)
             keys, found = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.nan)
             keys[spot], found[spot] = codes, values
@@ -271,14 +305,16 @@ class Table:
     def find(self, codes: np.ndarray) -> np.ndarray:
         """Each code's value, NaN where it isn't here."""
         out = np.full(len(codes), np.nan)
-        open_ = np.arange(len(codes))
-        for by, bits, keys, found in self.levels:
-            if not len(open_):
-                break
-            spot = self.spots(codes[open_], by, bits)
-            hit = (keys[spot] == codes[open_]) & ~np.isnan(found[spot])
-            out[open_[hit]] = found[spot[hit]]
-            open_ = open_[~hit]
+        for begin in range(0, len(codes), 1 << 16):  # parts that stay in the processor's cache
+            part = codes[begin : begin + (1 << 16)]
+            open_ = np.arange(begin, begin + len(part))
+            for by, bits, keys, found in self.levels:
+                spot = self.spots(part, by, bits)
+                out[open_] = np.where(keys.take(spot) == part, found.take(spot), np.nan)
+                miss = np.isnan(out[open_])
+                open_, part = open_[miss], part[miss]
+                if not len(part):
+                    break
         return out
 
 
@@ -351,8 +387,9 @@ def score(docs: DataFrame, *, split: int = SPLIT) -> DataFrame:
     values = written(values.unionByName(word_rows.select("kind", "code", "n_all", F.col("n").cast("double").alias("value"))), "code-values")
     head = []
     for kind in (0, 1):
-        rows = frequent(values.where(F.col("kind") == kind), "n_all", HEAD[kind]).select("code", "value").toArrow()
-        head.append((rows["code"].to_numpy().view(np.uint64), rows["value"].to_numpy()))
+        rows = frequent(values.where(F.col("kind") == kind), "n_all", HEAD[kind]).select("code", "value", "n_all").toArrow()
+        order = np.argsort(rows["n_all"].to_numpy(), kind="stable")
+        head.append((rows["code"].to_numpy().view(np.uint64)[order], rows["value"].to_numpy()[order]))
     shared = spark.sparkContext.broadcast(head)
 
     def look_up(batches):
