@@ -9,7 +9,8 @@ over its eight decisions.
 
 Counts of (context, byte) grams are sufficient, so the corpus is reduced to distinct grams by partial
 and final aggregation. Trees are worked out in groups that share their last two bytes, or three or four where
-more than ``SPLIT`` distinct grams share fewer; the nodes above such groups are put together by aggregation. What
+more than ``SPLIT`` distinct grams share fewer; the nodes above such groups are put together by aggregation. Groups are
+dealt to packs of about as many grams, since most groups are small. What
 lies above two bytes (one byte of context or none: 65,280 nodes at most) is one small table. Texts are then scored by
 looking up their grams: the most frequent ones in a table of bounded size that every task gets, all
 others by a join.
@@ -30,7 +31,7 @@ from .shared import frequent, written
 
 DEPTH = 6
 HEAD = 1 << 20, 1 << 20  # the most grams and words that the broadcast tables hold
-SPLIT = 1 << 20  # grams of more than one group's last bytes go to groups by one byte more
+SPLIT = 1 << 16  # more grams than this that share their last bytes go to groups by one byte more
 HELD = 1_000_000  # the most distinct codes that a task keeps before it hands them on
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
 MASK = np.uint64((1 << 8 * (DEPTH + 1)) - 1)  # a gram's bytes
@@ -339,7 +340,8 @@ def score(docs: DataFrame, *, split: int = SPLIT) -> DataFrame:
     a training text. Rows may repeat; each gives a row and each counts in training. Without training texts every decision
     has probability one half. An empty table gives no rows. Other columns aren't returned.
 
-    A group of trees has ``split`` grams at the most, unless they share four bytes of context; the scores don't depend on it.
+    A group of trees has ``split`` grams at the most, unless they share four bytes of context, and a pack of groups about as many;
+    the scores don't depend on it.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -351,14 +353,16 @@ def score(docs: DataFrame, *, split: int = SPLIT) -> DataFrame:
     words_n, words_v = word_rows.select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     n, v = words_n + n_train, words_v + (n_train > 0)
 
+    packs = 1 + gram_rows.count() // split
     gram_rows, most = grouped(gram_rows, split)
+    gram_rows = gram_rows.withColumn("pack", F.pmod(F.xxhash64("base", "grp"), F.lit(packs)))
 
     def upper(frame: pd.DataFrame) -> pd.DataFrame:
         base = int(frame["base"].iloc[0])
         node, zeros, ones, weighted, weight = Trees(frame["code"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), base).level[base]
         return pd.DataFrame({"depth": np.full(len(node), base, np.int32), "node": node.astype(np.int64), "zeros": zeros, "ones": ones, "weighted": weighted, "weight": weight})
 
-    nodes = gram_rows.select("base", "grp", "code", "n").groupBy("base", "grp").applyInPandas(lambda f: upper(f), NODE)
+    nodes = gram_rows.select("base", "pack", "code", "n").groupBy("base", "pack").applyInPandas(lambda f: upper(f), NODE)
     if most > 2:
         nodes = written(nodes, "nodes")
         for depth in range(most - 1, 1, -1):
@@ -375,15 +379,15 @@ def score(docs: DataFrame, *, split: int = SPLIT) -> DataFrame:
         return pd.DataFrame({"kind": np.zeros(len(logs), np.int32), "code": frame["code"], "n_all": frame["n_all"], "value": logs})
 
     schema = "kind int, code long, n_all long, value double"
-    parts = gram_rows.select("base", "grp", "code", "n", "n_all").groupBy("base", "grp")
+    parts = gram_rows.select("base", "pack", "code", "n", "n_all").groupBy("base", "pack")
     if most == 2:
         values = parts.applyInPandas(lambda f: lower(f), schema)
     else:
-        below = gram_rows.where("base > 2").select(F.col("base").alias("base"), F.col("grp").alias("grp")).distinct()
-        below = below.withColumn("depth", F.explode(F.sequence(F.lit(2), F.col("base") - 1))).withColumn("path", F.expr("grp & (shiftleft(1L, 8 * depth) - 1)"))
+        below = gram_rows.where("base > 2").select("base", "pack", "grp").distinct().withColumn("depth", F.explode(F.sequence(F.lit(2), F.col("base") - 1)))
+        below = below.select(F.col("base").alias("base"), F.col("pack").alias("pack"), "depth", F.expr("grp & (shiftleft(1L, 8 * depth) - 1)").alias("path")).distinct()
         paths = nodes.where(F.col("depth") < most).withColumn("path", F.shiftright("node", 8)).select(*NODE_NAMES, "path")
-        above = below.join(paths, ["depth", "path"]).select("base", "grp", *NODE_NAMES)
-        values = parts.cogroup(above.groupBy("base", "grp")).applyInPandas(lambda f, g: lower(f, g), schema)
+        above = below.join(paths, ["depth", "path"]).select("base", "pack", *NODE_NAMES)
+        values = parts.cogroup(above.groupBy("base", "pack")).applyInPandas(lambda f, g: lower(f, g), schema)
     values = written(values.unionByName(word_rows.select("kind", "code", "n_all", F.col("n").cast("double").alias("value"))), "code-values")
     head = []
     for kind in (0, 1):
