@@ -30,7 +30,7 @@ from .bpe import slices
 from .shared import frequent, written
 
 DEPTH = 6
-HEAD = 1 << 20, 1 << 20  # the most grams and words that the broadcast tables hold
+HEAD = 1 << 21, 1 << 20  # the most grams and words that the broadcast tables hold
 SPLIT = 1 << 16  # more grams than this that share their last bytes go to groups by one byte more
 HELD = 1_000_000  # the most distinct codes that a task keeps before it hands them on
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
