@@ -111,6 +111,7 @@ def code_counts(docs: DataFrame) -> DataFrame:
         return codes[edge], every - added((marked & np.uint64(1)).astype(np.int64), np.r_[edge, len(codes)]), every
 
     def run(batches):
+        _tables[:] = None, None  # of an earlier job in the same worker
         kept: list[list] = [[], []]
 
         def handed_on(kind: int):
@@ -124,7 +125,7 @@ def code_counts(docs: DataFrame) -> DataFrame:
                 )
 
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
+            for part in slices(batch, 1, 1 << 19):
                 b, offsets = lowered(part.column(1))
                 held = is_held_out(part.column(0).to_pylist())
                 for kind, (codes, begins) in enumerate((grams(b, offsets), words(b, offsets))):
