@@ -32,7 +32,7 @@ from .shared import frequent, written
 DEPTH = 6
 HEAD = 1 << 21, 1 << 20  # the most grams and words that the broadcast tables hold
 SPLIT = 1 << 16  # more grams than this that share their last bytes go to groups by one byte more
-HELD = 1_000_000  # the most distinct codes that a task keeps before it hands them on
+HELD = 1_000_000  # codes that a task gathers before it merges them into those it keeps; it hands these on when they are as many
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
 MASK = np.uint64((1 << 8 * (DEPTH + 1)) - 1)  # a gram's bytes
 HALF = np.log(0.5)
@@ -112,11 +112,16 @@ def code_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         _tables[:] = None, None  # of an earlier job in the same worker
-        kept: list[list] = [[], []]
+        kept: list[list] = [[], []]  # by kind: first those merged, then those of single slices
+        merged = [0, 0]
 
-        def handed_on(kind: int):
-            codes, n, n_all = gathered(*(np.concatenate(c) for c in zip(*kept[kind])))
+        def merge(kind: int) -> tuple:
+            parts = [np.concatenate(c) for c in zip(*kept[kind])]
             kept[kind].clear()
+            merged[kind] = 0
+            return gathered(*parts)
+
+        def handed_on(kind: int, codes: np.ndarray, n: np.ndarray, n_all: np.ndarray):
             for at in range(0, len(codes), 1 << 17):
                 cut = slice(at, at + (1 << 17))
                 yield pa.RecordBatch.from_arrays(
@@ -130,11 +135,16 @@ def code_counts(docs: DataFrame) -> DataFrame:
                 held = is_held_out(part.column(0).to_pylist())
                 for kind, (codes, begins) in enumerate((grams(b, offsets), words(b, offsets))):
                     kept[kind].append(counted(codes, np.repeat(held, np.diff(begins))))
-                    if sum(len(c[0]) for c in kept[kind]) > HELD:
-                        yield from handed_on(kind)
+                    if sum(len(c[0]) for c in kept[kind]) - merged[kind] > HELD:
+                        whole = merge(kind)
+                        if len(whole[0]) > HELD:
+                            yield from handed_on(kind, *whole)
+                        else:
+                            kept[kind].append(whole)
+                            merged[kind] = len(whole[0])
         for kind in (0, 1):
             if kept[kind]:
-                yield from handed_on(kind)
+                yield from handed_on(kind, *merge(kind))
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "kind int, code long, n long, n_all long")
     return rows.groupBy("kind", "code").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
