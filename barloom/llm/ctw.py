@@ -32,7 +32,7 @@ from .shared import frequent, written
 DEPTH = 6
 HEAD = 1 << 21, 1 << 20  # the most grams and words that the broadcast tables hold
 SPLIT = 1 << 16  # more grams than this that share their last bytes go to groups by one byte more
-HELD = 1_000_000  # codes that a task gathers before it merges them into those it keeps; it hands these on when they are as many
+HELD = 500_000  # codes that a task gathers before it merges them into those it keeps; when these are as many, it hands the rarer half on
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
 MASK = np.uint64((1 << 8 * (DEPTH + 1)) - 1)  # a gram's bytes
 HALF = np.log(0.5)
@@ -138,10 +138,11 @@ def code_counts(docs: DataFrame) -> DataFrame:
                     if sum(len(c[0]) for c in kept[kind]) - merged[kind] > HELD:
                         whole = merge(kind)
                         if len(whole[0]) > HELD:
-                            yield from handed_on(kind, *whole)
-                        else:
-                            kept[kind].append(whole)
-                            merged[kind] = len(whole[0])
+                            often = whole[2] > np.partition(whole[2], len(whole[2]) - HELD // 2)[len(whole[2]) - HELD // 2]
+                            yield from handed_on(kind, *(c[~often] for c in whole))
+                            whole = tuple(c[often] for c in whole)
+                        kept[kind].append(whole)
+                        merged[kind] = len(whole[0])
         for kind in (0, 1):
             if kept[kind]:
                 yield from handed_on(kind, *merge(kind))
