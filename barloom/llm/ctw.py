@@ -111,7 +111,7 @@ def code_counts(docs: DataFrame) -> DataFrame:
         return codes[edge], every - added((marked & np.uint64(1)).astype(np.int64), np.r_[edge, len(codes)]), every
 
     def run(batches):
-        _tables[:] = None, None  # of an earlier job in the same worker
+        forget_tables()  # of an earlier job in the same worker
         kept: list[list] = [[], []]  # by kind: first those merged, then those of single slices
         merged = [0, 0]
 
@@ -334,6 +334,11 @@ class Table:
 _tables: list = [None, None]
 
 
+def forget_tables():
+    """A function of the module, since a nested one would be sent with its own copy of the list."""
+    _tables[:] = None, None
+
+
 def tables_of(shared) -> list[Table]:
     if _tables[0] is not shared.value:
         _tables[:] = shared.value, [Table(c, v) for c, v in shared.value]

@@ -202,6 +202,15 @@ def test_scores(spark, make, odd_texts):
     assert ctw.score(make([])).count() == 0
 
 
+def test_counts_dont_depend_on_what_tasks_keep(make, odd_texts, monkeypatch):
+    texts = odd_texts + [f"the cat number {i} sat on the mat" for i in range(60)]
+    count = lambda: sorted(map(tuple, ctw.code_counts(make(texts)).collect()))
+    whole, real = count(), ctw.slices
+    monkeypatch.setattr(ctw, "HELD", 40)
+    monkeypatch.setattr(ctw, "slices", lambda batch, column, most: real(batch, column, 64))
+    assert count() == whole
+
+
 def test_scores_use_six_bytes_of_context(make):
     """Only the sixth byte before the digit tells which digit it is."""
     held = ctw.is_held_out(list(range(1000)))
