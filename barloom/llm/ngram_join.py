@@ -31,6 +31,7 @@ SAMPLE = 512, 1 << 19  # the most sets and shingles of a band in the sample that
 OFTEN = 4  # a segment counts as shared by many from so many sets on
 HEAD = 1 << 20  # the most segments whose frequency the tasks get to know
 SHORT = tc.U(24)  # bits left out of a segment's key where only its frequency matters
+FIRST = 16  # the smallest keys of a set that its rows carry along, by which a pair that shares many keys is met about once
 SLICE = 1 << 19  # bytes of text that a task works on at once, but for single longer texts
 
 
@@ -294,6 +295,21 @@ def united(rows: DataFrame, up: DataFrame) -> DataFrame:
     return rows.join(apart, "key", "left_semi")
 
 
+def met_pairs(rows: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b), a > b, of ids of different components in one bucket that may link by size and parity.
+
+    rows: key, id, comp. Near copies share most of their keys. Each row carries its id's ``FIRST`` smallest keys, and a
+    bucket leaves a pair out that shares a smaller one of these, since it is met there: each pair comes at least once, and
+    those with many keys in common about once.
+    """
+    first = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
+    rows = written(rows.join(marks, "id").join(first, "id"), "marked")
+    x, y = rows.alias("x"), rows.alias("y")
+    here = F.coalesce(F.array_min(F.array_intersect("x.first", "y.first")), F.col("x.key")) >= F.col("x.key")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may_link("x", "y", num, den) & here)
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+
+
 def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, rounds: int = 3) -> DataFrame:
     """Links documents whose sets of ``words``-word shingles have den * |x & y| >= num * |x | y|.
 
@@ -339,10 +355,7 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
         links = links.unionByName(good)
         rows = written(united(rows, pairs.join(good, ["a", "b"]).select("comp", "into")), "apart")
 
-    rows = written(rows.join(marks, "id"), "marked")
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may_link("x", "y", num, den))
-    pairs = written(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "pairs")
+    pairs = written(met_pairs(rows, marks, num, den).distinct(), "pairs")
     linked = components(links.unionByName(verified(pairs.join(tested.distinct(), ["a", "b"], "left_anti"), docs, words, num, den)))
 
     label = (

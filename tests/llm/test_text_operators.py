@@ -108,6 +108,22 @@ def test_ngram_join_with_a_shared_passage(make, monkeypatch):
     assert sum(compared) < 2000
 
 
+def test_pairs_that_share_many_keys_are_met_about_once(spark):
+    """Of 40 near copies with most of 100 keys in common, and some that share one key only, no pair is lost and few come twice."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), i, i // 2) for i in range(40) for k in np.flatnonzero(rng.random(100) < 0.8)]
+    rows += [(1000 + i, j, j // 2) for i in range(20) for j in (i, 100 + i)] + [(5000 + k, 200 + i, 200 + i) for i in range(2) for k in range(i, 60, 2 + i)]
+    frame = spark.createDataFrame(rows, "key long, id long, comp long")
+    marks = frame.select("id", F.lit(50).cast("long").alias("size"), *(F.lit(0).cast("long").alias(m) for m in ngram_join.MARKS)).distinct()
+    got = [tuple(r) for r in ngram_join.met_pairs(frame, marks, 80, 100).select("a", "b").collect()]
+    held = collections.defaultdict(dict)
+    for k, i, comp in rows:
+        held[k][i] = comp
+    every = [(a, b) for ids in held.values() for a in ids for b in ids if a > b and ids[a] != ids[b]]
+    assert set(got) == set(every) and len(every) > 50 * len(set(every))
+    assert len(got) < 1.1 * len(set(every))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
