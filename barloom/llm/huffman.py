@@ -25,6 +25,7 @@ from .shared import written
 LONGEST = 16
 BLOCK, STEP = 1 << 16, 1 << 7
 KNOWN = 1_000_000  # pieces whose ids a worker keeps
+JOINED = 256  # pieces that the library encodes as one text
 
 
 @lru_cache(1)
@@ -48,7 +49,33 @@ def added_tokens(path: str) -> re.Pattern | None:
     return re.compile(b"|".join(map(re.escape, contents))) if contents else None
 
 
-_known: dict[str, np.ndarray] = {}
+_known: dict[str, bytes] = {}
+
+
+def encode_pieces(parts: list[str], path: str) -> list[bytes]:
+    """Each piece's ids as unsigned 16-bit numbers.
+
+    ``JOINED`` pieces at a time are one text with an added token between them, since the library takes longer for many
+    short texts; it looks for added tokens before all else, so pieces don't touch.
+    """
+    tok = tokenizer(path)
+    added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+    plain = [w for w in parts if w not in added]
+    ids_of = {w: np.array([added[w]], np.uint16).tobytes() for w in parts if w in added}
+    if added:
+        between, mark = min(added.items())
+        texts = [between.join([*plain[i : i + JOINED], ""]) for i in range(0, len(plain), JOINED)]
+        ids = np.concatenate([np.zeros(0, np.uint16), *(np.array(e.ids, np.uint16) for e in tok.encode_batch_fast(texts, add_special_tokens=False))])
+        ends = np.flatnonzero(ids == mark)
+        if len(ends) == len(plain):
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(plain, (2 * ends).tolist()):
+                ids_of[w], begin = data[begin:end], end + 2
+            return [ids_of[w] for w in parts]
+    # no added token, or one that the pieces hold otherwise
+    for w, e in zip(plain, tok.encode_batch_fast(plain, add_special_tokens=False)):
+        ids_of[w] = np.array(e.ids, np.uint16).tobytes()
+    return [ids_of[w] for w in parts]
 
 
 def encode_texts(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +88,7 @@ def encode_texts(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.
         new = table
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False)):
-            _known[w] = np.array(e.ids, np.uint16).tobytes()
+        _known.update(zip(part, encode_pieces(part, path)))
     coded = [_known[w] for w in table]
     n = np.array([len(x) // 2 for x in coded] + [1], np.int64)
     ids = np.r_[np.frombuffer(b"".join(coded), np.uint16), np.array([end], np.uint16)].astype(np.int64)
@@ -171,11 +197,20 @@ def write_ids(docs: DataFrame, out: str, path: str, *, end: int = 1, parts: int
     ids = written(docs.mapInArrow(encode, "part int, at long, doc_id long, ids binary"), "token-ids")
 
     def count(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total, held, many = np.zeros(1 << 16, np.int64), [], 0
         for batch in batches:
             for x in batch.column(0):  # a document at a time
-                ids, n = np.unique(np.frombuffer(x.as_py(), "<u2"), return_counts=True)
-                total[ids] += n
+                data = np.frombuffer(x.as_buffer(), "<u2")
+                if len(data) < 1 << 14:  # short ones together, in less time than a count of each takes
+                    held.append(data)
+                    many += len(data)
+                else:
+                    total += np.bincount(data, minlength=1 << 16)
+                if many >= 1 << 18:
+                    total += np.bincount(np.concatenate(held), minlength=1 << 16)
+                    held, many = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,28 @@ def test_token_files_with_added_tokens(spark, make):
     assert got == want
 
 
+def test_pieces_are_encoded_many_at_a_time(odd_texts, monkeypatch):
+    """Pieces go to the library joined, hundreds at a time, and each gets the ids that it has alone."""
+    path, real, sent = public_tokenizers.path("word_bpe_49k.json"), huffman.tokenizer, []
+    tok = real(path)
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return tok.encode_batch_fast(texts, **more)
+
+    texts = [*odd_texts, "A<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> < <| |> 's x's 5's", *(f"word{i} z\u00e9{i}\u0301 <|{i}|>" for i in range(900))]
+    monkeypatch.setattr(huffman, "tokenizer", lambda _: Counted())
+    monkeypatch.setattr(huffman, "_known", {})
+    ids, begins = huffman.encode_texts(pa.array(texts), path, 1)
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:])] == want
+    assert len(sent) < len(huffman._known) / 100
+
+
 def test_code_lengths_are_limited_and_optimal():
     fibonacci = [1, 1]
     while len(fibonacci) < 30:
