@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textcodes as tc
 from .bpe import slices
-from .shared import components, frequent, fresh, written
+from .shared import components, frequent, fresh, gathered, written
 
 PARITY = 16  # longs of parity bits, a lower bound of the symmetric difference
 BROADCAST_IDS = 1_000_000
@@ -212,7 +212,7 @@ def often_shared(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, np.
                 yield pa.RecordBatch.from_arrays([pa.array(bands.keys(edges, u, None)[1].view(np.int64))], ["key"])
 
     counts = docs.select("doc_id", "text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    found = frequent(written(counts.where(F.col("n") >= OFTEN), "segments"), "n", HEAD).toArrow()
+    found = frequent(written(gathered(counts.where(F.col("n") >= OFTEN), "key"), "segments"), "n", HEAD).toArrow()
     keys = found["key"].to_numpy().view(tc.U)
     order = np.argsort(keys)
     return keys[order], levels(found["n"].to_numpy()[order])
@@ -249,11 +249,11 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared whole."""
+    """The pairs (a, b) whose sets are similar enough, compared whole. The sets are shuffled once for both sides and not written."""
     pairs = written(pairs, "to-verify")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(sets_of(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
+    sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), k).repartition("id")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )
@@ -303,7 +303,7 @@ def met_pairs(rows: DataFrame, marks: DataFrame, num: int, den: int) -> DataFram
     those with many keys in common about once.
     """
     first = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
-    rows = written(rows.join(marks, "id").join(first, "id"), "marked")
+    rows = written(gathered(rows.join(marks, "id").join(first, "id"), "key"), "marked")
     x, y = rows.alias("x"), rows.alias("y")
     here = F.coalesce(F.array_min(F.array_intersect("x.first", "y.first")), F.col("x.key")) >= F.col("x.key")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may_link("x", "y", num, den) & here)
@@ -326,7 +326,7 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     texts. An empty table gives an empty result.
     """
     size_name, comp_name = fresh(docs, "n_shingles"), fresh(docs, "component_id")
-    sig = written(signatures(docs, words), "signatures")
+    sig = written(gathered(signatures(docs, words), "doc_id"), "signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
     bands = Bands.make(num, den, known.agg(F.max("n_shingles")).first()[0] or 0)
     reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"))
@@ -346,14 +346,14 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     bucket = Window.partitionBy("key")
     met = index_keys(singles, words, bands, often_shared(singles, words, bands))
     met = met.withColumn("other", F.min("id").over(bucket) != F.max("id").over(bucket)).where("other").drop("other")
-    rows = written(met.withColumn("comp", F.col("id")), "met")
+    rows = written(gathered(met.withColumn("comp", F.col("id")), "key"), "met")
     links, tested = same, None
     for turn in range(rounds):
         pairs = written(leading_pairs(rows, marks, turn + 1, num, den), "pairs")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        good = written(verified(pairs.select("a", "b").distinct(), docs, words, num, den), "links")
+        good = written(gathered(verified(pairs.select("a", "b").distinct(), docs, words, num, den), "a", "b"), "links")
         links = links.unionByName(good)
-        rows = written(united(rows, pairs.join(good, ["a", "b"]).select("comp", "into")), "apart")
+        rows = written(gathered(united(rows, pairs.join(good, ["a", "b"]).select("comp", "into")), "key"), "apart")
 
     pairs = written(met_pairs(rows, marks, num, den).distinct(), "pairs")
     linked = components(links.unionByName(verified(pairs.join(tested.distinct(), ["a", "b"], "left_anti"), docs, words, num, den)))

@@ -25,6 +25,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt anew by the columns ``by``, for tables much smaller than what they are made from.
+
+    Adaptive execution joins small partitions and splits large ones, so few tasks write files of a useful size. Without
+    native libraries Hadoop's local file system starts processes (chmod) for each file that an executor writes; one that
+    is just being started shows the executor's whole memory as its own.
+    """
+    return df.hint("rebalance", *by)
+
+
 def fresh(df: DataFrame, wanted: str) -> str:
     """A column name starting with ``wanted`` that ``df`` has not (letter case aside)."""
     have = {c.lower() for c in df.columns}

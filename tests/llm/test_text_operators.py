@@ -125,6 +125,30 @@ def test_pairs_that_share_many_keys_are_met_about_once(spark):
     assert len(got) < 1.1 * len(set(every))
 
 
+def test_ngram_join_writes_few_files(spark, make, monkeypatch):
+    """Over 24 parts of documents, each table that the join writes is one small file, and the sets of shingles are in none."""
+    tables = []
+    real = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (tables.append((name, real(df, name))), tables[-1][1])[1])
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 60)) for _ in range(120)]
+    docs = make(texts + [x + f" end{i}" for i, x in enumerate(texts)]).select("doc_id", "text").repartition(24)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()}
+    assert got == {i: i % 120 for i in range(240)}
+    assert {name for name, _ in tables} >= {"signatures", "segments", "met", "links", "apart"} and "sets" not in {name for name, _ in tables}
+    assert [name for name, table in tables if len(table.inputFiles()) > 1] == []
+
+
+def test_verified_makes_the_sets_once(spark, make):
+    """Both sides of a pair take their sets from one shuffle: each text is cut into shingles once."""
+    texts = ["a b c d e f g h i j", "a b c d e f g h i j k", "q r s t u v w x y z"]
+    pairs = spark.createDataFrame([(1, 0), (2, 0)], "a long, b long")
+    out = ngram_join.verified(pairs, make(texts), 5, 80, 100)
+    assert [tuple(r) for r in out.collect()] == [(1, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1, plan
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
